@@ -1,0 +1,65 @@
+"""Layouts: what a printed table's columns are, declared as data."""
+
+from __future__ import annotations
+
+import json
+from dataclasses import asdict, dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+
+KINDS = ("day", "number", "text")
+
+
+@dataclass(frozen=True)
+class LayoutColumn:
+    key: str
+    kind: str = "number"
+    unit: str | None = None
+    low: float | None = None
+    high: float | None = None
+    elided: bool = False
+
+    def __post_init__(self) -> None:
+        if self.kind not in KINDS:
+            raise ValueError(f"unknown column kind {self.kind!r}")
+
+
+@dataclass(frozen=True)
+class Check:
+    """``diff``: a - b, ``sum`` and ``mean`` of the operands, ``order``: low <= x <= high,
+    ``atleast``: result >= operand."""
+
+    kind: str
+    result: str
+    of: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class Layout:
+    id: str
+    columns: tuple[LayoutColumn, ...]
+    checks: tuple[Check, ...] = ()
+    markers: tuple[str, ...] = ()
+    rows_per_page: str = "days_in_month"
+    extra: dict = field(default_factory=dict)
+
+    @property
+    def index(self) -> LayoutColumn | None:
+        return next((c for c in self.columns if c.kind == "day"), None)
+
+    @classmethod
+    def from_dict(cls, d: dict) -> Layout:
+        return cls(d["id"], tuple(LayoutColumn(**c) for c in d["columns"]), tuple(Check(c["kind"], c["result"], tuple(c["of"])) for c in d.get("checks", ())), tuple(d.get("markers", ())), d.get("rows_per_page", "days_in_month"))
+
+    @classmethod
+    def load(cls, path: str) -> Layout:
+        with open(path) as f:
+            return cls.from_dict(json.load(f))
+
+    def to_dict(self) -> dict:
+        return asdict(self)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """One row per column, for joins in long form."""
+        rows = [(self.id, i, c.key, c.kind, c.unit, c.low, c.high) for i, c in enumerate(self.columns)]
+        return spark.createDataFrame(rows, "layout string, pos int, key string, kind string, unit string, low double, high double")
