@@ -32,6 +32,8 @@ from .common import bound_batches
 
 #: Bounds of the learning sample: documents of a class, and those of them that fit the chain.
 PER_CLASS, CHAIN_PER_CLASS = 1500, 400
+#: Words of a document that fits the chain at most (longer ones are not taken, none is cut).
+CHAIN_WORDS = 1500
 #: A word labels tokens if it leans to toxic documents by so many standard
 #: deviations, in so many of them, as this share of all that hold it.
 LEAN, LEAST, PURE = 6.5, 4, 0.8
@@ -108,7 +110,7 @@ class Model:
         a = np.array(self.chain)
         while order:
             # Side by side: documents of like length, as many as keep the block small.
-            n = max(1, min(len(order), 4_000_000 // len(each[order[0]])))
+            n = max(1, min(len(order), 1_000_000 // len(each[order[0]])))
             some, order = order[:n], order[n:]
             lengths = np.array([len(each[i]) for i in some])
             e = np.ones((lengths[0], len(some)))
@@ -238,8 +240,9 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 def fitted(model: Model, rows: list[tuple[str, int]], share: float) -> Model:
     words = lexicon(rows, share)
     if words:
-        chain = [r for y in (0, 1) for r in [r for r in rows if r[1] == y][:CHAIN_PER_CLASS]]
-        fit_chain(model, chain, words)
+        chain = [r for y in (0, 1) for r in [r for r in rows if r[1] == y and 0 < len(r[0].split()) <= CHAIN_WORDS][:CHAIN_PER_CLASS]]
+        if chain:
+            fit_chain(model, chain, words)
         fit_curve(model, rows, share)
     return model
 
