@@ -29,6 +29,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 SIMILAR, FILE_SHARE = 0.6, 0.25
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
@@ -123,15 +125,18 @@ def parent(path: Column) -> Column:
 
 
 def scanned(docs: DataFrame, path_col: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with license, similarity, basis (file, header, inherited, none)
-    and license_from (the file's own path or the directory it inherits from)."""
+    """``docs`` without its texts, with license, similarity, basis (file, header,
+    inherited, none) and license_from (the file's own path or the directory it
+    inherits from).  Lines are matched once: directories and files both read
+    the written matches."""
     n, counts = document_counts(docs, text_col)
     own = matched(docs, n, counts, text_col)
     b = F.col("__rp_best")
     own = own.withColumns({"__rp_dir": parent(F.col(path_col)), "__rp_file": F.coalesce(b["chars"] >= FILE_SHARE * F.length(text_col), F.lit(False))})
+    own = written(own.drop(text_col), "matches")
     declared = own.where("__rp_file and __rp_dir is not null").groupBy(F.col("__rp_dir").alias("dir"), b["license"].alias("license")).agg(F.count("*").alias("n"))
     declared = declared.groupBy("dir").agg(F.max(F.struct("n", "license"))["license"].alias("license"))
-    dirs = docs.select(parent(F.col(path_col)).alias("dir")).where("dir is not null").distinct()
+    dirs = own.select(F.col("__rp_dir").alias("dir")).where("dir is not null").distinct()
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("up"))
     near = above.join(declared.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct(F.length("up").alias("n"), "up", "license")).alias("near"))
