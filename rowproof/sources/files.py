@@ -28,9 +28,9 @@ def read_yearly(spark: SparkSession, path: str, first: int, last: int) -> DataFr
     """(year, month, value) of comma files with a year and twelve months a line.
     Lines that start with no year in the range are banners; cells that are not
     numbers are left out."""
-    cells = F.transform(F.split("value", ","), F.trim)
-    lines = spark.read.text(path).select(cells.alias("c")).where(F.get("c", F.lit(0)).rlike(r"^\d{1,9}$"))
-    long = lines.select(F.get("c", F.lit(0)).cast("int").alias("year"), F.posexplode(F.slice("c", 2, MONTHS)).alias("k", "cell"))
+    cells = F.transform(F.split("value", ","), lambda x: F.trim(x))  # trim takes a second argument, which transform would fill
+    lines = spark.read.text(path).select(cells.alias("c")).where(F.get("c", F.lit(0)).rlike("^[0-9]{1,9}$"))
+    long = lines.select(F.get("c", F.lit(0)).try_cast("int").alias("year"), F.posexplode(F.slice("c", 2, MONTHS)).alias("k", "cell"))
     return long.where(F.col("year").between(first, last)).select("year", (F.col("k") + 1).alias("month"), F.col("cell").try_cast("double").alias("value")).where("value is not null")
 
 
