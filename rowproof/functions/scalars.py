@@ -7,16 +7,28 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Names of months in captions, January first.
+# Names of months in captions (Portuguese, French), January first; the town that holds one of them.
 MONTHS = [
-    ("janeiro", "janvier", "january"), ("fevereiro", "fevrier", "february"), ("marco", "mars", "march"), ("abril", "avril", "april"),
-    ("maio", "mai", "may"), ("junho", "juin", "june"), ("julho", "juillet", "july"), ("agosto", "aout", "august"),
-    ("setembro", "septembre", "september"), ("outubro", "octobre", "october"), ("novembro", "novembre", "november"), ("dezembro", "decembre", "december"),
+    ("janeiro", "janvier"), ("fevereiro", "fevrier"), ("marco", "mars"), ("abril", "avril"), ("maio", "mai"), ("junho", "juin"),
+    ("julho", "juillet"), ("agosto", "aout"), ("setembro", "septembre"), ("outubro", "octobre"), ("novembro", "novembre"), ("dezembro", "decembre"),
 ]
+PLACES = "rio de janeiro|rio-de-janeiro|riu de janeiro"
+# How angles are printed (degrees, hours, minutes of time) and where a letter of the hemisphere stands.
+DEGREES = r"""(?i)([0-9]+(?:\.[0-9]+)?)\s*(?:°|º|o\b)?\s*[,;]?\s*(?:([0-9]+(?:[.,][0-9]+)?)\s*['′m]\s*)?(?:([0-9]+(?:[.,][0-9]+)?)\s*(?:''|"|″|s)?\s*)?"""
+HOURS = r"(?i)([0-9]+)\s*h[,.]?\s*(?:([0-9]+(?:[.,][0-9]+)?)\s*m?)?\s*(?:([0-9]+(?:[.,][0-9]+)?)\s*s?)?"
+MINUTES = r"(?i)^([0-9]+(?:[.,][0-9]+)?)\s*m\.?\s*[EWO]?$"
+HEMISPHERE = r"(?i)(?:^|[\s,;])([NSEWO])(?:$|[\s,;.])"
+# Fixed value: degrees of the local meridian from Greenwich, 43° 10' 21" west.
+MERIDIAN = -(43 + 10 / 60 + 21 / 3600)
 # Wind directions and words for none.
 COMPASS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SSO", "SW", "SO", "WSW", "OSO", "W", "O", "WNW", "ONO", "NW", "NO", "NNW", "NNO", "C", "CALMA", "CALME", "0", "V", "VAR", "VARIAVEL")
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def restore_hundreds(low: Column, lo: Column | float, hi: Column | float) -> Column:
     """The only value with the printed last two digits in [lo, hi), else null."""
     lo, hi = (x if isinstance(x, Column) else F.lit(float(x)) for x in (lo, hi))
@@ -39,22 +51,54 @@ def invalid_compass(token: Column) -> Column:
     return F.coalesce(~F.forall(parts, lambda p: F.replace(p, F.lit("."), F.lit("")).isin(*COMPASS)), F.lit(False))
 
 
+def bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|[\s.;]+$", "")
+
+
+def hemisphere(text: Column) -> Column:
+    """The printed letter, or null; it stands before the number as often as after it."""
+    return F.nullif(F.upper(F.regexp_extract(bare(text), HEMISPHERE, 1)), F.lit(""))
+
+
 def parse_angle(text: Column) -> Column:
-    """Degrees of ``3°28' W``, ``9°,38'`` and the like; W, S and O are negative."""
-    d = F.regexp_extract(text, r"(\d+)\s*°", 1)
-    m = F.coalesce(F.nullif(F.regexp_extract(text, r"°[\s,]*(\d+)\s*'", 1), F.lit("")), F.lit("0"))
-    s = F.coalesce(F.nullif(F.regexp_extract(text, r"'[\s,]*(\d+)\s*''", 1), F.lit("")), F.lit("0"))
-    size = d.try_cast("double") + m.try_cast("double") / 60 + s.try_cast("double") / 3600
-    return F.when(d != "", F.when(text.rlike("[WSO]"), -size).otherwise(size))
+    """Degrees of ``3°28' W``, ``9°,38'``, ``0h,30m E`` (time, 15 degrees an hour) or
+    ``2m W`` (minutes of time); W, S and O are negative.  Null where nothing can
+    be read, as on a ship (``var``)."""
+    t = bare(text)
+    part = lambda pattern, k: F.coalesce(F.replace(F.regexp_extract(t, pattern, k), F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0))
+    three = lambda pattern: part(pattern, 1) + part(pattern, 2) / 60 + part(pattern, 3) / 3600
+    size = F.when(t.rlike(MINUTES), part(MINUTES, 1) * 0.25).when(t.rlike(r"(?i)[0-9]\s*h"), three(HOURS) * 15).when(t.rlike("[0-9]"), three(DEGREES))
+    sign = F.when(hemisphere(text).isin("S", "W", "O"), -1.0).otherwise(1.0)
+    return F.when(~F.lower(t).startswith("var"), size * sign)
+
+
+def to_greenwich(longitude: Column) -> Column:
+    """A longitude from the local meridian as one from Greenwich."""
+    return F.round(MERIDIAN + longitude, 4)
 
 
 def caption_period(text: Column) -> Column:
-    """``YYYY-MM`` of a caption that names exactly one month and one year of 1850-1999."""
-    t = F.translate(F.lower(text), "áàâãäéèêëíìîïóòôõöúùûüç", "aaaaaeeeeiiiiooooouuuuc")
-    years = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(^|[^0-9])(1[89][0-9][0-9])([^0-9]|$)"), F.lit(2)))
-    named = [F.when(t.rlike(r"(^|[^a-z])(" + "|".join(names) + r")([^a-z]|$)"), F.lit(f"{k:02d}")) for k, names in enumerate(MONTHS, 1)]
-    months = F.filter(F.array(*named), lambda m: m.isNotNull())
-    return F.when((F.size(years) == 1) & (F.size(months) == 1), F.concat(F.get(years, F.lit(0)), F.lit("-"), F.get(months, F.lit(0))))
+    """``YYYY-MM`` of a caption with a year of 1850-1899 and one month.  The town
+    that ends in a month's name does not count; of several months the one holds
+    that the caption says it is of (``mez de Agosto``), if that is one."""
+    plain = lambda c: F.translate(c, "áàâãäéèêëíìîïóòôõöúùûüç", "aaaaaeeeeiiiiooooouuuuc")
+    names = F.array(*[F.array(*map(F.lit, n)) for n in MONTHS])
+    word = "(?<![a-zà-ÿ])(" + "|".join(x for n in MONTHS for x in n) + ")(?![a-zà-ÿ])"
+
+    def known(words: Column) -> Column:
+        return F.filter(F.transform(names, lambda n, k: F.when(F.arrays_overlap(n, words), F.lpad((k + 1).cast("string"), 2, "0"))), lambda m: m.isNotNull())
+
+    def of(said: Column) -> Column:
+        year = F.regexp_extract(said, r"\b(18[5-9][0-9])\b", 1)
+        phrases = F.transform(F.regexp_extract_all(said, F.lit(r"\b(?:mez|mes|mois|month)\s+d[eo']?\s*'?\s*([a-zà-ÿ]+)"), F.lit(1)), plain)
+
+        def month(named: Column) -> Column:
+            only = F.when(F.size(named) > 1, known(phrases)).otherwise(named)
+            return once(only, lambda m: F.when((F.size(m) == 1) & (year != ""), F.concat(year, F.lit("-"), F.get(m, F.lit(0)))))
+
+        return once(known(F.regexp_extract_all(plain(said), F.lit(word), F.lit(1))), month)
+
+    return once(F.regexp_replace(F.lower(F.regexp_replace(text, r"\s+", " ")), PLACES, " "), of)
 
 
 def same_cell(a: Column, b: Column, tolerance: float) -> Column:

@@ -132,3 +132,15 @@ def near_pairs(df: DataFrame, page: list[str], pos: str, columns: list[str], lim
     b = df.select(*page, F.col(pos).alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns], F.explode(F.array(cell - 1, cell, cell + 1)).alias("__cell"))
     gaps = F.filter(F.array(*[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns]), lambda x: x.isNotNull())
     return a.join(b, [*page, "__cell"]).where((F.col("a") < F.col("b")) & (F.size(gaps) >= least) & (F.array_max(gaps) < limit)).select(*page, "a", "b")
+
+
+def preflight(df: DataFrame, page: list[str], pos: str, plausible: Column, rows: int = 3, least: int = 2) -> DataFrame:
+    """Per page passes: ``least`` of its first ``rows`` rows are plausible."""
+    return df.groupBy(*page).agg((F.count_if((F.col(pos) <= rows) & plausible) >= least).alias("passes"))
+
+
+def spread(df: DataFrame, page: list[str], pos: str, shares: list[float]) -> DataFrame:
+    """The rows of a page at these shares of its length (positions from 1)."""
+    n = df.groupBy(*page).agg(F.count("*").alias("__n"))
+    at = F.array(*[F.floor(F.col("__n") * F.lit(s)) for s in shares])
+    return df.join(n, page).where(F.array_contains(at, (F.col(pos) - 1).cast("long"))).drop("__n")

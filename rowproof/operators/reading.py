@@ -8,10 +8,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def bound(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+from rowproof.functions.scalars import once
 
 
 def classified(df: DataFrame, columns: list[str], a: str, b: str) -> DataFrame:
@@ -75,7 +72,7 @@ def unmatched_means(wants: list[tuple[str, Column, float]], printed: Column) ->
             pool = F.when(hit, F.filter(state["pool"], lambda _v, i: i != near["i"])).otherwise(state["pool"])
             return F.struct(pool.alias("pool"), F.when(hit, state["out"]).otherwise(F.concat(state["out"], F.array(w["name"]))).alias("out"))
 
-        return bound(F.array_min(F.transform(state["pool"], lambda v, i: F.struct(F.abs(v - w["want"]).alias("d"), i.alias("i")))), with_nearest)
+        return once(F.array_min(F.transform(state["pool"], lambda v, i: F.struct(F.abs(v - w["want"]).alias("d"), i.alias("i")))), with_nearest)
 
     return F.aggregate(names, start, spend)["out"]
 
@@ -101,10 +98,12 @@ def period_audit(pages: DataFrame, period: str, caption: str, found: Column) ->
     """Adds bucket (agree, fixed, ambiguous, nocap), year_odd, and the period as
     the caption's month has it; the year is never changed and the published
     period is kept.  ``found`` is the period read from ``caption``."""
+    pages = pages.withColumn("__found", F.explode_outer(F.array(found)))  # computed once
+    found = F.col("__found")
     want = F.concat(F.substring_index(F.col(period), "-", 1), F.lit("-"), F.substring_index(found, "-", -1))
     bucket = F.when(F.coalesce(F.col(caption), F.lit("")) == "", "nocap").when(found.isNull(), "ambiguous").when(want != F.col(period), "fixed").otherwise("agree")
     out = pages.withColumn("bucket", bucket).withColumn("year_odd", F.col("bucket").isin("fixed", "agree") & (F.substring_index(found, "-", 1) != F.substring_index(F.col(period), "-", 1)))
-    return out.withColumn("period_as_published", F.when(F.col("bucket") == "fixed", F.col(period))).withColumn(period, F.when(F.col("bucket") == "fixed", want).otherwise(F.col(period)))
+    return out.withColumn("period_as_published", F.when(F.col("bucket") == "fixed", F.col(period))).withColumn(period, F.when(F.col("bucket") == "fixed", want).otherwise(F.col(period))).drop("__found")
 
 
 def triaged(df: DataFrame, buckets: list[tuple[str, Column]], rest: str) -> DataFrame:
@@ -169,13 +168,13 @@ def line_through(df: DataFrame, page: list[str], x: str, y: str, low: int, high:
         def with_means(m: Column) -> Column:
             var = total(kept, lambda p: (p["x"] - m["x"]) * (p["x"] - m["x"]))
             k = F.when(var > 0, total(kept, lambda p: (p["x"] - m["x"]) * (p["y"] - m["y"])) / var)
-            return bound(k, lambda s: F.struct(s.alias("slope"), (m["y"] - s * m["x"]).alias("intercept")))
+            return once(k, lambda s: F.struct(s.alias("slope"), (m["y"] - s * m["x"]).alias("intercept")))
 
         def with_worst(f: Column) -> Column:
             worst = F.array_max(F.transform(kept, lambda p: F.struct(F.abs(p["y"] - (f["intercept"] + f["slope"] * p["x"])).alias("off"), (-p["x"]).alias("x"))))
             return F.struct(f["slope"].alias("slope"), f["intercept"].alias("intercept"), worst.alias("worst"))
 
-        return bound(bound(means, with_means), with_worst)
+        return once(once(means, with_means), with_worst)
 
     floor = F.greatest(F.lit(least), F.floor(F.lit(share) * F.size("__p")).cast("int"))
 
@@ -184,7 +183,7 @@ def line_through(df: DataFrame, page: list[str], x: str, y: str, low: int, high:
             bad = (F.size(kept) > floor) & (f["worst"]["off"] > residual * f["slope"])
             return F.when(bad, F.filter(kept, lambda p: p["x"] != -f["worst"]["x"])).otherwise(kept)
 
-        return bound(fitted(kept), of)
+        return once(fitted(kept), of)
 
     n = F.size("__p")
     kept = F.when(n >= least, F.aggregate(F.sequence(F.lit(1), n), F.col("__p"), drop))

@@ -57,3 +57,14 @@ def latest(df: DataFrame, keys: list[str], order: list[str], values: list[str])
     """The last judgement of each key in an append-only log; combined before it is shuffled."""
     last = F.max(F.struct(*order, *[v for v in values if v not in order])).alias("__last")
     return df.groupBy(*keys).agg(last).select(*keys, *[F.col("__last")[v].alias(v) for v in values])
+
+
+def reconciled(df: DataFrame, keys: list[str], order: list[str], month: str, years: list[int]) -> DataFrame:
+    """Adds reconciled and flagged: sheets follow one another by a month, so each
+    is the first one's month and its place; those read otherwise are flagged.
+    The first has nothing to be held against but the years that are known."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    place, first = F.row_number().over(w), F.first(month).over(w)
+    out = df.withColumn("__place", place).withColumn("reconciled", F.add_months(first, F.col("__place") - 1))
+    odd = F.when(F.col("__place") == 1, ~F.year(month).isin(years)).otherwise(F.col(month) != F.col("reconciled"))
+    return out.withColumn("flagged", F.coalesce(odd, F.lit(True))).drop("__place")

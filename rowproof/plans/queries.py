@@ -478,16 +478,16 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m') END AS period FROM orders
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 OR o_orderkey % 3 = 0 THEN CAST(year(o_orderdate) - 110 AS VARCHAR) || strftime(o_orderdate, '-%m') END AS period FROM orders
 """)
 def caption_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Captions with one month and one year; every fifth names a second month.
+    # Captions a century back; every fifth names a second month, and a third of those say which they are of.
     names = F.array(*[F.lit(m[0].capitalize()) for m in scalars.MONTHS])
-    month = F.get(names, F.month("o_orderdate") - 1)
-    text = F.concat(F.lit("Observações do mez de "), month, F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(" e "), F.get(names, F.month("o_orderdate") % 12))).otherwise(""), F.lit(" de "), (F.year("o_orderdate") - 100).cast("string"), F.lit(", Rio"))
-    found = scalars.caption_period(text)
-    later = F.concat((F.substring(found, 1, 4).cast("int") + 100).cast("string"), F.substring(found, 5, 3))
-    return table(spark, sf_dir, "orders").select("o_orderkey", later.alias("period"))
+    k, month, other = F.col("o_orderkey"), F.get(names, F.month("o_orderdate") - 1), F.get(names, F.month("o_orderdate") % 12)
+    year = (F.year("o_orderdate") - 110).cast("string")
+    of = F.when((k % 5 == 0) & (k % 3 != 0), F.concat(month, F.lit(" e "), other)).otherwise(F.concat(F.lit("mez de "), month))
+    text = F.concat(F.lit("Observações: "), of, F.lit(" de "), year, F.when(k % 15 == 0, F.concat(F.lit("; comparar com "), other)).otherwise(", Rio de Janeiro"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.caption_period(text).alias("period"))
 
 
 @query("""

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowproof.functions import captions
-from rowproof.functions.scalars import caption_period
-from rowproof.operators import reading
+from rowproof.functions import captions, scalars
+from rowproof.operators import pages, reading, series
+from rowproof.sources import sef
 
-from .queries import LINES, lines, query, table
+from .queries import LINES, events, lines, query, table
 
 CELLS = ["quantity", "discount", "tax"]
 
@@ -142,7 +142,7 @@ NAMES = ["Janeiro", "Fevereiro", "Março", "Abril", "Maio", "Junho", "Julho", "A
 
 @query("""
 WITH p AS (
-    SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) - 100 AS VARCHAR) AS y, month(o_orderdate) AS m FROM orders
+    SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) - 110 AS VARCHAR) AS y, month(o_orderdate) AS m FROM orders
 ), q AS (
     SELECT *, y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') AS stored,
            CASE o_custkey % 5 WHEN 0 THEN 'nocap' WHEN 3 THEN 'ambiguous' WHEN 4 THEN CASE WHEN m = 3 THEN 'agree' ELSE 'fixed' END ELSE 'agree' END AS bucket FROM p
@@ -152,12 +152,12 @@ SELECT o_orderkey, bucket, bucket = 'agree' AND o_custkey % 5 = 2 AND y <> '1888
 """)
 def period_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored periods (a century back, as captions name those) against captions."""
-    k, y = F.col("o_custkey") % 5, (F.year("o_orderdate") - 100).cast("string")
+    k, y = F.col("o_custkey") % 5, (F.year("o_orderdate") - 110).cast("string")
     name = F.get(F.array(*map(F.lit, NAMES)), F.month("o_orderdate") - 1)
     said = F.when(k == 0, "").when(k == 1, F.concat(F.lit("Observações de "), name, F.lit(" de "), y)).when(k == 2, F.concat(F.lit("mez de "), name, F.lit(" de 1888")))
     said = said.when(k == 3, F.concat(F.lit("Maio e Junho de "), y)).otherwise(F.concat(F.lit("Quadro do mez de Março de "), y))
     df = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(y, F.date_format("o_orderdate", "-MM")).alias("period"), said.alias("caption"))
-    return reading.period_audit(df, "period", "caption", caption_period(F.col("caption"))).drop("caption")
+    return reading.period_audit(df, "period", "caption", scalars.caption_period(F.col("caption"))).drop("caption")
 
 
 @query("""
@@ -211,3 +211,72 @@ def robust_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("day", F.dayofmonth("ts"))
     out = reading.line_through(e.withColumn("y", F.col("day") * 20 + F.col("value") / 20), ["user_id"], "day", "y", 1, 31)
     return out.withColumns({c: F.round(c, 6) for c in ("slope", "intercept", "max_resid")})
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE round(CASE c_custkey % 4 WHEN 1 THEN -0.25 * c_nationkey WHEN 2 THEN 15 * (c_nationkey / 60) ELSE -(c_nationkey + (c_custkey % 60) / 60) END, 6) + CAST(0 AS DOUBLE) END AS longitude,
+       CASE WHEN c_custkey % 4 <> 0 THEN 'S' END AS lat_letter, CASE WHEN c_custkey % 4 = 3 THEN c_nationkey END AS barometer_m, c_custkey % 4 = 0 AS moves
+FROM customer
+""")
+def station_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed headings of stations: fields, angles, letters, heights."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    at = F.when(k % 4 == 1, F.concat(n, F.lit("m W"))).when(k % 4 == 2, F.concat(F.lit("0h,"), n, F.lit("m E"))).when(k % 4 == 3, F.concat(n, F.lit("°"), (k % 60).cast("string"), F.lit("' O"))).otherwise("var.")
+    line = F.concat(F.lit("Estação de "), F.col("c_mktsegment"), F.lit("; Latit., "), F.when(k % 4 == 0, "Var.").otherwise("S 12°58'27''"), F.lit("; Longitude, "), at, F.when(k % 4 == 3, F.concat(F.lit("; Alt. do bar., "), n, F.lit(" m"))).otherwise(""))
+    h = captions.header_fields(line)
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(h)).alias("h"))
+    return df.select("c_custkey", (F.round("h.lon_deg", 6) + F.lit(0.0)).alias("longitude"), F.col("h.lat_hemisphere").alias("lat_letter"), F.col("h.barometer_m").alias("barometer_m"), F.col("h.moves").alias("moves"))
+
+
+@query("""
+WITH m AS (SELECT DISTINCT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders),
+n AS (SELECT *, row_number() OVER w AS k, first_value(month) OVER w AS first FROM m WINDOW w AS (PARTITION BY o_custkey ORDER BY month)),
+e AS (SELECT *, CAST(first + to_months(CAST(k - 1 AS INT)) AS DATE) AS reconciled FROM n)
+SELECT o_custkey, month, reconciled, CASE WHEN k = 1 THEN year(month) NOT IN (1995, 1996) ELSE month <> reconciled END AS flagged FROM e
+""")
+def period_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "orders").select("o_custkey", F.trunc("o_orderdate", "month").alias("month")).distinct()
+    return series.reconciled(m, ["o_custkey"], ["month"], "month", [1995, 1996])
+
+
+@query(f"""
+SELECT l_orderkey, count(*) FILTER (pos <= 3 AND (l_linenumber <= 5 OR l_tax < 0.05)) >= 2 AS passes FROM ({LINES}) GROUP BY 1
+""")
+def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.preflight(lines(spark, sf_dir), ["l_orderkey"], "pos", (F.col("l_linenumber") <= 5) | (F.col("l_tax") < 0.05))
+
+
+@query("""
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, event_id FROM p WHERE place IN (floor(n * 0.15), floor(n * 0.35), floor(n * 0.5), floor(n * 0.65), floor(n * 0.85))
+""")
+def spread_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.spread(events(spark, sf_dir), ["user_id"], "pos", [0.15, 0.35, 0.5, 0.65, 0.85]).select("user_id", "event_id")
+
+
+TAB = "chr(9)"
+
+
+@query(f"""
+WITH s AS (
+    SELECT event_type AS station, CASE WHEN value < 5 THEN NULL WHEN event_id % 3 = 0 THEN floor(value) ELSE value END AS v, ts, event_id FROM events
+), t AS (SELECT DISTINCT station FROM s),
+h AS (
+    SELECT station, CAST(unnest(range(13)) AS BIGINT) AS line_no,
+           unnest(['SEF' || {TAB} || '1.0.0', 'ID' || {TAB} || station, 'Name' || {TAB} || upper(station), 'Lat' || {TAB} || CASE WHEN length(station) > 5 THEN '-12.5' ELSE 'NA' END,
+                   'Lon' || {TAB} || CASE WHEN length(station) > 5 THEN '-43' ELSE 'NA' END, 'Alt' || {TAB} || 'NA', 'Source' || {TAB} || 'print', 'Link' || {TAB} || 'NA',
+                   'Vbl' || {TAB} || 'ta', 'Stat' || {TAB} || 'mean', 'Units' || {TAB} || 'C', 'Meta' || {TAB} || 'NA',
+                   array_to_string(['Year', 'Month', 'Day', 'Hour', 'Minute', 'Period', 'Value', 'Meta'], {TAB})]) AS line FROM t
+)
+SELECT * FROM h UNION ALL
+SELECT station, 12 + row_number() OVER (PARTITION BY station ORDER BY ts, event_id),
+       concat_ws({TAB}, year(ts), month(ts), day(ts), hour(ts), 'NA', 'p', CASE WHEN v IS NULL THEN 'NA' WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END, '') FROM s
+""")
+def exchange_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of exchange files, one series for each type of event."""
+    v = F.when(F.col("value") >= 5, F.when(F.col("event_id") % 3 == 0, F.floor("value").cast("double")).otherwise(F.col("value")))
+    t, name = F.col("ts"), F.col("event_type")
+    df = table(spark, sf_dir, "events").select(name.alias("station"), "ts", "event_id", *[f(t).alias(c) for c, f in (("year", F.year), ("month", F.month), ("day", F.day), ("hour", F.hour))], F.lit(None).cast("int").alias("minute"), F.lit("p").alias("period"), v.alias("value"), F.lit("").alias("meta"))
+    known = F.length("station") > 5
+    head = {"ID": F.col("station"), "Name": F.upper("station"), "Lat": F.when(known, -12.5), "Lon": F.when(known, -43.0), "Source": F.lit("print"), "Vbl": F.lit("ta"), "Stat": F.lit("mean"), "Units": F.lit("C")}
+    return sef.lines(df, ["station"], ["ts", "event_id"], head)

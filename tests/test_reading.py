@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rowproof.functions import captions
-from rowproof.operators import reading
-from rowproof.sources import manifests
+from rowproof.functions import captions, scalars
+from rowproof.operators import pages, reading, series
+from rowproof.sources import manifests, sef
 
 
 def test_classified_tells_moved_cells_from_changed_ones(spark):
@@ -122,3 +122,44 @@ def test_frozen_folders_fail_where_a_file_changed(spark, tmp_path):
     (tmp_path / "sheets" / "4.json").write_text("{}")
     with pytest.raises(ValueError, match="2.json: changed; 4.json: not in the manifest"):
         manifests.read_frozen(spark, folder, manifest, "page int", "*.json")
+
+
+def test_angles_as_they_are_printed(spark):
+    said = ["3°28' W", "2m W", "0h,30m E", "9°,38'", "23°36' S", "S 12°58'27''", "var.", "", None, "sem"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in said], "t string").select(F.round(scalars.parse_angle(F.col("t")), 4)).collect()]
+    assert got == [-3.4667, -0.5, 7.5, 9.6333, -23.6, -12.9742, None, None, None, None]
+    line = "Estação de Ouro Preto; Observador, J. Silva.; Latit., S 20°23'; Longitude, 0°20' O; Alt. do bar., 1145 m"
+    h = spark.createDataFrame([(line,), (None,)], "t string").select(captions.header_fields(F.col("t")).alias("h")).collect()
+    assert (h[0].h.station, h[0].h.observer, h[0].h.lat_hemisphere, h[0].h.barometer_m, h[0].h.moves) == ("Ouro Preto", "J. Silva", "S", 1145, False)
+    assert (round(h[0].h.lat_deg, 4), h[0].h.lon_greenwich) == (-20.3833, -43.5058)
+    assert (h[1].h.station, h[1].h.lat_deg, h[1].h.moves) == (None, None, False)
+
+
+def test_periods_of_captions_with_a_town_or_two_months(spark):
+    said = {
+        "Observations météorologiques du mois de Mars 1883. DE RIO DE JANEIRO": "1883-03", "Observations du mois d'Avril 1883. Rio de Janeiro": "1883-04", "mois d'Août 1883": "1883-08",
+        "CUYABÁ NO MEZ DE JANEIRO DE 1889": "1889-01", "Maio e Junho de 1886, Rio de Janeiro": None, "Observações do mez de Agosto de 1886; comparar com Julho": "1886-08", "Agosto de 1786": None, "": None,
+    }
+    df = spark.createDataFrame([(k,) for k in said], "t string")
+    assert {r[0]: r[1] for r in df.select("t", scalars.caption_period(F.col("t"))).collect()} == said
+
+
+def test_reconciled_follows_the_first_sheet(spark):
+    df = spark.sql("select * from values (1, date'1886-12-01'), (2, date'1886-01-01'), (3, null), (4, date'1887-03-01') t(k, m)").withColumn("g", F.lit(1))
+    got = series.reconciled(df, ["g"], ["k"], "m", [1885, 1886, 1887]).orderBy("k").collect()
+    assert [(str(r.reconciled)[:7], r.flagged) for r in got] == [("1886-12", False), ("1887-01", True), ("1887-02", True), ("1887-03", False)]
+
+
+def test_spread_and_preflight(spark):
+    df = spark.createDataFrame([("a", k) for k in range(1, 11)] + [("b", 1)], "p string, pos int")
+    assert sorted(tuple(r) for r in pages.spread(df, ["p"], "pos", [0.15, 0.35, 0.5, 0.65, 0.85]).select("p", "pos").collect()) == [("a", 2), ("a", 4), ("a", 6), ("a", 7), ("a", 9), ("b", 1)]
+    assert {tuple(r) for r in pages.preflight(df, ["p"], "pos", F.col("pos") != 2).collect()} == {("a", True), ("b", False)}
+
+
+def test_exchange_files(spark, tmp_path):
+    df = spark.createDataFrame([("x", 1889, 2, 1, 16.0, None), ("x", 1889, 1, 1, 15.25, "m"), ("y", 1889, 1, 1, None, None)], "id string, year int, month int, day int, value double, meta string")
+    df = df.withColumns({"hour": F.lit(7), "minute": F.lit(None).cast("int"), "period": F.lit("0")})
+    sef.write(df, str(tmp_path / "out"), ["id"], ["year", "month", "day"], {"ID": F.col("id"), "Lat": F.lit(-43.0)})
+    said = "".join(p.read_text() for p in sorted((tmp_path / "out" / "id=x").glob("*.txt"))).split("\n")
+    assert said[:4] == ["SEF\t1.0.0", "ID\tx", "Name\tNA", "Lat\t-43"]
+    assert said[12:] == ["Year\tMonth\tDay\tHour\tMinute\tPeriod\tValue\tMeta", "1889\t1\t1\t7\tNA\t0\t15.25\tm", "1889\t2\t1\t7\tNA\t0\t16\t", ""]
