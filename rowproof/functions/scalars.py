@@ -86,7 +86,7 @@ def caption_period(text: Column) -> Column:
     word = "(?<![a-zà-ÿ])(" + "|".join(x for n in MONTHS for x in n) + ")(?![a-zà-ÿ])"
 
     def known(words: Column) -> Column:
-        return F.filter(F.transform(names, lambda n, k: F.when(F.arrays_overlap(n, words), F.lpad((k + 1).cast("string"), 2, "0"))), lambda m: m.isNotNull())
+        return once(words, lambda w: F.filter(F.transform(names, lambda n, k: F.when(F.arrays_overlap(n, w), F.lpad((k + 1).cast("string"), 2, "0"))), lambda m: m.isNotNull()))
 
     def of(said: Column) -> Column:
         year = F.regexp_extract(said, r"\b(18[5-9][0-9])\b", 1)
