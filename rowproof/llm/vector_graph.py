@@ -14,8 +14,12 @@
    neighbour that is in range until no new one shows.  Cosines are verified in
    double precision.  A link is counted in its end's home shard only, so counts
    add up, and each shard returns a spanning forest, never the pairs.
-5. Recall is audited against brute force on a sample of queries over all nodes;
-   below ``RECALL`` the search is repeated with twice the probes and beam.
+5. Recall is audited against brute force on a sample of queries over all nodes,
+   by link and by query; below ``RECALL`` the search is repeated with twice the
+   probes and beam.
+6. Where ``ROUNDS`` searches don't reach it, as in dense groups that are cut into
+   many clusters, every node is compared with all members of every cluster that
+   can hold a vector in range (``exact_links``); nothing is left out then.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing and are their own component; vectors of different
@@ -44,8 +48,10 @@ OVERLAP, PROBES = 2, 3
 NEAR, RANDOM, DEGREE, REVERSE, ALPHA = 32, 16, 20, 20, 1.2
 #: Search: entry points, width of the beam, and queries side by side.
 MEDOIDS, BEAM, QUERIES = 6, 16, 512
-#: Queries of the audit, the recall asked for, and the rounds at most.
+#: Queries of the audit, the recall asked for, and the graph searches before all is compared.
 AUDIT, RECALL, ROUNDS = 64, 0.98, 3
+#: Queries of one task where all is compared.
+SLICE = 20_000
 
 
 def usable(v: Column) -> Column:
@@ -196,9 +202,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def near_links(nodes: DataFrame, threshold: float, probes: int, beam: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes (rep, v, w) -> links per node (rep, n) and a forest of links (u, v)."""
-    spark = nodes.sparkSession
+def fitted(nodes: DataFrame) -> dict[int, np.ndarray]:
+    """Centroids of each of the 16 most frequent lengths of vectors."""
     sizes = {r.d: r.n for r in nodes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(16).collect()}
     centers: dict[int, np.ndarray] = {}
     for d, n in sizes.items():
@@ -206,6 +211,13 @@ def near_links(nodes: DataFrame, threshold: float, probes: int, beam: int) -> tu
         some = nodes.where((F.size("v") == d) & (F.pmod(F.xxhash64("rep"), F.lit(share)) == 0)).select("v").limit(SAMPLE).collect()
         if some:
             centers[d] = centroids(np.array([r.v for r in some], np.float64), max(1, min(CENTROIDS, n // CLUSTER)))
+    return centers
+
+
+def near_links(nodes: DataFrame, threshold: float, probes: int, beam: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes (rep, v, w) -> links per node (rep, n) and a forest of links (u, v)."""
+    spark = nodes.sparkSession
+    centers = fitted(nodes)
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -266,9 +278,103 @@ def near_links(nodes: DataFrame, threshold: float, probes: int, beam: int) -> tu
     return found.groupBy("rep").agg(F.sum("n").alias("n")), found.select(F.col("rep").alias("u"), F.col("root").alias("v"))
 
 
+def askable(x: np.ndarray, c: np.ndarray, home: np.ndarray, radius: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether a cluster can hold a vector within ``threshold`` of each row of ``x``.
+
+    A member lies within its cluster's ``radius`` (an angle), so by the triangle
+    inequality a row asks only clusters whose centre is at most that and the
+    threshold's angle away.  A member is also no nearer to the row's home centre
+    than to its own, so the row lies at most the threshold's chord from the
+    plane between the two."""
+    slack = 1e-6
+    cos = np.clip(x @ c.T, -1, 1)
+    reach = np.arccos(np.clip(threshold, -1, 1))
+    near = np.arccos(cos) <= radius[None] + reach + slack
+    at = cos[np.arange(len(x)), home]
+    chord = np.sqrt(max(0.0, 2 - 2 * threshold))
+    apart = np.sqrt(np.maximum((c * c).sum(1)[None] + (c * c).sum(1)[home][:, None] - 2 * (c @ c.T)[home], 0))
+    return near & (at[:, None] - cos <= chord * apart + slack)
+
+
+def exact_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``near_links`` without a graph: all members of all clusters that can hold a
+    link are compared, a block of members with a slice of queries in a task."""
+    centers = fitted(nodes)
+    kind = f"v {nodes.schema['v'].dataType.simpleString()}"
+
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            dim = p["v"].map(len).to_numpy()
+            for d in np.unique(dim):
+                q, c = p[dim == d], centers.get(int(d))
+                cos = np.ones((len(q), 1)) if c is None else unit(np.stack(q["v"].to_numpy())) @ c.T
+                home = cos.argmax(1)
+                angle = np.arccos(np.clip(cos[np.arange(len(q)), home], -1, 1))
+                yield pd.DataFrame({"dim": int(d), "cluster": home, "angle": angle, "rep": q["rep"], "w": q["w"], "v": q["v"]})
+
+    homes = written(nodes.select("rep", "v", "w").mapInPandas(place, f"dim int, cluster int, angle double, rep long, w long, {kind}"), "homes")
+    held = homes.groupBy("dim", "cluster").agg(F.max("angle").alias("radius"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    radii = {d: np.full(len(c), -np.inf) for d, c in centers.items()}  # no member, no bound to meet
+    for r in held.where(F.col("dim").isin(list(centers))).collect():
+        radii[r.dim][r.cluster] = r.radius
+
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            dim = p["dim"].to_numpy()
+            for d in np.unique(dim):
+                q, c = p[dim == d], centers.get(int(d))
+                if c is None:
+                    yield q[["dim", "cluster", "rep", "v"]]
+                    continue
+                for i in range(0, len(q), 256):
+                    some = q[i : i + 256]
+                    row, cluster = np.nonzero(askable(unit(np.stack(some["v"].to_numpy())), c, some["cluster"].to_numpy(), radii[int(d)], threshold))
+                    for k in range(0, len(row), 4096):
+                        hit = some.iloc[row[k : k + 4096]]
+                        yield pd.DataFrame({"dim": int(d), "cluster": cluster[k : k + 4096], "rep": hit["rep"].to_numpy(), "v": hit["v"].to_numpy()})
+
+    asks = homes.select("dim", "cluster", "rep", "v").mapInPandas(ask, f"dim int, cluster int, rep long, {kind}")
+    asked = written(asks, "asked")
+    slices = asked.groupBy("dim", "cluster").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("ns"))
+    # At most CENTROIDS rows for each of at most 16 lengths, and one row for any other length.
+    cut = written(held.select("dim", "cluster", "nb").join(slices, ["dim", "cluster"]), "cut")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    hashed = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    keys = ["dim", "cluster", "block", "slice"]
+    members = homes.select("dim", "cluster", "rep", "w", "v").join(F.broadcast(cut), ["dim", "cluster"]).withColumn("block", hashed("nb")).withColumn("slice", each("ns")).select(*keys, "rep", "w", "v")
+    queries = asked.join(F.broadcast(cut), ["dim", "cluster"]).withColumn("slice", hashed("ns")).withColumn("block", each("nb")).select(*keys, "rep", "v")
+
+    def compare(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(m):
+            return pd.DataFrame({"rep": [], "n": [], "root": []})
+        rep, other, w = q["rep"].to_numpy(), m["rep"].to_numpy(), m["w"].to_numpy()
+        x = unit(np.stack(m["v"].to_numpy()))
+        ids = np.unique(np.concatenate([rep, other]))
+        mine, theirs = np.searchsorted(ids, rep), np.searchsorted(ids, other)
+        n, ends = np.zeros(len(rep), np.int64), []
+        for a in range(0, len(rep), QUERIES):
+            hit = unit(np.stack(q["v"].iloc[a : a + QUERIES].to_numpy())) @ x.T >= threshold
+            hit &= mine[a : a + QUERIES, None] != theirs[None]
+            n[a : a + QUERIES] = hit @ w
+            i, j = np.nonzero(hit)
+            root = forest(len(ids), mine[a + i], theirs[j])
+            moved = np.flatnonzero(root != np.arange(len(ids)))
+            ends.append((moved, root[moved]))
+        root = forest(len(ids), *map(np.concatenate, zip(*ends, strict=True)))
+        # Every link is seen from both of its ends, but not in the same task: members are named, too.
+        count = np.zeros(len(ids), np.int64)
+        count[mine] = n
+        some = (count > 0) | (root != np.arange(len(ids)))
+        return pd.DataFrame({"rep": ids[some], "n": count[some], "root": ids[root[some]]})
+
+    found = written(queries.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(compare, "rep long, n long, root long"), "found")
+    return found.groupBy("rep").agg(F.sum("n").alias("n")), found.select(F.col("rep").alias("u"), F.col("root").alias("v"))
+
+
 def audited(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Recall of the links of ``AUDIT`` nodes against brute force over all nodes.
-    Half of the nodes are taken among those that have links."""
+    """Recall of the links of ``AUDIT`` nodes against brute force over all nodes:
+    the lesser of the share of links and the mean share by node.  Half of the
+    nodes are taken among those that have links."""
     by_hash = [F.xxhash64("rep", F.lit(11)), F.col("rep")]
     found = nodes.join(links, "rep", "left").select("rep", "v", F.coalesce("n", F.lit(0)).alias("n"))
     rows = {r.rep: r for some in (found.where("n > 0"), found) for r in some.orderBy(*by_hash).limit(AUDIT // 2).collect()}
@@ -289,8 +395,8 @@ def audited(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
                     yield pd.DataFrame({"rep": [i for i, _ in some], "n": (hit * w[:, None]).sum(0)})
 
     true = {r.rep: r.n for r in nodes.select("rep", "v", "w").mapInPandas(brute, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n")).collect()}
-    total = sum(true.values())
-    return sum(min(rows[i].n, n) for i, n in true.items()) / total if total else 1.0
+    shares = [(min(rows[i].n, n), n) for i, n in true.items() if n]
+    return min(sum(a for a, _ in shares) / sum(n for _, n in shares), sum(a / n for a, n in shares) / len(shares)) if shares else 1.0
 
 
 def linked(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -301,12 +407,15 @@ def linked(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", v
     merged = rows.where("ok").groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("w"))
     nodes = written(merged.withColumn("rep", F.monotonically_increasing_id()), "nodes")
     probes, beam = PROBES, BEAM
-    for turn in range(ROUNDS):
+    for _ in range(ROUNDS):
         links, edges = near_links(nodes, threshold, probes, beam)
         recall = audited(nodes, links, threshold)
-        if recall >= RECALL or turn == ROUNDS - 1:
+        if recall >= RECALL:
             break
         probes, beam = 2 * probes, 2 * beam
+    else:
+        links, edges = exact_links(nodes, threshold)
+        recall = audited(nodes, links, threshold)
     roots = connected_components(edges).withColumnsRenamed({"node": "rep", "root": "top"})
     known = nodes.join(links, "rep", "left").join(roots, "rep", "left").select("v", "low", "w", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("top", "rep").alias("top"))
     lows = known.groupBy("top").agg(F.min("low").alias("component_id"))

@@ -63,6 +63,21 @@ def test_vector_graph(spark):
     assert vector_graph.linked(df.where("false")).count() == 0
 
 
+def test_vector_graph_dense(spark, monkeypatch):
+    # A dense group cut into far more clusters than a node asks at first.
+    monkeypatch.setattr(vector_graph, "CLUSTER", 8)
+    rng = np.random.default_rng(8)
+    center = rng.normal(size=24)
+    x = np.concatenate([center + 0.25 * rng.normal(size=(500, 24)), rng.normal(size=(300, 24))]).astype(np.float32)
+    s = vector_graph.unit(x) @ vector_graph.unit(x).T >= 0.9
+    np.fill_diagonal(s, False)
+    assert s.sum(1).max() > 400
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in vector_graph.linked(df).collect()}
+    root = links(len(x), zip(*np.nonzero(s), strict=True))
+    assert all((got[i].n_links, got[i].component_id, got[i].audited_recall) == (s[i].sum(), root[i], 1.0) for i in range(len(x)))
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
