@@ -182,9 +182,10 @@ def added(text: str, base: list[Span]) -> list[Span]:
         steps.append(Rewritten(now, [(m.start(), m.end(), LOOKALIKES[m[0]]) for m in LOOKALIKE.finditer(now)]))
         now = steps[-1].text
     low = now.lower()
-    if len(low) != len(now):
-        low = now
-    if ("dot" in low or "." in low) and (WORD_AT.search(low) and "dot" in low or BRACKET_AT.search(low) or "@" in low and BRACKET_DOT.search(low)):
+    bracket = any(map(now.__contains__, "[({<"))
+    dotted = "dot" in low and WORD_DOT.search(now) or bracket and BRACKET_DOT.search(now)
+    # All that sign_edits can act on: a disguised dot with any at sign, or a bracketed at with any dot.
+    if dotted and ("@" in now or WORD_AT.search(now)) or bracket and (dotted or "." in now) and BRACKET_AT.search(now):
         if edits := sign_edits(now):
             steps.append(Rewritten(now, edits))
             now = steps[-1].text

@@ -251,6 +251,28 @@ def test_pii(spark, docs):
     assert out.columns == docs.columns and out.where("text is null").count() == 1
 
 
+def test_pii_gates():
+    # An address is found by itself as it is beside other words or letters.
+    hidden = ["jane@example dot com", "jane@example (dot) com", "jane [at] example.com", "jane at example dot com", "jane (at) example [.] com", "JANE AT EXAMPLE DOT COM", "jane (dot) doe@example.com", "plus FOUR four SEVEN seven zero zero nine zero zero one two three"]
+    for t in hidden:
+        spans = lambda text: pii_transducer.detect(text) + pii_transducer.added(text, pii_transducer.detect(text))
+        alone = spans(t)
+        assert alone
+        for lead in ("x at ", "İ ", "( . "):
+            assert [(k, a - len(lead), b - len(lead)) for k, a, b in spans(lead + t)] == alone
+    # The gates drop nothing that the edits would change.
+    rng = np.random.default_rng(6)
+    parts = ["a", "b1", " ", " at ", " AT ", " dot ", " Dot ", "(at)", "[dot]", "(.)", ".", "@", "<@>", "İ", "\n"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts, 9))
+        if edits := pii_transducer.sign_edits(t):
+            r = pii_transducer.Rewritten(t, edits)
+            want = [(k, *r.back(s, e)) for k, s, e in pii_transducer.detect(r.text)]
+            base = pii_transducer.detect(t)
+            want = [(k, a, b) for k, a, b, touched in want if touched and all(b <= x or y <= a for kind, x, y in base if kind == k)]
+            assert pii_transducer.added(t, base) == want
+
+
 def test_warc(spark):
     rows = [(1, "u1", "same"), (2, "u2", "same"), (3, "u3", "other"), (4, "u4", None), (5, "u5", ""), (3, "u3", "other"), (None, "u", "same"), (7, "u7", "x" * 300_000)]
     rows += [(100 + i, f"http://h/{i}", f"<html><body>page number {i} {'text ' * (i % 50)}</body></html>") for i in range(400)]
