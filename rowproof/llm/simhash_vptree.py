@@ -182,10 +182,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``df`` that are their class's smallest id (columns unchanged).
-    Where several rows carry that id with one text, one of them stays; rows
-    with a null id stay only where their class has no other id."""
-    found = near_duplicates(df, id_col, text_col, shingle, radius)
-    keep = found.where("id <=> component").select("id").distinct()
-    marked = df.join(keep.withColumnRenamed("id", "__rp_id"), F.col(id_col).cast("long").eqNullSafe(F.col("__rp_id")), "left_semi")
-    return marked.dropDuplicates([id_col])
+    """One row of each class of ``df`` (columns unchanged): the one of the smallest
+    id; a row with a null id stays only where its class has no other id.  Rows
+    are told apart by a written number, so ids may be null or repeat."""
+    rows = written(df.withColumn("__rp_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, "__rp_row", text_col, shingle, radius).select(F.col("id").alias("__rp_row"), "component")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.col("__rp_row"))
+    first = found.join(rows.select("__rp_row", id_col), "__rp_row").groupBy("component").agg(F.min_by("__rp_row", order).alias("__rp_row"))
+    return rows.join(first.select("__rp_row"), "__rp_row", "left_semi").select(*df.columns)

@@ -145,6 +145,16 @@ def test_simhash(spark, docs):
     assert len([r for r in kept if r.doc_id is not None]) == len(low) and simhash_vptree.near_duplicates(nothing(docs)).count() == 0
 
 
+def test_deduplicated_keeps_a_row_of_each_class(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(1), "a"), (None, text(2), "b"), (None, text(2), "c"), (None, text(3), "d"), (7, text(3), "e"), (9, text(3), "f"), (8, text(4), "g"), (8, text(5), "h"), (8, text(5), "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string").repartition(4)
+    kept = simhash_vptree.deduplicated(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id or 0, r.text) for r in kept.collect()))
+    assert got == sorted([(0, text(1)), (0, text(2)), (7, text(3)), (8, text(4)), (8, text(5))])
+
+
 def test_vptree_is_exact():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 3000, dtype=np.int64).view(np.uint64)
