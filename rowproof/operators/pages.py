@@ -7,6 +7,8 @@ chains them shuffles once by page.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,12 +128,19 @@ def inherited(df: DataFrame, page: list[str], pos: str, column: str) -> DataFram
 def near_pairs(df: DataFrame, page: list[str], pos: str, columns: list[str], limit: float, least: int = 2) -> DataFrame:
     """Pairs of rows of a page whose common columns (``least`` or more) all differ by
     less than ``limit``.  Joined on the page and on neighbouring cells of the
-    first column, so only rows that can be near meet."""
-    cell = F.floor(F.col(columns[0]) / limit)
-    a = df.select(*page, F.col(pos).alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns], cell.alias("__cell"))
-    b = df.select(*page, F.col(pos).alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns], F.explode(F.array(cell - 1, cell, cell + 1)).alias("__cell"))
+    first column that both have, so only rows that can be near meet, and once."""
     gaps = F.filter(F.array(*[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns]), lambda x: x.isNotNull())
-    return a.join(b, [*page, "__cell"]).where((F.col("a") < F.col("b")) & (F.size(gaps) >= least) & (F.array_max(gaps) < limit)).select(*page, "a", "b")
+    a = df.select(*page, F.col(pos).alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = df.select(*page, F.col(pos).alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns])
+
+    def first(k: int) -> DataFrame:
+        cell = lambda side: F.floor(F.col(f"{side}_{columns[k]}") / limit)
+        there = a.withColumn("__cell", cell("a")).join(b.withColumn("__cell", F.explode(F.array(cell("b") - 1, cell("b"), cell("b") + 1))), [*page, "__cell"])
+        for c in columns[:k]:
+            there = there.where(F.col(f"a_{c}").isNull() | F.col(f"b_{c}").isNull())
+        return there.where((F.col("a") < F.col("b")) & (F.size(gaps) >= least) & (F.array_max(gaps) < limit)).select(*page, "a", "b")
+
+    return reduce(DataFrame.unionByName, map(first, range(max(1, len(columns) - max(1, least) + 1))))
 
 
 def preflight(df: DataFrame, page: list[str], pos: str, plausible: Column, rows: int = 3, least: int = 2) -> DataFrame:

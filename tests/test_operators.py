@@ -79,6 +79,20 @@ def test_near_pairs(spark):
     assert rows(pages.near_pairs(d, ["page"], "pos", ["x", "y"], 0.5), "a") == [(1, 1, 2)]
 
 
+def test_near_pairs_of_unread_cells(spark):
+    cells = [(None, 24.9, 1.0), (None, 25.0, 1.2), (765.0, 24.8, None), (765.2, None, 1.1), (765.1, 24.9, 1.1), (None, None, 1.0), (None, 25.4, 1.6), (765.3, 24.7, 1.2), (-0.1, -0.1, None), (0.1, 0.1, None)]
+    table = [(p, i, *c) for p in (1, 2) for i, c in enumerate(cells)]
+    d = spark.createDataFrame(table, "page int, pos int, x double, y double, z double")
+    for least in (1, 2, 3):
+        want = []
+        for p, i, *a in table:
+            for q, j, *b in table:
+                gaps = [abs(x - y) for x, y in zip(a, b, strict=True) if x is not None and y is not None]
+                if p == q and i < j and len(gaps) >= least and max(gaps) < 0.5:
+                    want.append((p, i, j))
+        assert want and rows(pages.near_pairs(d, ["page"], "pos", ["x", "y", "z"], 0.5, least), "page", "a", "b") == sorted(want)
+
+
 def test_vote(spark):
     d = spark.createDataFrame([(1, 20.0), (1, 20.0), (1, 25.0), (2, 10.0), (2, 20.0), (2, 30.0), (3, None), (3, None), (3, 1.0)], "k int, v double")
     assert rows(evaluate.voted(d, ["k"], "v"), "k") == [(1, 20.0, True, 3), (2, 20.0, False, 3), (3, None, True, 3)]
