@@ -107,6 +107,51 @@ def test_packing(spark, docs):
     assert retrieval_packing.packed(nothing(docs), JSON, RANKS, PATTERN).count() == 0
 
 
+def test_packing_tokens_agree():
+    # The faster library and the shorter pattern give what the tokenizer file gives, for every character they are used on.
+    t = retrieval_packing.tokens(JSON, RANKS, PATTERN)
+    plain = [c for c in map(chr, range(9, 0x482)) if retrieval_packing.PLAIN.fullmatch(c)]
+    rng = np.random.default_rng(11)
+    parts = [*plain, *[" ", "\n", "'s", ".", "12", "the", " of", "\n\n", "  "] * 40]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(20_000)]
+    texts += ["a" * 5000, " " * 5000, "x<|endoftext|>y", "日本 語", "\n\n", " \n", "a b\n\nc d\n", "w1, " * 3000]
+    for x in texts:
+        assert t.ids(x).tolist() == t.exact.encode(x, add_special_tokens=False).ids
+
+
+def test_packing_ranks_by_bm25():
+    rng = np.random.default_rng(12)
+    docs = [rng.integers(0, 60, rng.integers(1, 14)) for _ in range(300)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=60)
+    mean, k1, b = float(np.mean([len(d) for d in docs])), retrieval_packing.K1, retrieval_packing.B
+
+    def brute(seed, d):
+        tf = collections.Counter(d.tolist())
+        idf = lambda x: np.log(1 + (300 - df[x] + 0.5) / (df[x] + 0.5))
+        return sum(idf(x) * tf[x] * (k1 + 1) / (tf[x] + k1 * (1 - b + b * len(d) / mean)) for x in set(seed.tolist()) if x in tf)
+
+    index = retrieval_packing.Index(docs, df, 300, mean)
+    unused = rng.random(300) < 0.7
+    for seed in range(0, 300, 7):
+        got = np.concatenate(list(index.neighbours(seed, unused)))
+        scores = np.array([brute(docs[seed], d) for d in docs])
+        assert set(got.tolist()) == set(np.flatnonzero((scores > 0) & unused).tolist())  # nothing is left out
+        assert np.all(np.diff(scores[got]) <= 1e-5)
+    # With more terms than one query has, every document that shares any of them follows.
+    many = [np.arange(0, 100), np.array([99]), np.array([0, 1]), np.array([200])]
+    index = retrieval_packing.Index(many, np.full(201, 2), 4, 26.0)
+    assert set(np.concatenate(list(index.neighbours(0, np.array([False, True, True, True])))).tolist()) == {1, 2}
+
+
+def test_packing_repeats_itself(spark):
+    df = common.table(spark, SMALL, "documents").select("doc_id", "text")
+    first, second = (sorted((r for r in map(tuple, retrieval_packing.packed(d, JSON, RANKS, PATTERN).collect()) if r[5] < 1 << 62)) for d in (df, df.repartition(7)))
+    assert first == second and first
+    # A code with more tokens than a shard is split, and no shard mixes it with others.
+    big = retrieval_packing.SHARD
+    assert retrieval_packing.dealt([(5, 3 * big + 1), (1, 10), (2, 20), (9, 7)]) == [(1, 0, 1), (2, 0, 1), (5, 1, 4), (9, 5, 1)]
+
+
 def test_language(spark, docs):
     train = common.table(spark, SMALL, "documents")
     model = language_kernel.learned(train.where(~language_kernel.held_out()))
