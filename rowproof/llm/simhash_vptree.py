@@ -185,8 +185,9 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of each class of ``df`` (columns unchanged): the one of the smallest
     id; a row with a null id stays only where its class has no other id.  Rows
     are told apart by a written number, so ids may be null or repeat."""
-    rows = written(df.withColumn("__rp_row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows, "__rp_row", text_col, shingle, radius).select(F.col("id").alias("__rp_row"), "component")
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.col("__rp_row"))
-    first = found.join(rows.select("__rp_row", id_col), "__rp_row").groupBy("component").agg(F.min_by("__rp_row", order).alias("__rp_row"))
-    return rows.join(first.select("__rp_row"), "__rp_row", "left_semi").select(*df.columns)
+    number = "__rp_row" + "_" * max((len(c) for c in df.columns), default=0)  # longer than any name there is
+    rows = written(df.withColumn(number, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, number, text_col, shingle, radius).select(F.col("id").alias(number), "component")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.col(number))
+    first = found.join(rows.select(number, F.col(id_col)), number).groupBy("component").agg(F.min_by(number, order).alias(number))
+    return rows.join(first.select(number), number, "left_semi").drop(number)

@@ -13,7 +13,7 @@ import public_tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
-from rowproof.llm import bpe_prefix, common, language_kernel, license_tfidf, pii_transducer, quality_lists, queries, retrieval_packing, simhash_vptree, toxicity_crf, vector_graph, warc_zstd
+from rowproof.llm import bpe_prefix, common, language_kernel, license_tfidf, pii_transducer, quality_lists, queries, retrieval_packing, simhash_similar, simhash_vptree, toxicity_crf, vector_graph, warc_zstd
 
 SMALL = "/root/testdata/sf0.001"
 JSON, RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -190,14 +190,57 @@ def test_simhash(spark, docs):
     assert len([r for r in kept if r.doc_id is not None]) == len(low) and simhash_vptree.near_duplicates(nothing(docs)).count() == 0
 
 
-def test_deduplicated_keeps_a_row_of_each_class(spark):
+@pytest.mark.parametrize("module", [simhash_vptree, simhash_similar])
+def test_deduplicated_keeps_a_row_of_each_class(spark, module):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
-    rows = [(None, text(1), "a"), (None, text(2), "b"), (None, text(2), "c"), (None, text(3), "d"), (7, text(3), "e"), (9, text(3), "f"), (8, text(4), "g"), (8, text(5), "h"), (8, text(5), "i")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, tag string").repartition(4)
-    kept = simhash_vptree.deduplicated(df)
+    rows = [(None, text(1), "a"), (None, text(2), "b"), (None, text(2), "c"), (None, text(3), "d"), (7, text(3), "e"), (9, text(3), "f"), (8, text(4), "g"), (8, text(5), "h"), (8, text(5), "i"), (3, None, None), (4, "", "j"), (11, " ", "k")]
+    df = spark.createDataFrame([(*r, r[0], i) for i, r in enumerate(rows)], "doc_id long, text string, tag string, __rp_row long, class int").repartition(4)
+    kept = module.deduplicated(df)
     assert kept.columns == df.columns
-    got = sorted(((r.doc_id or 0, r.text) for r in kept.collect()))
-    assert got == sorted([(0, text(1)), (0, text(2)), (7, text(3)), (8, text(4)), (8, text(5))])
+    got = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()))
+    assert got == sorted([(0, text(1)), (0, text(2)), (7, text(3)), (8, text(4)), (8, text(5)), (3, "")])
+    assert module.deduplicated(df.where("false")).count() == 0
+
+
+def test_similar_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(4000)]
+    passage = " ".join(rng.choice(words, 60))  # in very many texts that have nothing else in common
+    texts = []
+    for k in range(12):
+        base = list(rng.choice(words, rng.integers(60, 400)))
+        texts.append(" ".join(base))
+        for share in (0.002, 0.004, 0.008, 0.015, 0.03, 0.06):
+            t = list(base)
+            for i in rng.integers(0, len(t), max(1, int(share * len(t)))):
+                t[i] = f"new{rng.integers(1 << 40)}"
+            texts.append(" ".join(t))
+    texts += [" ".join(rng.choice(words, 100)) + " " + passage for _ in range(80)] + [passage + f" end{i}" for i in range(60)]
+    texts += [None, "", " \n", "a", "A", "a b", texts[0].upper(), texts[0]]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    n = len(texts)
+    close = np.array([[like(a, b) for b in sets] for a in sets])
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(5)
+    for block in (4096, 16):  # in one block, and with every shard of more than 16 texts split
+        monkeypatch.setattr(simhash_similar, "BLOCK", block)
+        got = {r.row: r["class"] for r in simhash_similar.similar(df, "row").collect()}
+        sure, may = links(n, np.argwhere(close >= 0.84)), links(n, np.argwhere(close >= 0.72))
+        assert len(got) == n
+        assert all(got[a] == got[b] for a in range(n) for b in range(a) if sure[a] == sure[b])
+        assert all(may[a] == may[b] for a in range(n) for b in range(a) if got[a] == got[b])
+    assert simhash_similar.similar(df.where("false"), "row").count() == 0
+
+
+def test_similar_forest_is_exact():
+    # Vantage points, blocks and the core of a ball leave no link out.
+    rng = np.random.default_rng(14)
+    radius, words = simhash_similar.radius_of(0.8), simhash_similar.BITS // 64
+    base = rng.integers(0, 1 << 63, (300, words), dtype=np.int64).view(np.uint64)
+    flips = lambda x, k: x ^ np.packbits(np.array([rng.permutation(np.arange(words * 64) < k) for _ in x]), axis=1).view(np.uint64)
+    fps = np.concatenate([base, flips(base[:200], 90), flips(base[:100], 130), flips(np.repeat(base[:1], 500, 0), 60), flips(np.repeat(base[1:2], 400, 0), 85)])
+    d = np.bitwise_count(fps[:, None] ^ fps[None]).sum(-1, dtype=np.int64)
+    assert simhash_similar.forest(fps, radius).tolist() == links(len(fps), np.argwhere(np.triu(d <= radius, 1)))
 
 
 def test_vptree_is_exact():
