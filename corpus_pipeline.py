@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowproof.llm import pii_transducer, quality_lists, retrieval_packing, simhash_vptree, toxicity_crf
+from rowproof.llm import pii_transducer, quality_lists, retrieval_packing, simhash_similar, toxicity_crf
 from rowproof.llm.common import table, written
 from rowproof.llm.queries import split_pattern, tokenizer_file
 
@@ -27,8 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash_vptree.deduplicated(docs)
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return simhash_similar.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
