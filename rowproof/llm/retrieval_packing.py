@@ -312,7 +312,9 @@ def packed(df: DataFrame, json_path: str, ranks_path: str, pattern: str, end_id:
     # ``known`` ends behind the last id that occurs, so the type of the ids comes from the vocabulary.
     ids_of = lambda size: lambda x: np.frombuffer(x, size).astype(np.int64)
     width = kind(tokens(json_path, ranks_path, pattern).size)
-    sample = rests.orderBy(F.xxhash64("ids"), "doc_id", "start").limit(SAMPLE).select("ids").collect()
+    # A hash thins the rests to a few times the sample before any are ranked.
+    thin = F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(max(1, n_docs // (2 * SAMPLE)))) == 0
+    sample = rests.where(thin).orderBy(F.xxhash64("ids"), "doc_id", "start").limit(SAMPLE).select("ids").collect()
     middle = centers(projected([ids_of(width)(r.ids) for r in sample], plane(known, n_docs)))
     shared = spark.sparkContext.broadcast((known, middle))
 

@@ -3,7 +3,8 @@
 Learning (driver, from at most ``PER_CLASS`` labelled documents of each class,
 equal texts once): words and word beginnings whose document counts lean to the
 toxic class by a wide margin label the tokens of toxic documents; a two-label chain with word,
-affix and shape features is fitted to these tokens by its likelihood gradient;
+affix and shape features is fitted to these tokens by its likelihood gradient,
+long documents in pieces and all pieces in blocks, so memory stays flat;
 a logistic curve maps a document's marginals to a probability.
 
 Scoring (Spark tasks): forward-backward marginals of every token of every whole
@@ -32,8 +33,9 @@ from .common import bound_batches
 
 #: Bounds of the learning sample: documents of a class, and those of them that fit the chain.
 PER_CLASS, CHAIN_PER_CLASS = 1500, 400
-#: Words of a document that fits the chain at most (longer ones are not taken, none is cut).
-CHAIN_WORDS = 1500
+#: Words of a piece of a document that is fitted as a chain (a longer document is
+#: several pieces, all of them fitted), and tokens that are worked on at once.
+CHAIN_WORDS, CHAIN_BLOCK = 512, 200_000
 #: A word labels tokens if it leans to toxic documents by so many standard
 #: deviations, in so many of them, as this share of all that hold it.
 LEAN, LEAST, PURE = 6.5, 4, 0.8
@@ -157,46 +159,66 @@ def lexicon(docs: list[tuple[str, int]], share: float) -> set[str]:
     return out
 
 
+def pieces(words: list[str]) -> list[list[str]]:
+    """A document's words in pieces of nearly equal length, none over ``CHAIN_WORDS``."""
+    k = -(-len(words) // CHAIN_WORDS)
+    return [words[len(words) * i // k : len(words) * (i + 1) // k] for i in range(k)]
+
+
+class Block:
+    """Pieces laid side by side, longest first, with the labels of their tokens."""
+
+    def __init__(self, seqs: list[tuple[list[int], list[bool]]]):
+        self.lengths = np.array([len(s) for s, _ in seqs])
+        self.ids = np.full((self.lengths[0], len(seqs)), -1, np.int32)
+        gold = np.zeros(self.ids.shape, bool)
+        for k, (s, y) in enumerate(seqs):
+            self.ids[: len(s), k], gold[: len(s), k] = s, y
+        self.there, self.gold = self.ids >= 0, gold
+        pair = self.there[1:]
+        self.pairs = np.array([[(pair & (gold[:-1] == i) & (gold[1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
+
+    def gradient(self, unit: np.ndarray, trans: np.ndarray, begin: float) -> tuple[np.ndarray, np.ndarray, float]:
+        """Observed less expected: of each word's label, of the label pairs, and of the first labels."""
+        e = np.where(self.there, np.exp(np.clip(unit[self.ids], -30, 30)), 1.0)
+        a = np.exp(trans)
+        f, b = recursion(e, self.lengths, a, math.exp(begin))
+        p = f * b
+        p = p / (1 + p)
+        pair = self.there[1:]
+        x = np.where(pair, e[1:] * b[1:], 0)
+        cells = np.stack([np.ones_like(x) * a[0, 0], a[0, 1] * x, f[:-1] * a[1, 0], f[:-1] * a[1, 1] * x])
+        cells = np.where(pair, cells / cells.sum(0), 0).sum((1, 2)).reshape(2, 2)
+        return np.bincount(self.ids[self.there], (self.gold - p)[self.there], len(unit)), self.pairs - cells, float((self.gold[0] - p[0]).sum())
+
+
 def fit_chain(model: Model, docs: list[tuple[str, int]], words: set[str]) -> None:
     """Maximise the likelihood of the token labels by adaptive gradient steps."""
-    seqs = sorted(([t.lower().split(), y] for t, y in docs), key=lambda x: -len(x[0]))
-    seqs = [x for x in seqs if x[0]]
+    cut = sorted(((piece, y) for t, y in docs for piece in pieces(t.lower().split())), key=lambda x: -len(x[0]))
     names: dict[str, int] = {}
     tokens: dict[str, list[int]] = {}
-    count = Counter(f for s, _ in seqs for t in set(s) for f in features(t))
-    for s, _ in seqs:
+    count = Counter(f for s, _ in cut for t in set(s) for f in features(t))
+    for s, _ in cut:
         for t in s:
             if t not in tokens:
                 tokens[t] = [names.setdefault(f, len(names)) for f in features(t) if f == "*" or count[f] >= 3]
     vocab = {t: i for i, t in enumerate(tokens)}
     row = np.repeat(np.arange(len(vocab)), [len(x) for x in tokens.values()])
     col = np.array([i for x in tokens.values() for i in x])
-    lengths = np.array([len(s) for s, _ in seqs])
-    ids = np.full((lengths[0], len(seqs)), -1)
-    gold = np.zeros(ids.shape, bool)
     hit = {t: not words.isdisjoint(units(EDGE.sub("", t))) for t in vocab}
-    for k, (s, y) in enumerate(seqs):
-        ids[: len(s), k] = [vocab[t] for t in s]
-        gold[: len(s), k] = [y == 1 and hit[t] for t in s]
-    there = ids >= 0
+    blocks, i = [], 0
+    while i < len(cut):
+        k = max(1, CHAIN_BLOCK // len(cut[i][0]))
+        blocks.append(Block([([vocab[t] for t in s], [y == 1 and hit[t] for t in s]) for s, y in cut[i : i + k]]))
+        i += k
     w, trans, begin = np.zeros(len(names)), np.zeros((2, 2)), 0.0
     w[names["*"]] = -4.0
     square = [np.full(len(names), 1e-6), np.full((2, 2), 1e-6), 1e-6]
-    n = max(1, len(seqs))
-    pair = there[1:]
-    gold_pairs = np.array([[(pair & (gold[:-1] == i) & (gold[1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
+    n = len(cut)
     for _ in range(EPOCHS):
         unit = np.bincount(row, w[col], len(vocab))
-        e = np.where(there, np.exp(np.clip(unit[ids], -30, 30)), 1.0)
-        a = np.exp(trans)
-        f, b = recursion(e, lengths, a, math.exp(begin))
-        p = f * b
-        p = p / (1 + p)
-        x = np.where(pair, e[1:] * b[1:], 0)
-        cells = np.stack([np.ones_like(x) * a[0, 0], a[0, 1] * x, f[:-1] * a[1, 0], f[:-1] * a[1, 1] * x])
-        cells = np.where(pair, cells / cells.sum(0), 0).sum((1, 2)).reshape(2, 2)
-        diff = np.bincount(ids[there], (gold - p)[there], len(vocab))
-        steps = (np.bincount(col, diff[row], len(names)) / n - RIDGE * w / n, (gold_pairs - cells) / n - RIDGE * trans, float((gold[0] - p[0]).mean()) - RIDGE * begin)
+        diff, cells, first = (sum(x) for x in zip(*(b.gradient(unit, trans, begin) for b in blocks), strict=True))
+        steps = (np.bincount(col, diff[row], len(names)) / n - RIDGE * w / n, cells / n - RIDGE * trans, first / n - RIDGE * begin)
         for k, g in enumerate(steps):
             square[k] = square[k] + g * g
         w = w + RATE * steps[0] / np.sqrt(square[0]) * (np.abs(steps[0]) > 1e-9)
@@ -240,7 +262,7 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 def fitted(model: Model, rows: list[tuple[str, int]], share: float) -> Model:
     words = lexicon(rows, share)
     if words:
-        chain = [r for y in (0, 1) for r in [r for r in rows if r[1] == y and 0 < len(r[0].split()) <= CHAIN_WORDS][:CHAIN_PER_CLASS]]
+        chain = [r for y in (0, 1) for r in [r for r in rows if r[1] == y and r[0].split()][:CHAIN_PER_CLASS]]
         if chain:
             fit_chain(model, chain, words)
         fit_curve(model, rows, share)

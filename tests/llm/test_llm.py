@@ -161,10 +161,39 @@ def test_language(spark, docs):
     assert [got[10_000 + i].lang_pred for i in range(3)] == ["und"] * 3 and all(0 <= r.score <= 1 for r in got.values())
     none = language_kernel.learned(train.where("false"))
     assert {r.lang_pred for r in language_kernel.predicted(docs, none).collect()} == {"und"}
-    # The kernel is the share of distinct n-grams.
-    a, b = "abcd ab", "bcd"
-    n = lambda t: {t.encode()[i : i + k] for k in range(1, 5) for i in range(len(t) - k + 1)}
-    assert len(np.intersect1d(language_kernel.grams(a), language_kernel.grams(b))) == len(n(a) & n(b)) and len(language_kernel.grams(a)) == len(n(a))
+    assert language_kernel.predicted(nothing(docs), model).count() == 0
+
+
+def test_language_against_brute_force():
+    # N-grams, kernel and regression by sets of byte strings and dense matrices.
+    rng = np.random.default_rng(15)
+    alphabets = ["abcdeé ", "efghiß ", "aeiouЖ "]
+    rows = [(f"l{k}", "".join(rng.choice(list(a), rng.integers(5, 60)))) for k, a in enumerate(alphabets) for _ in range(60)]
+    n_grams = lambda t: {b[i : i + k] for b in [t.lower().encode()] for k in range(1, 5) for i in range(len(b) - k + 1)}
+    sets = [n_grams(t) for _, t in rows]
+    marks = [i for k in range(3) for i in range(60 * k, 60 * k + language_kernel.LANDMARKS)]
+    like = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    k_nm = np.array([[like(a, sets[m]) for m in marks] for a in sets])
+    ours = [language_kernel.grams(t) for _, t in rows]
+    assert [len(g) for g in ours] == [len(x) for x in sets]
+    assert np.allclose(language_kernel.kernel(ours, [ours[m] for m in marks]), k_nm)
+    values, vectors = np.linalg.eigh(k_nm[marks])
+    keep = values > language_kernel.RANK * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    phi, y = k_nm @ root, np.repeat(np.eye(3), 60, 0)
+    beta = root @ np.linalg.solve(phi.T @ phi / 60 + language_kernel.RIDGE * 3 / 180 * np.eye(keep.sum()), phi.T @ y / 60)
+    model = language_kernel.fitted(rows)
+    new = ["".join(rng.choice(list(alphabets[k % 3]), 30)) for k in range(50)] + ["z" * 500, "é"]
+    want = np.array([[like(n_grams(t), sets[m]) for m in marks] for t in new]) @ beta
+    assert np.allclose(model.scores([language_kernel.grams(t) for t in new]), want, atol=1e-8)
+    assert model.predict(new)[0] == [f"l{k}" for k in want.argmax(1)]
+    # Every label is learned, however many there are, and numbers that share a slot are told apart.
+    many = language_kernel.fitted([(f"x{i}", f"text{i} {i * i} word{i}") for i in range(300)])
+    assert len(many.languages) == 300 and many.predict(["text7 49 word7"])[0][0] == "x7"
+    known = np.unique(rng.integers(1, 1 << 62, 5000).astype(np.uint64))
+    look = language_kernel.Lookup(known)
+    assert look.find(known).tolist() == list(range(len(known))) and len(look.others) > 0
+    assert look.find(np.setdiff1d(rng.integers(1, 1 << 62, 5000).astype(np.uint64), known)).max() == -1
 
 
 def test_simhash(spark, docs):
@@ -283,6 +312,7 @@ def test_toxicity(spark, docs):
     assert all(r.text[s.start : s.end].lower().startswith("vile") for r in got for s in r.spans)
     assert len(toxicity_crf.scored(docs, model).collect()) == docs.count() and toxicity_crf.filtered(docs, model).columns == docs.columns
     assert toxicity_crf.scored(docs, toxicity_crf.learned(docs, df.where("false").select("doc_id", "toxic"))).select("score").distinct().count() == 1
+    assert toxicity_crf.scored(nothing(docs), model).count() == 0 and toxicity_crf.filtered(nothing(docs), model).count() == 0
     # Marginals against the sum over all labellings.
     m = toxicity_crf.Model(weights={"w=a": 0.7, "w=b": -0.4}, chain=[[1.2, 0.5], [0.8, 2.0]], start=0.6)
     tokens = "a b a a".split()
@@ -294,6 +324,22 @@ def test_toxicity(spark, docs):
     assert np.allclose(m.marginals(["a b a a", "", "b"])[0], ones / total)
 
 
+def test_toxicity_fits_whole_documents_in_blocks(monkeypatch):
+    rng = np.random.default_rng(16)
+    long = [[*rng.choice(["a", "b", "vile", "c"], 700)] for _ in range(6)]
+    rows = [(" ".join(w), k % 2) for k, w in enumerate(long)] + [("a b vile c", 1), ("c", 0)]
+    assert [w for words in long for p in toxicity_crf.pieces(words) for w in p] == [w for words in long for w in words]
+    assert max(len(p) for words in long for p in toxicity_crf.pieces(words)) <= toxicity_crf.CHAIN_WORDS
+    found = []
+    for block in (200_000, 600):  # all pieces side by side, or one at a time
+        monkeypatch.setattr(toxicity_crf, "CHAIN_BLOCK", block)
+        model = toxicity_crf.Model()
+        toxicity_crf.fit_chain(model, rows, {"vile"})
+        found.append((model.weights, model.chain, model.start))
+    assert found[0][0].keys() == found[1][0].keys() and np.allclose(list(found[0][0].values()), list(found[1][0].values()))
+    assert np.allclose(found[0][1], found[1][1]) and np.isclose(found[0][2], found[1][2])
+
+
 def test_bpe(spark, docs):
     import tiktoken
 
