@@ -1,69 +1,157 @@
-"""Tolerant row parsing: expressions specialised to a layout.
+"""Tolerant row parsing, specialised to a layout.
 
 A cell is a struct (kind, num, txt): ``null`` for blanks, ``num``, ``txt`` for
-text columns and printed words, ``ditto`` for a repeat sign.
+text columns and words that stand for no number, ``ditto`` for a repeat sign.
+Every step is a projection of its own, so tokens and numbers are computed once
+and the whole parser is generated code.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowproof.layout import Layout
 
-# Tokens that stand for a blank cell, and for "as above".
-BLANKS = ("", "null", "-", "—", "...", "…", "....")
-DITTOS = ("»", "«", '"', "″", "''", "”", "“", "„", "do", "id", "idem")
+# Tokens that stand for a blank cell and for "as above" (in lower case), and those that end a row.
+BLANKS = ("null", "", "-", "—", "...", "…", "....")
+DITTOS = ("»", "«", '"', "”", "″", "''", ",,", "idem", "id.", "ditto", "〃")
+STOPS = ("<|im_end|>", "<|endoftext|>", "</s>")
+# Raised points, long dashes, and how a mended row is reported (these problems are soft).
+POINTS, DASHES = "·‧∙⋅", "—–"
+PADDED, JOINED, LEADING, HOLE = "padded 1 trailing cell (assumed the last column is blank)", "index cell read as two tokens", "dropped a spurious leading cell", "dropped an empty cell at position"
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def number(token: Column) -> Column:
-    """A printed number, or null: decimal commas, raised points, dashes as signs."""
-    t = F.translate(token, ",·˙•∙", ".....")
-    t = F.translate(t, "–—−", "---")
-    t = F.regexp_replace(t, r"^([+-]) ", "$1")
+def plain_number(token: Column) -> Column:
+    """A number with a point of any kind, or null."""
+    t = F.translate(token, ",·", "..")
     return F.when(t.rlike(NUMBER), t.try_cast("double"))
 
 
-def cells(raw: Column) -> Column:
-    """Trimmed tokens between pipes; backticks around the row are dropped."""
-    return F.transform(F.split(F.regexp_replace(F.trim(raw), r"^`+|`+$", ""), "[|]"), lambda x: F.trim(x))
-
-
-def cell(token: Column, kind: str) -> Column:
-    blank = F.lower(token).isin(*BLANKS)
-    ditto = token.isin(*DITTOS)
-    value = number(token)
-    if kind == "day":
-        value = F.floor(F.abs(value)) * F.signum(value)
-    made = lambda k, num=None, txt=None: F.struct(F.lit(k).alias("kind"), (num if num is not None else F.lit(None)).cast("double").alias("num"), (txt if txt is not None else F.lit(None)).cast("string").alias("txt"))
-    if kind == "text":
-        return F.when(ditto, made("ditto")).when(blank, made("null")).otherwise(made("txt", txt=token))
-    return F.when(ditto, made("ditto")).when(blank, made("null")).when(value.isNotNull(), made("num", num=value)).otherwise(made("txt", txt=token))
+def number(token: Column) -> Column:
+    """A printed number, or null: decimal commas, raised points, dashes as signs,
+    a blank behind the sign."""
+    t = F.translate(token, "," + POINTS + DASHES, "." + "." * len(POINTS) + "-" * len(DASHES))
+    t = F.replace(F.replace(t, F.lit("+ "), F.lit("+")), F.lit("- "), F.lit("-"))
+    return F.when(t.rlike(NUMBER), t.try_cast("double"))
 
 
-def parse_row(layout: Layout, raw: Column) -> Column:
-    """struct(cells struct by key, problems array): one blank beyond the last
-    column is dropped, one missing trailing cell is padded (a soft problem), any
-    other count is a problem and leaves all cells null."""
-    n = len(layout.columns)
-    tokens = cells(F.coalesce(raw, F.lit("")))
+def quoted(token: Column) -> Column:
+    mark = F.when(token.contains("'") & ~token.contains('"'), '"').otherwise("'")
+    return F.concat(mark, token, mark)
+
+
+def tokens(raw: Column) -> Column:
+    """Trimmed tokens between pipes, up to a stop; backticks around the row are dropped."""
+    said = reduce(lambda x, stop: F.substring_index(x, stop, 1), STOPS, F.coalesce(raw, F.lit("")))
+    return F.split(F.regexp_replace(said, r"^\s*`*\s*|\s*`*\s*$", ""), r"\s*[|]\s*")
+
+
+def is_blank(token: Column) -> Column:
+    return F.lower(token).isin(*BLANKS)
+
+
+def mended_index(df: DataFrame, layout: Layout) -> DataFrame:
+    """One token too many and an index out of range: a spurious leading cell is
+    dropped, or an index that was read as two tokens is joined.  Only for an
+    index with a declared range."""
+    n, index = len(layout.columns), layout.index
+    t = F.col("__tokens")
+    a, b = F.get(t, F.lit(0)), F.get(t, F.lit(1))
+    legal = lambda x: F.coalesce(plain_number(x).between(index.low, index.high), F.lit(False))
+    joined = F.concat(a, b)
+    over = (F.size(t) == n + 1) & ~legal(a)
+    empty = F.lower(a).isin(*DITTOS, *(x for x in BLANKS if x != "...."))
+    what = F.when(over, F.when(empty, F.when(legal(b), "lead")).when(joined.rlike("^[0-9]+$") & legal(joined), "join"))
+    df = df.withColumn("__what", what)
+    what = F.col("__what")
+    mended = F.when(what == "lead", F.slice(t, 2, n)).when(what == "join", F.concat(F.array(joined), F.slice(t, 3, n - 1))).otherwise(t)
+    note = F.when(what == "lead", F.concat(F.lit(LEADING + " "), quoted(a))).when(what == "join", F.concat(F.lit(JOINED + " "), quoted(a), F.lit(" "), quoted(b), F.lit(", joined to "), quoted(joined)))
+    return df.withColumns({"__tokens": mended, "__p_index": note}).drop("__what")
+
+
+def without_hole(df: DataFrame, layout: Layout) -> DataFrame:
+    """One token too many and a single blank inside: it is dropped if all numbers
+    are in their ranges then (carried columns are not judged)."""
+    n, t = len(layout.columns), F.col("__tokens")
+    blank = [is_blank(F.get(t, F.lit(i))).cast("int") for i in range(1, n)]
+    place = reduce(lambda out, i: F.when(blank[i - 1] == 1, i).otherwise(out), range(n - 1, 0, -1), F.lit(None).cast("int"))
+    only = (F.size(t) == n + 1) & (sum(blank[1:], blank[0]) == 1)
+    df = df.withColumn("__hole", F.when(only, place))
+    hole = F.col("__hole")
+    outside = []
+    for i, c in enumerate(layout.columns):
+        if c.kind != "text" and c.low is not None and not c.carried:
+            value = plain_number(F.get(t, F.when(hole <= i, i + 1).otherwise(i)))
+            outside.append(F.coalesce(~value.between(c.low, c.high), F.lit(False)))
+    fits = hole.isNotNull() & ~reduce(lambda x, y: x | y, outside, F.lit(False))
+    df = df.withColumn("__hole", F.when(fits, hole))
+    note = F.concat(F.lit(HOLE + " "), hole.cast("string"), F.lit(" (the page rules a line there, it is not a column)"))
+    return df.withColumns({"__tokens": F.when(hole.isNotNull(), F.concat(F.slice(t, 1, hole), F.slice(t, hole + 2, n + 1))).otherwise(t), "__p_hole": note}).drop("__hole")
+
+
+def parse_rows(df: DataFrame, layout: Layout, raw: str = "raw", out: str = "parsed") -> DataFrame:
+    """``df`` with ``out``: struct(cells struct by key, problems array, markers map).
+
+    A blank beyond the last column is dropped and one missing trailing cell is
+    padded; a declared index and a ruled blank are mended as above; any other
+    number of tokens is a problem, and cells go by their place.  Numbers that
+    can't be read are null and a problem, unless the token begins like one of the
+    layout's markers, which is kept as printed.  A null row has no cells."""
+    n, ranged = len(layout.columns), layout.index is not None and layout.index.low is not None
+    df = df.withColumn("__tokens", tokens(F.col(raw)))
+    t = F.col("__tokens")
+    df = df.withColumn("__tokens", F.when((F.size(t) == n + 1) & is_blank(F.get(t, F.lit(n))), F.slice(t, 1, n)).otherwise(t))
+    none = F.lit(None).cast("string")
+    df = without_hole(mended_index(df, layout), layout) if ranged else df.withColumns({"__p_index": none, "__p_hole": none})
+    k = F.size("__tokens")
+    # At this place one missing cell is padded: its token is not there, which reads as blank.
+    count = F.when(k == n - 1, PADDED).when(k != n, F.concat(k.cast("string"), F.lit(f" cells, expected {n}")))
+    df = df.withColumns({"__p_count": count} | {f"__t{i}": F.coalesce(F.get("__tokens", F.lit(i)), F.lit("null")) for i in range(n)})
+    df = df.withColumns({f"__l{i}": F.lower(f"__t{i}") for i in range(n)} | {f"__n{i}": number(F.col(f"__t{i}")) for i, c in enumerate(layout.columns) if c.kind != "text"})
+    starts = [m.lower().rstrip(".")[:4] for m in layout.markers if m]
+    kinds, problems, marked = {}, [], []
+    for i, c in enumerate(layout.columns):
+        low, token = F.col(f"__l{i}"), F.col(f"__t{i}")
+        kind = F.when(low.isin(*DITTOS), "ditto").when(low.isin(*BLANKS), "null")
+        if c.kind == "text":
+            kinds[f"__k{i}"] = kind.otherwise("txt")
+            continue
+        word = F.trim(F.regexp_replace(low, r"[.]+$", ""))
+        marker = reduce(lambda x, m, word=word: x | word.startswith(m), starts, F.lit(False))
+        kinds[f"__k{i}"] = kind.when(F.col(f"__n{i}").isNotNull(), "num").when(marker, "marker").otherwise("txt")
+        problems.append(F.when(F.col(f"__k{i}") == "txt", F.concat(F.lit(f"{c.key}: unparsable "), quoted(token))))
+        marked.append(F.when(F.col(f"__k{i}") == "marker", F.struct(F.lit(c.key).alias("key"), token.alias("value"))))
+    df = df.withColumns(kinds)
+
+    def cell(i: int, kind: str) -> Column:
+        k, value = F.col(f"__k{i}"), F.lit(None).cast("double")
+        if kind != "text":
+            value = F.col(f"__n{i}")
+            value = F.when(k == "num", F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast("double") if kind == "day" else value)
+        return F.struct(k.alias("kind"), value.alias("num"), F.when(k.isin("txt", "marker"), F.col(f"__t{i}")).alias("txt"))
+
+    cells = F.struct(*[cell(i, c.kind).alias(c.key) for i, c in enumerate(layout.columns)])
+    made = F.struct(
+        cells.alias("cells"),
+        F.array_compact(F.array("__p_index", "__p_hole", "__p_count", *problems)).alias("problems"),
+        (F.map_from_entries(F.array_compact(F.array(*marked))) if marked else F.create_map().cast("map<string,string>")).alias("markers"),
+    )
+    return df.withColumn(out, made).select(*[F.col(f"`{x}`") for x in df.columns if not x.startswith("__")], out)
 
-    def fitted(t: Column) -> Column:
-        k = F.size(t)
-        t = F.when((k == n + 1) & F.get(t, F.lit(n)).isin(*BLANKS), F.slice(t, 1, n)).when(k == n - 1, F.concat(t, F.array(F.lit("null")))).otherwise(t)
-        right = F.size(t) == n
-        out = F.struct(*[F.when(right, cell(F.get(t, F.lit(i)), c.kind)).alias(c.key) for i, c in enumerate(layout.columns)])
-        bad = [F.when(right & (out[c.key]["kind"] == "txt"), F.concat(F.lit(f"{c.key}: unparsable "), out[c.key]["txt"])) for c in layout.columns if c.kind != "text"]
-        count = F.when(~right, F.concat(k.cast("string"), F.lit(f" cells, expected {n}"))).when(k == n - 1, F.lit("padded 1 trailing cell"))
-        return F.struct(out.alias("cells"), F.filter(F.array(count, *bad), lambda p: p.isNotNull()).alias("problems"))
 
-    # array and transform bind the tokens, so the row is split once.
-    return F.get(F.transform(F.array(tokens), fitted), F.lit(0))
+def soft(problem: Column) -> Column:
+    """A recorded repair rather than a reason to distrust the row."""
+    return reduce(lambda x, start: x | problem.startswith(start), (JOINED, LEADING, HOLE), problem.startswith(PADDED))
 
 
-def soft(problem: Column) -> Column:
-    return problem.startswith("padded 1 trailing cell") | problem.startswith("dropped ") | problem.startswith("joined ")
+def is_summary(raw: Column, words: tuple[str, ...]) -> Column:
+    """Whether a row's first cell is one of the words a page prints for its total, dots and case aside."""
+    first = F.lower(F.regexp_replace(F.trim(F.substring_index(raw, "|", 1)), "[.]+$", ""))
+    return F.coalesce(first.isin(*[w.rstrip(".").lower() for w in words]), F.lit(False)) if words else F.lit(False)
 
 
 def target(layout: Layout, columns: dict[str, Column]) -> Column:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+import unicodedata
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 KINDS = ("day", "number", "text")
 
@@ -17,7 +21,10 @@ class LayoutColumn:
     unit: str | None = None
     low: float | None = None
     high: float | None = None
-    elided: bool = False
+    elided: bool = False  # the hundreds are not printed
+    elided_low: float = 700.0
+    elided_high: float = 800.0
+    carried: bool = False  # the whole part is printed once and carried down
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
@@ -41,6 +48,7 @@ class Layout:
     checks: tuple[Check, ...] = ()
     markers: tuple[str, ...] = ()
     rows_per_page: str = "days_in_month"
+    summary_words: tuple[str, ...] = ()
     extra: dict = field(default_factory=dict)
 
     @property
@@ -49,16 +57,42 @@ class Layout:
 
     @classmethod
     def from_dict(cls, d: dict) -> Layout:
-        return cls(d["id"], tuple(LayoutColumn(**c) for c in d["columns"]), tuple(Check(c["kind"], c["result"], tuple(c["of"])) for c in d.get("checks", ())), tuple(d.get("markers", ())), d.get("rows_per_page", "days_in_month"))
+        return cls(d["id"], tuple(LayoutColumn(**c) for c in d["columns"]), tuple(Check(c["kind"], c["result"], tuple(c["of"])) for c in d.get("checks", ())), tuple(d.get("markers", ())), d.get("rows_per_page", "days_in_month"), tuple(d.get("summary_words", ())))
 
     @classmethod
     def load(cls, path: str) -> Layout:
         with open(path) as f:
             return cls.from_dict(json.load(f))
 
+    @classmethod
+    def available(cls, folder: str) -> dict[str, Layout]:
+        """All layouts of a folder, by id."""
+        found = [cls.load(os.path.join(folder, f)) for f in sorted(os.listdir(folder)) if f.endswith(".json")]
+        return {x.id: x for x in found}
+
+    @classmethod
+    def blank(cls, id: str, labels: list[str]) -> Layout:
+        """A skeleton from printed labels: number columns under their slugs, the first the index."""
+        keys = [re.sub("[^a-z0-9]+", "_", unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower()).strip("_") for x in labels]
+        return cls(id, tuple(LayoutColumn(k, "day" if i == 0 else "number") for i, k in enumerate(keys)))
+
     def to_dict(self) -> dict:
         return asdict(self)
 
+    def save(self, folder: str) -> str:
+        path = os.path.join(folder, f"{self.id}.json")
+        with open(path, "w") as f:
+            json.dump(self.to_dict(), f, ensure_ascii=False, indent=1)
+        return path
+
+    def expected_rows(self, period: Column) -> Column:
+        """Rows that a page of ``YYYY-MM`` should have; null where the period says nothing."""
+        kind, _, n = self.rows_per_page.partition(":")
+        if kind == "fixed":
+            return F.lit(int(n))
+        days = F.day(F.last_day(F.try_to_date(F.concat(period, F.lit("-01")), "yyyy-MM-dd")))
+        return days * 2 if kind == "days_in_month_x2" else days
+
     def table(self, spark: SparkSession) -> DataFrame:
         """One row per column, for joins in long form."""
         rows = [(self.id, i, c.key, c.kind, c.unit, c.low, c.high) for i, c in enumerate(self.columns)]

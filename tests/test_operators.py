@@ -20,16 +20,45 @@ def test_restore_hundreds(spark, low, lo, hi, want):
     assert spark.range(1).select(scalars.restore_hundreds(F.lit(low), lo, hi)).first()[0] == want
 
 
+def parsed(spark, layout, raw):
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string")
+    return [r.p for r in parse.parse_rows(df, layout, "raw", "p").orderBy("i").collect()]
+
+
 def test_parse_row_conventions(spark):
-    layout = Layout("x", (LayoutColumn("day", "day"), LayoutColumn("a"), LayoutColumn("d", "text")))
-    raw = ["1 | + 0.35 | N", "2 | — 1.23 | SW", "3 | 29·969 | null", "» | 4,5 | » |", "5 | 1", "6 | Gottas | E", "1 | 2 | 3 | 4 | 5", None]
-    df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string").withColumn("p", parse.parse_row(layout, F.col("raw")))
-    got = rows(df.select("i", "p.cells.day.num", "p.cells.a.num", "p.cells.d.txt", "p.cells.d.kind", "p.problems"), "i")
-    assert [g[1] for g in got[:6]] == [1, 2, 3, None, 5, 6]
-    assert [g[2] for g in got[:6]] == [0.35, -1.23, 29.969, 4.5, 1.0, None]
-    assert [g[4] for g in got[:5]] == ["txt", "txt", "null", "ditto", "null"]
-    assert got[4][5] == ["padded 1 trailing cell"] and got[5][5] == ["a: unparsable Gottas"]
-    assert got[6][5] == ["5 cells, expected 3"] and len(got[7][5]) == 1
+    layout = Layout("x", (LayoutColumn("day", "day"), LayoutColumn("a"), LayoutColumn("d", "text")), markers=("Inap.",))
+    raw = ["1 | + 0.35 | N", "2 | — 1.23 | SW", "3 | 29·969 | null", "» | 4,5 | IDEM |", "5 | 1", "6 | Gottas | E", "1 | 2 | 3 | 4 | 5", None, "`7 | 1‧5 | x` <|im_end|> 9 | 9", "8 | inapr. | NULL | ", "9.7 | 1d | ,,", "9 | it's | a"]
+    got = parsed(spark, layout, raw)
+    assert [g.cells.day.num for g in got] == [1, 2, 3, None, 5, 6, 1, None, 7, 8, 9, 9]
+    assert [g.cells.a.num for g in got] == [0.35, -1.23, 29.969, 4.5, 1.0, None, 2.0, None, 1.5, None, None, None]
+    assert [g.cells.d.kind for g in got] == ["txt", "txt", "null", "ditto", "null", "txt", "txt", "null", "txt", "null", "ditto", "txt"]
+    assert got[4].problems == [parse.PADDED] and got[5].problems == ["a: unparsable 'Gottas'"]
+    assert got[6].problems == ["5 cells, expected 3"] and got[7].problems == ["1 cells, expected 3"] and got[8].problems == []
+    assert got[9].markers == {"a": "inapr."} and got[9].problems == [] and got[10].problems == ["a: unparsable '1d'"] and got[11].problems == ["a: unparsable \"it's\""]
+
+
+def test_parse_mends_a_ranged_index(spark):
+    layout = Layout("y", (LayoutColumn("year", "day", low=1850, high=1880), LayoutColumn("a", low=0, high=50), LayoutColumn("b", low=0, high=50), LayoutColumn("c", carried=True, low=28, high=31)))
+    raw = ["18 | 56 | 1 | 2 | ·404", "» | 1857 | 1 | 2 | 3", "1858 | 1 | null | 2 | ·787", "1859 | 1 | null | 99 | 3", "1860 | 1 | 2 | 3 | 4", "x | 1861 | 1 | 2 | 3", "1862 | null | null | 2 | 3", "1863 | 1 | 2 | 3 | - "]
+    got = parsed(spark, layout, raw)
+    assert [[g.cells[k].num for k in ("year", "a", "b", "c")] for g in got[:3]] == [[1856, 1, 2, 0.404], [1857, 1, 2, 3], [1858, 1, 2, 0.787]]
+    assert got[0].problems == ["index cell read as two tokens '18' '56', joined to '1856'"] and got[1].problems == ["dropped a spurious leading cell '»'"]
+    assert got[2].problems == ["dropped an empty cell at position 2 (the page rules a line there, it is not a column)"]
+    assert [g.problems for g in got[3:5]] == [["5 cells, expected 4"]] * 2 and got[7].problems == [] and got[7].cells.c.num == 3
+    assert all(len(g.problems) == 1 + (i == 5) for i, g in enumerate(got[5:7], 5))
+    soft = spark.createDataFrame([(p,) for g in got for p in g.problems], "p string").select(parse.soft(F.col("p"))).collect()
+    assert [r[0] for r in soft] == [True, True, True, False, False, False, False, False]
+
+
+def test_layouts(spark, tmp_path):
+    made = Layout.blank("b-1", ["Dia", "Barômetro (mm)", "Vento"])
+    assert [c.key for c in made.columns] == ["dia", "barometro_mm", "vento"] and made.index.key == "dia"
+    made.save(str(tmp_path))
+    assert Layout.available(str(tmp_path)) == {"b-1": made}
+    df = spark.createDataFrame([("1888-02",), ("1887-02",), ("x",), (None,)], "p string")
+    days = lambda kind: [r[0] for r in df.select(Layout("x", (), rows_per_page=kind).expected_rows(F.col("p"))).collect()]
+    assert (days("days_in_month"), days("days_in_month_x2"), days("fixed:25")) == ([29, 28, None, None], [58, 56, None, None], [25] * 4)
+    assert [r[0] for r in spark.createDataFrame([("Mez. | 1",), (" mois|2",), ("3 | 4",), (None,)], "r string").select(parse.is_summary(F.col("r"), ("Mez", "Mois."))).collect()] == [True, True, False, False]
 
 
 def test_checks(spark):
