@@ -13,11 +13,9 @@ MONTHS = [
     ("julho", "juillet"), ("agosto", "aout"), ("setembro", "septembre"), ("outubro", "octobre"), ("novembro", "novembre"), ("dezembro", "decembre"),
 ]
 PLACES = "rio de janeiro|rio-de-janeiro|riu de janeiro"
-# How angles are printed (degrees, hours, minutes of time) and where a letter of the hemisphere stands.
-DEGREES = r"""(?i)([0-9]+(?:\.[0-9]+)?)\s*(?:°|º|o\b)?\s*[,;]?\s*(?:([0-9]+(?:[.,][0-9]+)?)\s*['′m]\s*)?(?:([0-9]+(?:[.,][0-9]+)?)\s*(?:''|"|″|s)?\s*)?"""
-HOURS = r"(?i)([0-9]+)\s*h[,.]?\s*(?:([0-9]+(?:[.,][0-9]+)?)\s*m?)?\s*(?:([0-9]+(?:[.,][0-9]+)?)\s*s?)?"
-MINUTES = r"(?i)^([0-9]+(?:[.,][0-9]+)?)\s*m\.?\s*[EWO]?$"
-HEMISPHERE = r"(?i)(?:^|[\s,;])([NSEWO])(?:$|[\s,;.])"
+# Marks behind the numbers of an angle, and the letters of the hemispheres.
+DEGREE, HOUR, MINUTE, SECOND = ("°", "º", "o"), ("h",), ("'", "′", "m"), ("''", '"', "″", "s")
+HEMISPHERES, NEGATIVE = ("N", "S", "E", "W", "O"), ("S", "W", "O")
 # Fixed value: degrees of the local meridian from Greenwich, 43° 10' 21" west.
 MERIDIAN = -(43 + 10 / 60 + 21 / 3600)
 # Wind directions and words for none.
@@ -57,19 +55,38 @@ def bare(text: Column) -> Column:
 
 def hemisphere(text: Column) -> Column:
     """The printed letter, or null; it stands before the number as often as after it."""
-    return F.nullif(F.upper(F.regexp_extract(bare(text), HEMISPHERE, 1)), F.lit(""))
+    letters = F.filter(F.split(F.upper(bare(text)), r"[\s,;.]+"), lambda w: w.isin(*HEMISPHERES))
+    return F.get(letters, F.lit(0))
+
+
+#: A number with its mark, if it has one; longer marks go first.
+MARKED = "[0-9]+(?:[.,][0-9]+)?\\s*(?:" + "|".join(sorted((*SECOND, *MINUTE, *HOUR, *DEGREE), key=len, reverse=True)) + ")?"
 
 
 def parse_angle(text: Column) -> Column:
     """Degrees of ``3°28' W``, ``9°,38'``, ``0h,30m E`` (time, 15 degrees an hour) or
     ``2m W`` (minutes of time); W, S and O are negative.  Null where nothing can
-    be read, as on a ship (``var``)."""
-    t = bare(text)
-    part = lambda pattern, k: F.coalesce(F.replace(F.regexp_extract(t, pattern, k), F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0))
-    three = lambda pattern: part(pattern, 1) + part(pattern, 2) / 60 + part(pattern, 3) / 3600
-    size = F.when(t.rlike(MINUTES), part(MINUTES, 1) * 0.25).when(t.rlike(r"(?i)[0-9]\s*h"), three(HOURS) * 15).when(t.rlike("[0-9]"), three(DEGREES))
-    sign = F.when(hemisphere(text).isin("S", "W", "O"), -1.0).otherwise(1.0)
-    return F.when(~F.lower(t).startswith("var"), size * sign)
+    be read, as on a ship (``var``).
+
+    An angle is a sum of numbers, each weighed by its mark.  A first number
+    without one counts wholes; later ones are minutes of time where the first
+    were hours, and else seconds."""
+    def weighed(pairs: Column) -> Column:
+        mark = lambda p: F.regexp_extract(p, r"[^0-9.,\s]+$", 0)
+        time = F.exists(pairs, lambda p: mark(p).isin(*HOUR)) | (F.size(pairs) == 1) & mark(F.get(pairs, F.lit(0))).isin("m")
+
+        def part(p: Column, i: Column) -> Column:
+            n = F.replace(F.regexp_extract(p, "^[0-9]+(?:[.,][0-9]+)?", 0), F.lit(","), F.lit(".")).try_cast("double")
+            m = mark(p)
+            unit = F.when(m.isin(*MINUTE), 60).when(m.isin(*SECOND), 3600).when(m.isin(*HOUR, *DEGREE) | (i == 0), 1).when(time & (i == 1), 60).otherwise(3600)
+            return n / unit
+
+        total = F.aggregate(F.transform(pairs, part), F.lit(0.0), lambda x, y: x + y)
+        return F.when(F.size(pairs) > 0, total * F.when(time, 15.0).otherwise(1.0))
+
+    sign = F.when(hemisphere(text).isin(*NEGATIVE), -1.0).otherwise(1.0)
+    said = F.lower(bare(text))
+    return F.when(~said.startswith("var"), once(F.regexp_extract_all(said, F.lit(MARKED), F.lit(0)), weighed) * sign)
 
 
 def to_greenwich(longitude: Column) -> Column:
