@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from rowproof.functions.scalars import same_cell
 
+from .series import median
+
 
 def voted(votes: DataFrame, key: list[str], value: str) -> DataFrame:
     """Strict majority of the votes, null being one; else the median of the others."""
@@ -40,21 +42,24 @@ def disagreements(a: DataFrame, b: DataFrame, key: list[str], columns: list[str]
 
 
 def robust_relation(df: DataFrame, stat: Column, limit: float = 6.0) -> DataFrame:
-    """Adds centre, mad, z and agrees: distance from the median in median absolute deviations."""
+    """Adds centre, mad, z and agrees: distance from the median in median absolute
+    deviations.  Both medians are exact and found by ranges, in no single task."""
     rows = df.withColumn("stat", stat)
-    centre = rows.agg(F.median("stat").alias("centre"))
-    rows = rows.crossJoin(F.broadcast(centre))  # one row
-    mad = rows.agg(F.greatest(F.median(F.abs(F.col("stat") - F.col("centre"))), F.lit(1e-9)).alias("mad"))
-    out = rows.crossJoin(F.broadcast(mad)).withColumn("z", F.abs(F.col("stat") - F.col("centre")) / F.col("mad"))
+    rows = rows.crossJoin(F.broadcast(median(rows, "stat", "centre")))  # one row
+    mad = median(rows.select(F.abs(F.col("stat") - F.col("centre")).alias("off")), "off", "mad").select(F.greatest("mad", F.lit(1e-9)).alias("mad"))
+    out = rows.crossJoin(F.broadcast(mad)).withColumn("z", F.abs(F.col("stat") - F.col("centre")) / F.col("mad"))  # one row
     return out.withColumn("agrees", F.col("z") <= limit)
 
 
-def aggregate_checks(days: DataFrame, printed: DataFrame, page: list[str], columns: dict[str, str], tolerance: float = 0.06) -> DataFrame:
+def aggregate_checks(days: DataFrame, printed: DataFrame, page: list[str], columns: dict[str, str], tolerance: float | dict[str, float] = 0.06, blank_is_zero: bool = False) -> DataFrame:
     """Printed monthly values against the aggregate of the days: page, column,
-    computed, printed, passes (null where a day is missing)."""
+    computed, printed, passes (null where a day is missing, unless blanks count
+    as zero).  The tolerance may differ by column."""
     made = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min}
-    sums = days.groupBy(*page).agg(*[F.when(F.count(c) == F.count("*"), made[how](c)).alias(f"d_{c}") for c, how in columns.items()])
+    value = (lambda c: F.coalesce(F.col(c), F.lit(0.0))) if blank_is_zero else F.col
+    sums = days.groupBy(*page).agg(*[F.when(F.count(value(c)) == F.count("*"), made[how](value(c))).alias(f"d_{c}") for c, how in columns.items()])
     both = sums.join(printed.select(*page, *[F.col(c).alias(f"p_{c}") for c in columns]), page)
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d_{c}").alias("computed"), F.col(f"p_{c}").alias("printed")) for c in columns])
+    limit = lambda c: F.lit(float(tolerance.get(c, 0.06) if isinstance(tolerance, dict) else tolerance))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d_{c}").alias("computed"), F.col(f"p_{c}").alias("printed"), limit(c).alias("limit")) for c in columns])
     out = both.select(*page, F.explode(cells).alias("c")).select(*page, "c.*")
-    return out.withColumn("passes", F.abs(F.col("computed") - F.col("printed")) <= tolerance)
+    return out.withColumn("passes", F.abs(F.col("computed") - F.col("printed")) <= F.col("limit")).drop("limit")

@@ -16,10 +16,12 @@ def merged(sources: list[DataFrame], key: list[str], order: list) -> DataFrame:
     return all_.withColumn("__k", first).where("__k = 1").drop("__k", "__src")
 
 
-def enriched(rows: DataFrame, registry: DataFrame, key: list[str], value: str, source: str, keeps: Column) -> DataFrame:
-    """Rows take ``value`` and ``source`` of the registry (one row per key), unless
-    they keep their own or the registry's is empty."""
-    new = registry.select(*key, F.col(value).alias("__v"), F.col(source).alias("__s"))
+def enriched(rows: DataFrame, registry: DataFrame, key: list[str], value: str, source: str, keeps: Column, order: list[str] | None = None) -> DataFrame:
+    """Rows take ``value`` and ``source`` of the registry, unless they keep their
+    own or the registry's is empty.  Of a key's entries the last in ``order``
+    (else the greatest) holds, so rows never multiply."""
+    last = registry.groupBy(*key).agg(F.max(F.struct(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order or [])], F.col(value).alias("__v"), F.col(source).alias("__s"))).alias("__last"))
+    new = last.select(*key, "__last.__v", "__last.__s")
     take = ~F.coalesce(keeps, F.lit(False)) & F.col("__v").isNotNull() & (F.col("__v") != "")
     out = rows.join(new, key, "left").withColumn("touched", F.coalesce(take, F.lit(False)))
     return out.withColumns({value: F.when(F.col("touched"), F.col("__v")).otherwise(F.col(value)), source: F.when(F.col("touched"), F.col("__s")).otherwise(F.col(source))}).drop("__v", "__s")

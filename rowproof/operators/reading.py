@@ -3,13 +3,13 @@ is lost, and the geometry of rows: everything that judges a reading by another."
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowproof.functions.scalars import once
 
+from .lineage import cut
+
 
 def classified(df: DataFrame, columns: list[str], a: str, b: str) -> DataFrame:
     """Adds shifts (``k<->m``: a value of column k stands in its neighbour m in
@@ -114,14 +114,6 @@ def triaged(df: DataFrame, buckets: list[tuple[str, Column]], rest: str) -> Data
     return df.withColumn("bucket", out.otherwise(rest))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the cluster's checkpoint folder; sets one only where there is none, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
-
-
 def matched_once(pairs: DataFrame, left: list[str], right: list[str], distance: str) -> DataFrame:
     """Greedy one-to-one matching: the nearest pair first, then the nearest of
     those whose sides are both free, and so on; ties by the sides.

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def smoothed(df: DataFrame, keys: list[str], order: list[str], value: str, radius: int) -> DataFrame:
     """Adds smooth: the mean of ``value`` over ``radius`` rows on either side; nulls do not count."""
@@ -28,14 +33,37 @@ def fitted_line(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
+def values_at(df: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Per group (all rows where there are no keys) the values at given places of
+    its values in order, from 0; a place is made of n, the number of values.
+
+    Equal values are counted first.  Distinct ones are dealt by range, so a group
+    of any size lies in as many parts as it needs; the parts' counts tell which
+    of them holds a place, and only those are ordered."""
+    key = F.struct(*keys) if keys else F.lit(0)
+    held = df.where(F.col(value).isNotNull()).groupBy(key.alias("__key"), F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    parts = cut(held.repartitionByRange("__key", "__v").withColumn("__part", F.spark_partition_id()))
+    of_key = Window.partitionBy("__key")
+    sums = parts.groupBy("__key", "__part").agg(F.sum("__n").alias("__s"))
+    sums = sums.withColumns({"__all": F.sum("__s").over(of_key), "__to": F.sum("__s").over(of_key.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0))})
+    at = {name: place(F.col("__all")).cast("long") for name, place in places.items()}
+    inside = [(x >= F.col("__to") - F.col("__s")) & (x < F.col("__to")) for x in at.values()]
+    near = parts.join(sums.where(reduce(lambda a, b: a | b, inside)), ["__key", "__part"])
+    upto = F.col("__to") - F.col("__s") + F.sum("__n").over(Window.partitionBy("__key", "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("__upto", upto)
+    out = near.groupBy("__key").agg(*[F.min(F.when((F.col("__upto") > x) & (F.col("__upto") - F.col("__n") <= x), F.col("__v"))).alias(name) for name, x in at.items()], F.first("__all").alias("n"))
+    return out.select(*[F.col("__key")[k].alias(k) for k in keys], *places, "n")
+
+
 def value_at_share(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """Per group the value at index min(n - 1, int(share * n)) of its values in
-    order, from 0.  Equal values are counted before they are ranked."""
-    held = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    up, all_ = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
-    ranked = held.withColumns({"__upto": F.sum("__n").over(up), "__all": F.sum("__n").over(all_)})
-    at = F.least(F.col("__all") - 1, F.floor(F.lit(share) * F.col("__all")))
-    return ranked.where(F.col("__upto") > at).groupBy(*keys).agg(F.min(value).alias("value"), F.first("__all").alias("n"))
+    """Per group the value at index min(n - 1, int(share * n)) of its values in order, from 0."""
+    return values_at(df, keys, value, {"value": lambda n: F.least(n - 1, F.floor(F.lit(share) * n))})
+
+
+def median(df: DataFrame, value: str, name: str) -> DataFrame:
+    """One row: the exact median of a column; none without values."""
+    ends = values_at(df, [], value, {"__low": lambda n: F.floor((n - 1) / 2), "__high": lambda n: F.floor(n / 2)})
+    return ends.select(((F.col("__low") + F.col("__high")) / 2).alias(name))
 
 
 def modal_count(df: DataFrame, keys: list[str], count: Column, known: list[int], low: int, high: int) -> DataFrame:

@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from rowproof.layout import Layout, LayoutColumn
-from rowproof.operators import publish
+from rowproof.operators import evaluate, merge, publish, series
 
 
 def one(spark, column):
@@ -69,3 +69,32 @@ def test_small_ones(spark):
     assert sorted(map(tuple, publish.most_common(texts, ["k"], "t", "o").collect())) == [(1, "N"), (2, "E")]
     kept, lost = publish.dropped(rows, spark.createDataFrame([(8, 1), (9, 9)], "doc int, page int"), ["doc", "page"])
     assert [r.page for r in kept.collect()] == [2] and sorted(map(tuple, lost.collect())) == [(8, 1, 1), (9, 9, 0)]
+
+
+def test_enriched_takes_the_last_entry(spark):
+    rows = spark.createDataFrame([(1, None, None), (2, "own", "page")], "k int, station string, source string")
+    registry = spark.createDataFrame([(1, 1, "b", "x"), (1, 2, "a", "y"), (2, 1, "c", "z")], "k int, n int, station string, source string")
+    got = sorted(map(tuple, merge.enriched(rows, registry, ["k"], "station", "source", F.col("station").isNotNull(), ["n"]).collect()))
+    assert got == [(1, "a", "y", True), (2, "own", "page", False)]
+
+
+def test_values_at_places_of_groups_over_many_parts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(None if k % 3 == 0 else k % 3, float(v)) for k, v in enumerate(rng.integers(0, 50, 400))] + [(7, 1.0), (8, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(6)
+    got = {r.k: (r.value, r.n) for r in series.value_at_share(df, ["k"], "v", 0.9).collect()}
+    for k in (None, 1, 2, 7):
+        v = sorted(x for a, x in rows if a == k and x is not None)
+        assert got[k] == (v[min(len(v) - 1, int(0.9 * len(v)))], len(v))
+    assert 8 not in got and series.median(df, "v", "m").first().m == np.median([x for _, x in rows if x is not None])
+    assert series.median(df.where("false"), "v", "m").count() == 0
+
+
+def test_month_checks_by_column(spark):
+    days = spark.createDataFrame([(1, 1.0, 5.0), (1, None, 7.0), (1, 0.6, 6.0)], "p int, rr double, t double")
+    printed = spark.createDataFrame([(1, 1.6, 6.3)], "p int, rr double, t double")
+    how = {"rr": "sum", "t": "mean"}
+    got = lambda **kw: {r.column: r.passes for r in evaluate.aggregate_checks(days, printed, ["p"], how, **kw).collect()}
+    assert got() == {"rr": None, "t": False} and got(blank_is_zero=True, tolerance={"t": 0.5}) == {"rr": True, "t": True}
