@@ -202,3 +202,59 @@ def variant_name(name: Column) -> Column:
     for s in VARIANT_SUFFIXES:
         out = F.when(out.endswith(s), F.substr(out, F.lit(1), F.length(out) - len(s))).otherwise(out)
     return out
+
+
+# Points of the compass in capitals, as words of a row.
+POINTS = r"\b(N|S|E|W|NE|NW|SE|SW|NNE|NNW|ENE|ESE|SSE|SSW|WNW|WSW)\b"
+
+
+def assigned_layout(cells: Column, rows: Column, by_cells: dict[int, str], wind: dict[int, str], clouds_not: int, decimals: dict[int, tuple[str, str]]) -> Column:
+    """The layout of a page by the number of its cells, which the content of its
+    ``rows`` (array of texts) confirms or contradicts: three compass points make
+    it a wind table (``wind``, null for any other count), cloud forms rule out
+    ``clouds_not``, and where two layouts share a count (``decimals``) the first
+    number of the second or third cell tells them apart by its decimal point."""
+    name = F
+    for n, layout in by_cells.items():
+        name = name.when(cells == n, layout)
+    first = F.get(rows, F.lit(0))
+    windy = F.size(F.regexp_extract_all(F.array_join(rows, " "), F.lit(POINTS), F.lit(1))) >= 3
+    as_wind = F
+    for n, layout in wind.items():
+        as_wind = as_wind.when(cells == n, layout)
+    parts = F.slice(F.split(first, r"\s*[|]\s*"), 2, 2)
+    number = F.coalesce(F.get(F.filter(parts, lambda p: F.trim(p).rlike(r"^-?[0-9]+[.]?[0-9]*$")), F.lit(0)), F.lit(""))
+    told = F
+    for n, (with_point, whole) in decimals.items():
+        told = told.when(cells == n, F.when(number.contains("."), with_point).when(F.trim(number).rlike("^[0-9]{1,2}$"), whole))
+    known = name.otherwise(None)
+    return F.when(cells.isin(*decimals), told.otherwise(None)).when((cells == clouds_not) & cloud_forms(first), None).when(known.isNotNull() & windy, as_wind.otherwise(None)).otherwise(known)
+
+
+def disagreements_explained(cells: DataFrame, corrections: DataFrame, key: list[str], column: str) -> DataFrame:
+    """Cells that two reads differ in, with the correction a person made, if any,
+    and which read it bears out."""
+    made = corrections.select(*key, F.col(column), F.col("now").cast("double").alias("corrected"))
+    out = cells.join(made, [*key, column], "left")
+    near = lambda c: F.coalesce(F.abs(F.col(c) - F.col("corrected")) <= 0.005, F.lit(False))
+    return out.withColumn("right", F.when(F.col("corrected").isNull(), None).when(near("a") & near("b"), "both").when(near("a"), "a").when(near("b"), "b").otherwise("neither"))
+
+
+def first_file_wins(df: DataFrame, key: list[str], file: str, place: str, last: bool = False) -> DataFrame:
+    """Of the entries of a key in several files, the first in order of file name
+    and place (or the last) holds."""
+    rest = [c for c in df.columns if c not in key]
+    pick = F.max if last else F.min
+    held = df.groupBy(*key).agg(pick(F.struct(file, place, *[c for c in rest if c not in (file, place)])).alias("__held"))
+    return held.select(*key, *[F.col("__held")[c].alias(c) for c in rest])
+
+
+def held_out_pages(df: DataFrame, pages: DataFrame, page: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows to learn from, rows held out): whole pages go to one side."""
+    some = pages.select(*page).distinct()
+    return df.join(some, page, "left_anti"), df.join(some, page, "left_semi")
+
+
+def worst(df: DataFrame, score: str, n: int, ties: list) -> DataFrame:
+    """The ``n`` rows of the lowest score (a top-n report)."""
+    return df.orderBy(F.col(score).asc_nulls_last(), *ties).limit(n)

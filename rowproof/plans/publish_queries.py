@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowproof.functions import parse
-from rowproof.layout import Layout, LayoutColumn
-from rowproof.operators import evaluate, publish
+from rowproof.layout import Check, Layout, LayoutColumn
+from rowproof.operators import checks, evaluate, pages, publish
 
 from .queries import LINES, lines, query, second_read, spread, table
 
@@ -289,3 +289,111 @@ def resegment_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("parsed.cells")
     return df.select("l_orderkey", "l_linenumber", c["year"]["num"].cast("int").alias("year"), c["quantity"]["num"].alias("quantity"), c["price"]["num"].alias("price"), c["flag"]["txt"].alias("flag"),
                      n(parse.soft).alias("n_soft"), n(lambda x: ~parse.soft(x)).alias("n_hard"), F.col("parsed.markers")["quantity"].alias("marker"))
+
+
+#: The order's page as the flagship reads it: an index that may be repeated by a sign, a total at the end, hundreds left out.
+SHEET = Layout(
+    "sheet",
+    (LayoutColumn("line", "day"), LayoutColumn("quantity", low=1, high=45), LayoutColumn("price", low=900, high=1000, elided=True, elided_low=900, elided_high=1000), LayoutColumn("discount", low=0, high=0.1), LayoutColumn("tax")),
+    (Check("order", "tax", ("zero", "discount")),), markers=("Mez",), summary_words=("Mez",),
+)
+
+REJUDGED = f"""
+WITH p AS ({LINES}), s AS (
+    SELECT *, l_suppkey % 17 = 0 AS total, l_partkey % 13 = 0 AS hard, CAST(round(l_extendedprice * 100) AS BIGINT) % 10000 / 100.0 + 900 AS price,
+           pos > 1 AND l_partkey % 5 = 0 AND l_suppkey % 17 <> 0 AS ditto FROM p
+), i AS (
+    SELECT *, last_value(CASE WHEN ditto THEN NULL ELSE {{'v': CASE WHEN total THEN NULL ELSE l_linenumber END}} END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS UNBOUNDED PRECEDING).v AS line FROM s
+), w AS (
+    SELECT *, lag(line) OVER g AS before, lead(line) OVER g AS after FROM i WINDOW g AS (PARTITION BY l_orderkey ORDER BY pos)
+), d AS (
+    SELECT *, coalesce(before < line, TRUE) AND coalesce(line < after, TRUE) AS ok FROM w
+), e AS (
+    SELECT *, row_number() OVER g AS k, first_value(ok) OVER g AS first_ok,
+           max(ok) OVER (PARTITION BY l_orderkey, line ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later_ok
+    FROM d WINDOW g AS (PARTITION BY l_orderkey, line ORDER BY pos)
+), f AS (
+    SELECT *, line IS NOT NULL AND (CASE WHEN k = 1 THEN later_ok IS NOT NULL AND (NOT ok OR later_ok) ELSE NOT ok OR first_ok END) AS spurious,
+           l_quantity > 45 OR l_discount > 0.1 AS outside, l_tax > l_discount + 0.051 AS broken,
+           count(DISTINCT line) OVER (PARTITION BY l_orderkey) = max(line) OVER (PARTITION BY l_orderkey) AS complete
+    FROM e
+)
+"""
+
+
+@query(REJUDGED + """
+SELECT CASE WHEN line IS NULL THEN 'flagged' WHEN NOT outside AND NOT broken AND NOT hard AND NOT spurious THEN 'checks_pass' ELSE 'flagged' END AS verdict, line IS NOT NULL AS is_day, coalesce(complete, FALSE) AS complete,
+       count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_pages, count_if(ditto) AS n_repeats, count_if(outside) AS n_outside, count_if(broken) AS n_broken, count_if(spurious) AS n_spurious, round(sum(price), 2) AS prices
+FROM f GROUP BY 1, 2, 3
+""")
+def rejudge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole judgement: rows are read as printed, conventions undone (left-out
+    hundreds, repeated indexes), and checked by themselves and within their page
+    (one shuffle); totals are no days, and an incomplete page doesn't flag its rows."""
+    page, k = ["l_orderkey"], F.col("l_partkey")
+    df = lines(spark, sf_dir)
+    total, ditto = F.col("l_suppkey") % 17 == 0, (F.col("pos") > 1) & (k % 5 == 0)
+    price = F.format_string("%.2f", F.pmod(F.round(F.col("l_extendedprice") * 100).cast("long"), F.lit(10_000)) / 100)
+    said = [F.when(total, "Mez.").when(ditto, "»").otherwise(F.col("l_linenumber").cast("string")), F.col("l_quantity").cast("string"), price, F.col("l_discount").cast("string"), F.col("l_tax").cast("string")]
+    raw = F.concat(F.concat_ws(" | ", *said), F.when(k % 13 == 0, " | 1 | 2").otherwise(""))
+    df = parse.parse_rows(df.select("l_orderkey", "pos", raw.alias("raw")), SHEET)
+    cells = F.col("parsed.cells")
+    v = publish.from_printed(SHEET, {c.key: cells[c.key]["num"] for c in SHEET.columns}) | {"zero": F.lit(0.0)}
+    df = df.select(
+        *page, "pos", v["line"].cast("int").alias("line"), (cells["line"]["kind"] == "ditto").alias("repeats"), parse.is_summary(F.col("raw"), SHEET.summary_words).alias("total"), v["price"].alias("price"),
+        checks.range_violations(SHEET, v).alias("violations"), checks.check_failures(SHEET, v).alias("failures"), checks.scoreable(SHEET, v).alias("scores"), F.exists("parsed.problems", lambda p: ~parse.soft(p)).alias("hard"),
+    )
+    df = pages.ditto_filled(df, page, "pos", "line", F.col("repeats"))
+    df = pages.spurious_duplicates(df, page, "pos", "line")
+    whole = Window.partitionBy(*page)
+    df = df.withColumn("complete", F.coalesce(F.size(F.collect_set("line").over(whole)) == F.max("line").over(whole), F.lit(False)))
+    is_day = ~F.col("total") & F.col("line").isNotNull()
+    verdict = checks.verdict(is_day, F.col("scores"), F.col("failures"), F.col("violations"), F.col("hard") | F.col("spurious"))
+    n = lambda c, name: F.count_if(c).alias(name)
+    return df.groupBy(verdict.alias("verdict"), is_day.alias("is_day"), "complete").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("l_orderkey").alias("n_pages"), n(F.col("repeats"), "n_repeats"), n(F.size("violations") > 0, "n_outside"), n(F.size("failures") > 0, "n_broken"), n(F.col("spurious"), "n_spurious"), F.round(F.sum("price"), 2).alias("prices"),
+    )
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN CASE p_partkey % 3 WHEN 0 THEN 'actinometry' WHEN 1 THEN 'cloudiness' END
+    WHEN p_size % 4 = 1 THEN CASE p_partkey % 3 WHEN 2 THEN NULL ELSE 'wind' END WHEN p_size % 4 = 2 THEN CASE p_partkey % 3 WHEN 0 THEN 'hourly wind' ELSE 'thermometer' END END AS layout FROM part
+""")
+def layout_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by their cells: counts that two tables share are told apart by content."""
+    k = F.col("p_partkey") % 3
+    cells = F.expr("CASE p_size % 4 WHEN 0 THEN 16 WHEN 1 THEN 15 WHEN 2 THEN 13 ELSE 40 END")
+    shared = F.when(k == 0, "1 | 32.0 | 5").when(k == 1, "2 | 5 | C").otherwise("3 | x | y")
+    row = F.when(cells == 16, shared).when(cells == 15, F.when(k == 2, "9 | C-K | N | K").otherwise("9 | NE | 3 | SSE | 2 | N")).when(cells == 13, F.when(k == 0, "1 | N | 2 | NE | 3 | S").otherwise("1 | 20.5 | 21"))
+    by = {15: "wind", 13: "thermometer", 16: "cloudiness"}
+    return table(spark, sf_dir, "part").select("p_partkey", publish.assigned_layout(cells, F.array(F.coalesce(row, F.lit("a"))), by, {15: "wind", 13: "hourly wind"}, 15, {16: ("actinometry", "cloudiness")}).alias("layout"))
+
+
+@query(f"""
+WITH g AS ({LINES}), d AS (SELECT l_orderkey, pos, 'l_quantity' AS "column", l_quantity AS a, l_quantity + 1 AS b, l_suppkey FROM g WHERE l_partkey % 29 <> 0 AND l_partkey % 19 = 0)
+SELECT l_orderkey, pos, "column", a, b, CASE l_suppkey % 3 WHEN 0 THEN a WHEN 1 THEN b END AS corrected, CASE l_suppkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS "right" FROM d
+""")
+def disagreement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = lines(spark, sf_dir)
+    cells = evaluate.disagreements(gold, second_read(gold), ["l_orderkey", "pos"], ["l_quantity"], 0.005)
+    made = gold.where("l_suppkey % 3 < 2").select("l_orderkey", "pos", F.lit("l_quantity").alias("column"), (F.col("l_quantity") + F.col("l_suppkey") % 3).alias("now"))
+    return publish.disagreements_explained(cells, made, ["l_orderkey", "pos"], "column")
+
+
+@query("SELECT o_custkey, min_by(o_orderkey, o_orderkey) AS o_orderkey, min_by(o_orderstatus, o_orderkey) AS o_orderstatus FROM (SELECT * FROM orders) WHERE TRUE GROUP BY 1")
+def first_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of a customer in several files: that of the first file holds."""
+    df = table(spark, sf_dir, "orders").select("o_custkey", F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("file"), F.lit(0).alias("place"), "o_orderkey", "o_orderstatus")
+    return publish.first_file_wins(df, ["o_custkey"], "file", "place").select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("SELECT count_if(NOT h) AS n_learn, count_if(h) AS n_held, count(DISTINCT CASE WHEN h THEN o_custkey END) AS held_pages FROM (SELECT *, o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) AS h FROM orders)")
+def page_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    learn, held = publish.held_out_pages(table(spark, sf_dir, "orders"), some, ["o_custkey"])
+    return learn.withColumn("h", F.lit(False)).unionByName(held.withColumn("h", F.lit(True))).agg(F.count_if(~F.col("h")).alias("n_learn"), F.count_if("h").alias("n_held"), F.count_distinct(F.when(F.col("h"), F.col("o_custkey"))).alias("held_pages"))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey DESC LIMIT 10")
+def worst_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return publish.worst(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", 10, [F.desc("c_custkey")])
