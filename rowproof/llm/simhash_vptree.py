@@ -4,7 +4,8 @@
 2. Equal fingerprints are merged first (partial aggregation), so a group of
    thousands of exact copies is one row from then on.
 3. A vantage-point tree is built on the driver from a bounded sample
-   (``SAMPLE`` fingerprints).  Its leaves are the shards.  By the triangle
+   (``SAMPLE`` fingerprints).  Its leaves are the shards; a shard of more than
+   ``GROUP`` fingerprints is searched by pairs of blocks.  By the triangle
    inequality two fingerprints within ``radius`` bits of each other can only
    lie on different sides of a sphere if the inner one lies within ``radius``
    of it, so a fingerprint goes to the outer child also when it is that close
@@ -34,8 +35,8 @@ from .common import bound_batches, connected_components, written
 
 #: Fingerprints that the driver may hold to build the upper tree.
 SAMPLE = 32_768
-#: Distinct fingerprints that a shard should hold.
-SHARD = 20_000
+#: Distinct fingerprints that a shard should hold, and that a block of a larger one holds.
+SHARD, GROUP = 20_000, 100_000
 #: Fingerprints below which a block is compared bit by bit.
 BLOCK = 256
 
@@ -173,7 +174,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         linked = root != np.arange(len(fps))
         return pd.DataFrame({"u": fps[linked], "v": fps[root[linked]]})
 
-    edges = each.select("fp").mapInPandas(route, "shard long, fp long").groupBy("shard").applyInPandas(search, "u long, v long")
+    routed = written(each.select("fp").mapInPandas(route, "shard long, fp long"), "routed")
+    # The sample bounds the number of leaves, so a leaf may outgrow a task: it is
+    # cut into blocks then, and every pair of blocks is a group of its own.
+    sizes = routed.groupBy("shard").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("nb"))
+    member = routed.join(F.broadcast(sizes), "shard").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))  # at most a row for each leaf of the sample's tree
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("shard", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "fp")
+    edges = member.groupBy("shard", "a", "b").applyInPandas(search, "u long, v long")
     roots = connected_components(edges).withColumnsRenamed({"node": "fp", "root": "top"})
     joined = each.join(roots, "fp", "left").select("fp", "low", F.coalesce("top", "fp").alias("top"))
     lows = joined.groupBy("top").agg(F.min("low").alias("component"))

@@ -4,8 +4,8 @@
    of all rows share is one node with a weight.
 2. Centroids come from a bounded sample (``SAMPLE``).  Every node is a member of
    its ``OVERLAP`` nearest clusters, and asks its ``probes`` nearest ones.  A
-   cluster beyond ``BLOCK`` members is split into blocks, and its queries ask
-   every block, so no task holds more than a block of members.
+   cluster beyond ``BLOCK`` members is split into blocks and its queries into
+   slices of ``SLICE``; a task holds a block of members and a slice of queries.
 3. Each shard builds a graph over its members: near candidates and random ones,
    pruned so that an edge stays only where no kept neighbour is clearly closer
    to its end.  The adjacency lists of a node's shards are united.
@@ -50,7 +50,7 @@ NEAR, RANDOM, DEGREE, REVERSE, ALPHA = 32, 16, 20, 20, 1.2
 MEDOIDS, BEAM, QUERIES = 6, 16, 512
 #: Queries of the audit, the recall asked for, and the graph searches before all is compared.
 AUDIT, RECALL, ROUNDS = 64, 0.98, 3
-#: Queries of one task where all is compared.
+#: Queries of one task.
 SLICE = 20_000
 
 
@@ -232,10 +232,15 @@ def near_links(nodes: DataFrame, threshold: float, probes: int, beam: int) -> tu
                     yield pd.DataFrame({"dim": int(d), "cluster": near[:, rank], "rank": rank, "rep": q["rep"], "w": q["w"], "v": q["v"]})
 
     asked = written(nodes.select("rep", "v", "w").mapInPandas(assign, f"dim int, cluster int, rank int, rep long, w long, v {nodes.schema['v'].dataType.simpleString()}"), "asked")
-    blocks = asked.where(F.col("rank") < OVERLAP).groupBy("dim", "cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    inside = F.col("rank") < OVERLAP
+    cut = asked.groupBy("dim", "cluster").agg(F.ceil(F.count_if(inside) / BLOCK).cast("int").alias("nb"), F.ceil(F.count("*") / SLICE).cast("int").alias("ns")).where("nb > 0")
     # At most CENTROIDS rows for each of at most 16 lengths, and one row for any other length.
-    spread = asked.join(F.broadcast(blocks), ["dim", "cluster"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    spread = spread.withColumn("member", (F.col("rank") < OVERLAP) & (F.col("block") == F.pmod(F.xxhash64("rep"), F.col("nb"))))
+    placed = asked.join(F.broadcast(cut), ["dim", "cluster"]).withColumns({"home": F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"), "own": F.pmod(F.xxhash64("rep", F.lit(3)), F.col("ns")).cast("int")})
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # A slice of a cluster's queries meets a block of its members in a task; members are there for every slice.
+    queries = placed.withColumn("block", each("nb")).withColumn("slice", F.col("own")).withColumns({"member": inside & (F.col("block") == F.col("home")), "query": F.lit(True)})
+    guests = placed.where(inside).withColumn("slice", each("ns")).where("slice <> own").withColumns({"block": F.col("home"), "member": F.lit(True), "query": F.lit(False)})
+    spread = queries.unionByName(guests).drop("home", "own", "nb", "ns")
     keys = ["dim", "cluster", "block"]
 
     def build(p: pd.DataFrame) -> pd.DataFrame:
@@ -244,7 +249,7 @@ def near_links(nodes: DataFrame, threshold: float, probes: int, beam: int) -> tu
         lists = build_graph(unit(np.stack(p["v"].to_numpy())))
         return pd.DataFrame({"rep": rep, "nbs": [rep[nb] for nb in lists]})
 
-    lists = spread.where("member").groupBy(*keys).applyInPandas(build, "rep long, nbs array<long>")
+    lists = spread.where("member and query").groupBy(*keys).applyInPandas(build, "rep long, nbs array<long>")
     united = written(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("nbs"))).alias("nbs")), "lists")
 
     def search(p: pd.DataFrame) -> pd.DataFrame:
@@ -260,7 +265,11 @@ def near_links(nodes: DataFrame, threshold: float, probes: int, beam: int) -> tu
             local.append(at[names[at] == nbs])
         own = np.minimum(np.searchsorted(names, rep), len(names) - 1)
         own = np.where(names[own] == rep, own, -1)
-        q, m = search_graph(vectors, own, vectors[member], local, threshold, beam)
+        asks = np.flatnonzero(p["query"].to_numpy())
+        if not len(asks):
+            return pd.DataFrame({"rep": [], "n": [], "root": []})
+        q, m = search_graph(vectors[asks], own[asks], vectors[member], local, threshold, beam)
+        q = asks[q]
         other = rep[q] != names[m]
         q, m = q[other], m[other]
         home = (p["rank"].to_numpy()[member] == 0)[m]
@@ -273,7 +282,7 @@ def near_links(nodes: DataFrame, threshold: float, probes: int, beam: int) -> tu
         some |= root != rep
         return pd.DataFrame({"rep": rep[some], "n": n[some], "root": root[some]})
 
-    found = written(spread.join(united, "rep", "left").groupBy(*keys).applyInPandas(search, "rep long, n long, root long"), "found")
+    found = written(spread.join(united, "rep", "left").groupBy(*keys, "slice").applyInPandas(search, "rep long, n long, root long"), "found")
     del spark
     return found.groupBy("rep").agg(F.sum("n").alias("n")), found.select(F.col("rep").alias("u"), F.col("root").alias("v"))
 

@@ -272,6 +272,27 @@ def test_similar_forest_is_exact():
     assert simhash_similar.forest(fps, radius).tolist() == links(len(fps), np.argwhere(np.triu(d <= radius, 1)))
 
 
+def test_simhash_shards_in_blocks(spark, docs, monkeypatch):
+    whole = sorted(map(tuple, simhash_vptree.near_duplicates(docs).select("id", "fp", "component").collect()), key=repr)
+    monkeypatch.setattr(simhash_vptree, "GROUP", 20)
+    assert sorted(map(tuple, simhash_vptree.near_duplicates(docs).select("id", "fp", "component").collect()), key=repr) == whole
+
+
+def test_vector_graph_in_slices(spark, monkeypatch):
+    # Blocks of members and slices of queries, both far smaller than a cluster.
+    monkeypatch.setattr(vector_graph, "BLOCK", 60)
+    monkeypatch.setattr(vector_graph, "SLICE", 90)
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(150, 16))
+    x = np.concatenate([base, base + 0.08 * rng.normal(size=(150, 16)), base[:20] + 0.05 * rng.normal(size=(20, 16))]).astype(np.float32)
+    s = vector_graph.unit(x) @ vector_graph.unit(x).T >= 0.9
+    np.fill_diagonal(s, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in vector_graph.linked(df).collect()}
+    root = links(len(x), zip(*np.nonzero(s), strict=True))
+    assert all((got[i].n_links, got[i].component_id) == (s[i].sum(), root[i]) for i in range(len(x)))
+
+
 def test_vptree_is_exact():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 3000, dtype=np.int64).view(np.uint64)
