@@ -7,7 +7,7 @@ ends with a token that may stand directly before ``t``, that is, if the two
 tokens' bytes encode to just these two.  The encoding is read off backwards.
 Because a prefix's entry depends on earlier entries only, bytes can be
 appended exactly (``Piece.append``), and an edit re-encodes only from the edited
-place on (``Piece.replace``).
+place to where the entries agree with the old ones again (``Piece.replace``).
 
 Texts are split as the rank file's pattern asks, and each match is encoded on
 its own.  Words repeat, so a worker keeps the encodings of space-led chunks in
@@ -223,11 +223,24 @@ class Piece:
         self.state = state
 
     def replace(self, start: int, end: int, data: bytes) -> None:
-        """Put ``data`` for bytes ``start`` to ``end``; entries before ``start`` stay."""
-        tail = self.data[end:]
+        """Put ``data`` for bytes ``start`` to ``end``; entries before ``start`` stay.
+
+        An entry depends on the bytes of the longest token before it and on as many
+        entries.  Behind the edit bytes are encoded again until that many entries
+        in a row are the old ones; those that follow are the old ones, too."""
+        tail, old, longest = self.data[end:], self.last[end + 1 :], self.v.longest
         self.data, self.last = self.data[:start], self.last[: start + 1]
-        self.state = self.v.state(self.data[-self.v.longest :])
-        self.append(data + tail)
+        self.state = self.v.state(self.data[-longest:])
+        self.append(data)
+        for k in range(0, len(tail), longest):
+            part = tail[k : k + longest]
+            self.append(part)
+            upto = k + len(part)
+            if len(part) == longest and self.last[-longest:] == old[k:upto]:
+                self.data += tail[upto:]
+                self.last += old[upto:]
+                self.state = self.v.state(self.data[-longest:])
+                break
 
     def tokens(self) -> list[int]:
         out, i = [], len(self.data)

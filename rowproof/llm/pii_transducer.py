@@ -41,8 +41,15 @@ LOOKALIKES |= {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
 LOOKALIKES |= {chr(zero + d): str(d) for zero in (0x660, 0x6F0, 0x966, 0x9E6, 0xE50) for d in range(10)}
 LOOKALIKE = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + "]")
 
-# English words for digits.
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# English, German, French and Spanish words for digits, from zero on, and for plus.
+DIGITS = {
+    word: str(d)
+    for d, words in enumerate(["zero oh null zéro cero", "one eins un uno", "two zwei deux dos", "three drei trois tres", "four vier quatre cuatro", "five fünf cinq cinco", "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve"])
+    for word in words.split()
+}
+PLUS = ("plus", "más", "mas")
+# Words for the at sign and the dot; a bare English at goes with the first dots only, as others are words of English sentences.
+AT, OTHER_AT, DOT, OTHER_DOT = ("at",), ("ät", "arroba", "arobase"), ("dot", "punkt"), ("point", "punto", "ponto")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -52,13 +59,19 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMBER = re.compile(r"[0-9]")
 
 #: Disguised signs: in brackets, or as words of their own.
-BRACKET_AT = re.compile(r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?", re.I)
-WORD_AT = re.compile(r"\sat\s", re.I)
-BRACKET_DOT = re.compile(r"\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?", re.I)
-WORD_DOT = re.compile(r"\sdot\s", re.I)
+any_of = "|".join
+BRACKET_AT = re.compile(rf"\s?[\[({{<]\s?(?:{any_of(AT + OTHER_AT)}|@)\s?[\])}}>]\s?", re.I)
+WORD_AT = re.compile(rf"\s(?:{any_of(AT + OTHER_AT)})\s", re.I)
+BRACKET_DOT = re.compile(rf"\s?[\[({{<]\s?(?:{any_of(DOT + OTHER_DOT)}|\.)\s?[\])}}>]\s?", re.I)
+WORD_DOT = re.compile(rf"\s(?:{any_of(DOT + OTHER_DOT)})\s", re.I)
+PLAIN_DOT = re.compile(rf"\s(?:{any_of(DOT)})\s", re.I)
+#: Four numbers between which at least one dot may be disguised.
+HIDDEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{BRACKET_DOT.pattern}|{WORD_DOT.pattern}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+HIDDEN_DOT = re.compile(rf"{BRACKET_DOT.pattern}|{WORD_DOT.pattern}", re.I)
 LABEL = re.compile(r"[A-Za-z0-9-]+")
-SPELLED = re.compile(r"(?<![A-Za-z])(?:plus|\+)?[\s-]?(?:(?:" + "|".join(DIGITS) + r"|[0-9]+)(?![A-Za-z])[\s-]{0,2})+", re.I)
-TOKEN = re.compile(r"plus|\+|[0-9]+|" + "|".join(DIGITS), re.I)
+LONGER = sorted(DIGITS, key=len, reverse=True)
+SPELLED = re.compile(rf"(?<![^\W\d_])(?:{any_of(PLUS)}|\+)?[\s-]?(?:(?:{any_of(LONGER)}|[0-9]+)(?![^\W\d_])[\s-]{{0,2}})+", re.I)
+TOKEN = re.compile(rf"{any_of(PLUS)}|\+|[0-9]+|{any_of(LONGER)}", re.I)
 #: Digit words that a spelled number has at least.
 LEAST_SPELLED = 4
 
@@ -128,17 +141,19 @@ class Rewritten:
 
 def sign_edits(text: str) -> list[tuple[int, int, str]]:
     """Edits that turn ``name (at) host (dot) org`` and ``name at host dot org``
-    into an address.  A bare ``at`` counts only before a bare or bracketed dot."""
+    into an address.  A bare ``at`` counts only before a bare or bracketed dot, and
+    a bare English one only before words that no English sentence has there."""
     out: list[tuple[int, int, str]] = []
     marks = sorted({(m.start(), m.end(), bare) for bare, r in ((False, BRACKET_AT), (True, WORD_AT)) for m in r.finditer(text)} | ({(i, i + 1, False) for i in (m.start() for m in re.finditer("@", text))} if "@" in text else set()))
     for start, end, bare in marks:
         if out and start < out[-1][1] or not start or text[start - 1] not in LOCAL:
             continue
+        word_dot = PLAIN_DOT if bare and text[start + 1 : end - 1].lower() in AT else WORD_DOT
         host = LABEL.match(text, end)
         dots: list[tuple[int, int, str]] = []
         plain = False
         while host:
-            dot = BRACKET_DOT.match(text, host.end()) or WORD_DOT.match(text, host.end())
+            dot = BRACKET_DOT.match(text, host.end()) or word_dot.match(text, host.end())
             real = not dot and host.end() < len(text) and text[host.end()] == "."
             after = LABEL.match(text, dot.end() if dot else host.end() + 1) if dot or real else None
             if not after:
@@ -154,7 +169,7 @@ def sign_edits(text: str) -> list[tuple[int, int, str]]:
             while True:
                 while at and text[at - 1] in LOCAL:
                     at -= 1
-                m = next((m for m in (r.search(text, max(0, at - 9), at) for r in (BRACKET_DOT, WORD_DOT)) if m and m.end() == at and m.start()), None)
+                m = next((m for m in (r.search(text, max(0, at - 11), at) for r in (BRACKET_DOT, word_dot)) if m and m.end() == at and m.start()), None)
                 if not m or text[m.start() - 1] not in LOCAL or out and m.start() < out[-1][1]:
                     break
                 names.insert(0, (m.start(), m.end(), "."))
@@ -163,6 +178,11 @@ def sign_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def ip_edits(text: str) -> list[tuple[int, int, str]]:
+    """Edits that undo the disguised dots of ``192[.]168 dot 0.1``."""
+    return [(d.start(), d.end(), ".") for m in HIDDEN_IP.finditer(text) for d in HIDDEN_DOT.finditer(text, m.start(), m.end())]
+
+
 def digit_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in SPELLED.finditer(text):
@@ -170,7 +190,7 @@ def digit_edits(text: str) -> list[tuple[int, int, str]]:
         if sum(t in DIGITS for t in tokens) >= LEAST_SPELLED:
             said = m[0].rstrip(" \t\n-")
             lead = len(said) - len(said.lstrip(" \t\n-"))
-            out.append((m.start() + lead, m.start() + len(said), "".join("+" if t in ("plus", "+") else DIGITS.get(t, t) for t in tokens)))
+            out.append((m.start() + lead, m.start() + len(said), "".join("+" if t in (*PLUS, "+") else DIGITS.get(t, t) for t in tokens)))
     return out
 
 
@@ -183,7 +203,10 @@ def added(text: str, base: list[Span]) -> list[Span]:
         now = steps[-1].text
     low = now.lower()
     bracket = any(map(now.__contains__, "[({<"))
-    dotted = "dot" in low and WORD_DOT.search(now) or bracket and BRACKET_DOT.search(now)
+    dotted = any(map(low.__contains__, DOT + OTHER_DOT)) and WORD_DOT.search(now) or bracket and BRACKET_DOT.search(now)
+    if dotted and (edits := ip_edits(now)):
+        steps.append(Rewritten(now, edits))
+        now = steps[-1].text
     # All that sign_edits can act on: a disguised dot with any at sign, or a bracketed at with any dot.
     if dotted and ("@" in now or WORD_AT.search(now)) or bracket and (dotted or "." in now) and BRACKET_AT.search(now):
         if edits := sign_edits(now):

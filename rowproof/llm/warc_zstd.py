@@ -5,7 +5,8 @@
    revisits of it.  The groups are joined back by digest, so a payload that a
    third of all pages share is a skewed join that adaptive execution splits.
 2. Each partition writes archives of its own: a dictionary is trained on the
-   archive's first records and put into a leading skippable frame; every record
+   archive's first records and put into a leading skippable frame; a ``warcinfo``
+   record follows, a revisit names its response's record and URI, and every record
    is a frame of its own, so it can be read alone.  A file gets its final name
    only when it is complete, names differ between attempts of a task, and only
    the archives in the written manifest count: a lost executor leaves at most
@@ -50,31 +51,44 @@ def digest32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def record_id(page_id: int | None, url: str | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, top: int | None, revisit: bool) -> bytes:
+def header(fields: list[str], block: bytes) -> bytes:
+    return "\r\n".join(["WARC/1.1", *fields, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def info(name: str) -> bytes:
+    """The record that opens an archive."""
+    block = b"software: rowproof\r\nformat: WARC File Format 1.1\r\n"
+    return header(["WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(None, name)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], block)
+
+
+def target(url: str | None) -> str:
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, top: int | None, top_url: str | None, revisit: bool) -> bytes:
     """One WARC record.  ``Page-Id``, ``Page-Length`` and ``Refers-To-Page`` are
     extension fields, which the format allows."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if revisit else http + payload
-    uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    head = [
-        "WARC/1.1",
+    fields = [
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id, url, digest)}",
+        f"WARC-Record-ID: {record_id(page_id, digest)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {uri}",
+        f"WARC-Target-URI: {target(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"Page-Length: {len(payload)}",
     ]
     if page_id is not None:
-        head.append(f"Page-Id: {page_id}")
+        fields.append(f"Page-Id: {page_id}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Refers-To-Page: {top}"]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+        fields += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(top, digest)}",
+            f"WARC-Refers-To-Target-URI: {target(top_url)}", "WARC-Refers-To-Date: 1970-01-01T00:00:00Z", f"Refers-To-Page: {top}",
+        ]
+    return header([*fields, "Content-Type: application/http; msgtype=response"], http if revisit else http + payload)
 
 
 class Archive:
@@ -114,7 +128,7 @@ class Archive:
         if dictionary:
             data = dictionary.as_bytes()
             self.out.write(struct.pack("<II", SKIPPABLE, len(data)) + data)
-        for r in self.held:
+        for r in [info(self.path.rpartition("/")[2]), *self.held]:
             self.out.write(self.packer.compress(r))
         self.held = []
 
@@ -127,16 +141,16 @@ class Archive:
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
-    """(page_id, url, html, digest hex, top, revisit) rows -> manifest (uri, records, bytes)."""
+    """(page_id, url, html, digest hex, top, top_url, revisit) rows -> manifest (uri, records, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         done, now = [], None
         for b in batches:
-            for page, url, html, digest, top, revisit in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for page, url, html, digest, top, top_url, revisit in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 if now is None:
                     now = Archive(folder, f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.zst")
-                now.add(record(page, url, (html or "").encode(), digest32(digest), top, revisit))
+                now.add(record(page, url, (html or "").encode(), digest32(digest), top, top_url, revisit))
                 if now.size >= ARCHIVE:
                     done.append(now.close())
                     now = None
@@ -146,7 +160,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             uri, n, size = zip(*done, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(uri, pa.string()), pa.array(n, pa.int64()), pa.array(size, pa.int64())], ["uri", "records", "bytes"])
 
-    return written(rows.select("page_id", "url", "html", "digest", "top", "revisit").mapInArrow(run, "uri string, records long, bytes long"), "manifest")
+    return written(rows.select("page_id", "url", "html", "digest", "top", "top_url", "revisit").mapInArrow(run, "uri string, records long, bytes long"), "manifest")
 
 
 def read_records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -194,6 +208,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for uri in b.column(0).to_pylist():
                 for head, block in read_records(uri):
+                    if head["WARC-Type"] == "warcinfo":
+                        continue
                     digest, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["Page-Length"])
                     if head["WARC-Type"] == "response":
                         payload = block[block.index(b"\r\n\r\n") + 4 :]
@@ -218,6 +234,6 @@ def archived(pages: DataFrame, least_bytes: int = 0, folder: str | None = None,
     bound_batches(spark)
     raw = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha1(raw).alias("digest"))
-    tops = rows.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top")
+    tops = rows.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("top"), F.max_by("url", "page_id").alias("top_url"), F.count("*").alias("n")).where("n > 1").drop("n")
     marked = rows.join(tops, "digest", "left").withColumn("revisit", F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")))
     return write_archives(marked, folder or new_path(spark, "warc"))

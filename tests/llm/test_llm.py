@@ -382,6 +382,17 @@ def test_bpe(spark, docs):
     piece.append(b"lding")
     piece.replace(2, 5, b"y th")
     assert piece.tokens() == bpe_prefix.Piece(v, piece.data).tokens()
+    # Appends and edits anywhere in long pieces give what a fresh encoding gives.
+    letters = list(b"abcdefgh eiou-=")
+    for _ in range(60):
+        piece = bpe_prefix.Piece(v, bytes(rng.choice(letters, rng.integers(0, 900)).tolist()))
+        for _ in range(4):
+            a, b = sorted(rng.integers(0, len(piece.data) + 1, 2).tolist())
+            piece.replace(a, min(b, a + 5), bytes(rng.choice(letters, rng.integers(0, 6)).tolist()))
+            piece.append(bytes(rng.choice(letters, rng.integers(0, 9)).tolist()))
+            fresh = bpe_prefix.Piece(v, piece.data)
+            assert (piece.last, piece.state, piece.tokens()) == (fresh.last, fresh.state, fresh.tokens())
+    assert bpe_prefix.digests(nothing(docs), RANKS, PATTERN).count() == 0
 
 
 def test_license(spark, docs):
@@ -416,6 +427,15 @@ def test_pii(spark, docs):
     assert out.columns == docs.columns and out.where("text is null").count() == 1
 
 
+def test_pii_disguises_of_four_languages():
+    hidden = {
+        "ip 192[.]168[.]0[.]1 end": "ip <IP> end", "ip 192 dot 168 dot 0 dot 1 end": "ip <IP> end", "ip 10 punto 0.0 (punto) 7 end": "ip <IP> end", "max (at) beispiel (punkt) de": "<EMAIL>", "juan arroba correo punto es": "<EMAIL>",
+        "marie arobase exemple point fr ok": "<EMAIL> ok", "ruf plus vier neun drei null eins zwei drei vier fünf sechs an": "ruf <PHONE> an", "llama más tres cuatro nueve uno dos tres cuatro cinco seis siete ya": "llama <PHONE> ya",
+        "look at this point we make": "look at this point we make", "at one point five": "at one point five", "version 1 dot 2 dot 3": "version 1 dot 2 dot 3", "1.2.3.4.5 dot 6": "1.2.3.4.5 dot 6".replace("1.2.3.4", "<IP>"),
+    }
+    assert {t: pii_transducer.mask(t) for t in hidden} == hidden
+
+
 def test_pii_gates():
     # An address is found by itself as it is beside other words or letters.
     hidden = ["jane@example dot com", "jane@example (dot) com", "jane [at] example.com", "jane at example dot com", "jane (at) example [.] com", "JANE AT EXAMPLE DOT COM", "jane (dot) doe@example.com", "plus FOUR four SEVEN seven zero zero nine zero zero one two three"]
@@ -455,6 +475,33 @@ def test_warc(spark):
     assert warc_zstd.read_archives(warc_zstd.archived(df.where("false"))).count() == 0
 
 
+def test_warc_frames_stand_alone(spark):
+    import struct
+
+    import zstandard
+
+    rows = [(i, f"http://h/{i}", f"<p>{'words of a page ' * 9}{i % 90}</p>") for i in range(300)]
+    manifest = warc_zstd.archived(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    seen, ids, refers = [], {}, []
+    for uri in [r.uri for r in manifest.collect()]:
+        data = open(uri.removeprefix("file://"), "rb").read()
+        magic, size = struct.unpack("<II", data[:8])
+        assert magic == warc_zstd.SKIPPABLE
+        d, at = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size])), 8 + size
+        while at < len(data):
+            one = d.decompressobj()
+            said = one.decompress(data[at:])
+            at = len(data) - len(one.unused_data)
+            head = dict(x.split(": ", 1) for x in said.split(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+            seen.append(head["WARC-Type"])
+            ids[head["WARC-Record-ID"]] = head
+            if "WARC-Refers-To" in head:
+                refers.append(head)
+    assert seen[0] == "warcinfo" and collections.Counter(seen) == {"warcinfo": len(manifest.collect()), "response": 90, "revisit": 210}
+    # Standard readers find the response of a revisit.
+    assert len(refers) == 210 and all(ids[h["WARC-Refers-To"]]["WARC-Type"] == "response" and ids[h["WARC-Refers-To"]]["WARC-Target-URI"] == h["WARC-Refers-To-Target-URI"] for h in refers)
+
+
 def test_quality(spark, docs):
     def brute(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
