@@ -9,7 +9,7 @@ from rowproof.functions import parse
 from rowproof.layout import Check, Layout, LayoutColumn
 from rowproof.operators import checks, evaluate, pages, publish
 
-from .queries import LINES, lines, query, second_read, spread, table
+from .queries import LINE_ORDER, LINES, by_page, lines, query, second_read, spread, table
 
 #: Verdicts as the orders' lines would have them.
 VERDICT = "CASE l_returnflag WHEN 'A' THEN 'checks_pass' WHEN 'N' THEN 'qc_clean' ELSE 'flagged' END"
@@ -331,7 +331,7 @@ def rejudge(spark: SparkSession, sf_dir: str) -> DataFrame:
     hundreds, repeated indexes), and checked by themselves and within their page
     (one shuffle); totals are no days, and an incomplete page doesn't flag its rows."""
     page, k = ["l_orderkey"], F.col("l_partkey")
-    df = lines(spark, sf_dir)
+    df = pages.positioned(by_page(table(spark, sf_dir, "lineitem"), *page), page, LINE_ORDER)
     total, ditto = F.col("l_suppkey") % 17 == 0, (F.col("pos") > 1) & (k % 5 == 0)
     price = F.format_string("%.2f", F.pmod(F.round(F.col("l_extendedprice") * 100).cast("long"), F.lit(10_000)) / 100)
     said = [F.when(total, "Mez.").when(ditto, "»").otherwise(F.col("l_linenumber").cast("string")), F.col("l_quantity").cast("string"), price, F.col("l_discount").cast("string"), F.col("l_tax").cast("string")]
