@@ -1,24 +1,29 @@
 """Licence scan in built-in functions only.
 
-Every line of every text is compared with licence templates by the cosine of
-sparse TF-IDF vectors.  The vector space is the templates' vocabulary (a
-constant); document counts of its terms are taken over all documents.  A term
-outside it adds to a line's norm with the weight of a term no document has.
-
-Only lines that hold a trigger term are compared.  Triggers are chosen so that
-this drops nothing: what a template keeps without its trigger terms is shorter
-than ``SIMILAR`` times its norm, which bounds the cosine of any line that has
-none of them.
-
-A document whose best line makes up ``FILE_SHARE`` of its text or more is a
-licence file and declares its directory's licence (the most frequent one, ties
-to the last in order).  Files without a licence of their own inherit from the
-nearest ancestor directory that has one: distinct directories are resolved by
-path joins, and files are joined to their directory.
+Three kinds of units of each text are compared with whole licence texts and
+notices (``license_templates``) by the cosine of sparse TF-IDF vectors: the
+whole text, each line, and each header, which is a run of lines of whose
+different terms half or more occur in templates (lines without a term, blank or
+comment marks, don't end a run).  So wrapped notices in comments, full texts
+over many paragraphs and single lines are all found.  A weight is (1 + ln tf)
+(ln((n + 1) / (df + 1)) + 1), df counted over all documents for every term.
+
+Units become rows of (unit, term, tf) that are joined with the terms' counts
+and then with the templates' terms (a constant table); nothing is dense.  Only
+units that hold a trigger term become rows.  Triggers are chosen so that this
+drops nothing: what a template keeps without its trigger terms is shorter than
+``SIMILAR`` times its norm, which bounds the cosine of any unit that has none.
+
+A document is a licence file if its whole text is similar to a template, or if
+its base name is one of a licence file and anything in it is similar.  It
+declares its directory's licence (the most frequent one, ties to the last in
+order).  Documents without a licence of their own inherit from the nearest
+ancestor directory that has one: distinct directories are resolved by path
+joins, and documents are joined to their directory.
 
 Defined results: null texts have no licence of their own, but inherit; a null
 path has no directory; repeated rows repeat; ties of similarity go to the
-licence last in order.
+licence last in order; a NUL character is a blank.
 """
 
 from __future__ import annotations
@@ -30,28 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .license_templates import TEMPLATES
 
-SIMILAR, FILE_SHARE = 0.6, 0.25
+SIMILAR = 0.6
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
-
-# Usual short notices, by SPDX identifier.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-2.0-only", "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 2."),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("LGPL-3.0-only", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
+FILE_NAME = r"(?i)(^|/)(licen[cs]e|unlicense|copying|copyright)([._-][^/]*)?$"
 
 
 def terms(text: str) -> list[str]:
@@ -65,59 +53,63 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
 
 
-def document_counts(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[str, int]]:
-    """Documents, and how many hold each term of the vocabulary (a constant number of rows)."""
-    known = F.array(*map(F.lit, VOCABULARY))
-    held = docs.select(F.explode(F.array_intersect(tokens(F.coalesce(F.col(text_col), F.lit(""))), known)).alias("term"))
-    return docs.count(), {r.term: r.n for r in held.groupBy("term").agg(F.count("*").alias("n")).collect()}
+def document_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, df) of every term of the documents, written once."""
+    held = docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
+    return written(held.groupBy("term").agg(F.count("*").alias("df")), "terms")
+
+
+def idf(n: int | Column, df: int | Column):
+    return math.log((n + 1) / (df + 1)) + 1 if isinstance(df, int) else F.log((F.lit(n) + 1) / (df + 1)) + 1
 
 
-def weights(n: int, counts: dict[str, int]) -> tuple[dict[str, float], list[tuple[str, list[float], float]], list[str]]:
-    """Term weights, template vectors with their norms, and the trigger terms."""
-    idf = {t: math.log((n + 1) / (counts.get(t, 0) + 1)) + 1 for t in VOCABULARY}
-    vectors, triggers = [], set()
-    for name, text in TEMPLATES:
+def weights(n: int, counts: dict[str, int]) -> tuple[list[tuple[int, str, str, float]], list[str]]:
+    """Rows (template, licence, term, weight over the template's norm), and the trigger terms."""
+    rows, triggers = [], set()
+    for k, (name, text) in enumerate(TEMPLATES):
         said = terms(text)
-        v = [said.count(t) * idf[t] for t in VOCABULARY]
-        norm = math.sqrt(sum(x * x for x in v))
-        vectors.append((name, v, norm))
-        left = norm
-        for x, t in sorted(zip(v, VOCABULARY, strict=True), reverse=True):
-            if left < 0.99 * SIMILAR * norm:
+        v = {t: (1 + math.log(said.count(t))) * idf(n, counts.get(t, 0)) for t in said}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        rows += [(k, name, t, x / norm) for t, x in v.items()]
+        left = 1.0
+        for t, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
+            if left < (0.99 * SIMILAR) ** 2:
                 break
             triggers.add(t)
-            left = math.sqrt(max(0.0, left * left - x * x))
-    return idf, vectors, sorted(triggers)
-
-
-def matched(docs: DataFrame, n: int, counts: dict[str, int], text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__rp_best``: struct(cos, license, chars) of the best line, or null."""
-    idf, vectors, triggers = weights(n, counts)
-    unknown = math.log(n + 1) + 1
-    known = F.array(*map(F.lit, VOCABULARY))
-    idfs = F.array(*[F.lit(idf[t]) for t in VOCABULARY])
-    templates = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, v)).alias("v"), F.lit(norm).alias("norm")) for name, v, norm in vectors])
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-
-    def best(line: Column) -> Column:
-        def of(t: Column) -> Column:
-            def with_counts(tf: Column) -> Column:
-                w = F.zip_with(tf, idfs, lambda a, b: a * b)
-                outside = F.size(t) - total(tf)
-                norm = F.sqrt(total(F.transform(w, lambda x: x * x)) + outside * F.lit(unknown * unknown))
-                cos = lambda p: total(F.zip_with(w, p["v"], lambda a, b: a * b)) / (p["norm"] * norm)
-                return F.array_max(F.transform(templates, lambda p: F.struct(F.round(cos(p), 6).alias("cos"), p["name"].alias("license"), F.length(line).alias("chars"))))
-
-            tf = F.transform(known, lambda v: F.size(F.filter(t, lambda y: y == v)).cast("double"))
-            return F.get(F.transform(F.array(tf), with_counts), F.lit(0))
-
-        return F.get(F.transform(F.array(tokens(line)), of), F.lit(0))
-
-    pattern = "(" + "|".join(re.escape(t) for t in triggers) + ")"
-    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.lower(x).rlike(pattern))
-    found = F.filter(F.transform(lines, best), lambda x: x["cos"] >= SIMILAR)
-    # Behind a generator the expression is computed once, whatever follows.
-    return docs.withColumn("__rp_best", F.explode_outer(F.array(F.array_max(found))))
+            left -= (x / norm) ** 2
+    return rows, sorted(triggers)
+
+
+def units(text: Column, triggers: list[str]) -> Column:
+    """Structs (kind, tokens) of the whole text, its headers and its lines, of those
+    that hold a trigger; null where the text holds none."""
+    known, marks = F.array(*map(F.lit, VOCABULARY)), F.array(*map(F.lit, triggers))
+    text = F.translate(text, "\0", " ")
+    lines = F.split(text, "\n")
+
+    def kept(line: Column) -> Column:
+        t = F.array_distinct(tokens(line))
+        # array() and transform bind the line's terms, so they are computed once.
+        return F.get(F.transform(F.array(t), lambda t: F.when(2 * F.size(F.array_intersect(t, known)) >= F.size(t), line).otherwise(F.lit("\0"))), F.lit(0))
+
+    runs = F.split(F.array_join(F.transform(lines, kept), "\n"), "\0")
+    of = lambda kind, texts: F.transform(texts, lambda x: F.struct(F.lit(kind).alias("kind"), tokens(x).alias("tokens")))
+    every = F.concat(of("file", F.array(text)), of("header", runs), of("line", lines))
+    return F.when(F.arrays_overlap(tokens(text), marks), F.filter(every, lambda u: F.arrays_overlap(u["tokens"], marks)))
+
+
+def similar(cut: DataFrame, df: DataFrame, n: int, templates: DataFrame) -> DataFrame:
+    """(__rp_row, best: struct(cos, license), whole) of the rows of ``cut`` that hold a similar unit."""
+    unit = cut.where("__rp_units is not null").select("__rp_row", F.posexplode("__rp_units").alias("unit", "u"))
+    tf = unit.select("__rp_row", "unit", F.col("u.kind").alias("kind"), F.explode("u.tokens").alias("term")).groupBy("__rp_row", "unit", "kind", "term").agg(F.count("*").alias("tf"))
+    w = tf.join(df, "term").withColumn("w", (1 + F.log("tf")) * idf(n, F.col("df")))
+    square = F.col("w") * F.col("w")
+    norm = w.groupBy("__rp_row", "unit").agg(F.sqrt(F.sum(square)).alias("norm"), F.sqrt(F.sum(F.when(F.col("term").isin(VOCABULARY), square))).alias("known"))
+    # A cosine is at most the share of the norm that lies in terms of templates.
+    norm = norm.where(F.col("known") >= 0.99 * SIMILAR * F.col("norm")).drop("known")
+    dot = w.join(norm.select("__rp_row", "unit"), ["__rp_row", "unit"], "left_semi").join(F.broadcast(templates), "term").groupBy("__rp_row", "unit", "kind", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    cos = dot.join(norm, ["__rp_row", "unit"]).withColumn("cos", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cos") >= SIMILAR)
+    return cos.groupBy("__rp_row").agg(F.max(F.struct("cos", "license")).alias("best"), F.max(F.col("kind") == "file").alias("whole"))
 
 
 def parent(path: Column) -> Column:
@@ -127,25 +119,31 @@ def parent(path: Column) -> Column:
 def scanned(docs: DataFrame, path_col: str, text_col: str = "text") -> DataFrame:
     """``docs`` without its texts, with license, similarity, basis (file, header,
     inherited, none) and license_from (the file's own path or the directory it
-    inherits from).  Lines are matched once: directories and files both read
-    the written matches."""
-    n, counts = document_counts(docs, text_col)
-    own = matched(docs, n, counts, text_col)
-    b = F.col("__rp_best")
-    own = own.withColumns({"__rp_dir": parent(F.col(path_col)), "__rp_file": F.coalesce(b["chars"] >= FILE_SHARE * F.length(text_col), F.lit(False))})
-    own = written(own.drop(text_col), "matches")
+    inherits from).  Texts are read twice: for the terms' counts, and for their
+    units, which are written with a number for each row."""
+    spark = docs.sparkSession
+    df, n = document_counts(docs, text_col), docs.count()
+    counts = {r.term: r.df for r in df.where(F.col("term").isin(VOCABULARY)).collect()}  # a constant number of rows
+    rows, triggers = weights(n, counts)
+    templates = spark.createDataFrame(rows, "template int, license string, term string, v double")
+    cut = docs.withColumns({"__rp_row": F.monotonically_increasing_id(), "__rp_units": units(F.col(text_col), triggers)}).drop(text_col)
+    cut = written(cut, "units")
+    own = cut.drop("__rp_units").join(similar(cut, df, n, templates).withColumnsRenamed({"best": "__rp_best", "whole": "__rp_whole"}), "__rp_row", "left")
+    b, path = F.col("__rp_best"), F.col(path_col)
+    named = F.coalesce(path.rlike(FILE_NAME), F.lit(False))
+    own = own.withColumns({"__rp_dir": parent(path), "__rp_file": b.isNotNull() & (F.col("__rp_whole") | named)})
+    own = written(own.drop("__rp_row", "__rp_whole"), "matches")
     declared = own.where("__rp_file and __rp_dir is not null").groupBy(F.col("__rp_dir").alias("dir"), b["license"].alias("license")).agg(F.count("*").alias("n"))
     declared = declared.groupBy("dir").agg(F.max(F.struct("n", "license"))["license"].alias("license"))
     dirs = own.select(F.col("__rp_dir").alias("dir")).where("dir is not null").distinct()
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("up"))
-    near = above.join(declared.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct(F.length("up").alias("n"), "up", "license")).alias("near"))
+    near = above.join(declared.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct(F.length("up").alias("n"), "up", "license")).alias("__rp_near"))
     out = own.join(near.withColumnRenamed("dir", "__rp_dir"), "__rp_dir", "left")
-    has = b.isNotNull()
-    inherits = F.col("near").isNotNull()
+    has, near = b.isNotNull(), F.col("__rp_near")
     return out.withColumns({
-        "license": F.when(has, b["license"]).otherwise(F.col("near")["license"]),
+        "license": F.when(has, b["license"]).otherwise(near["license"]),
         "similarity": b["cos"],
-        "basis": F.when(has & F.col("__rp_file"), "file").when(has, "header").when(inherits, "inherited").otherwise("none"),
-        "license_from": F.when(has, F.col(path_col)).otherwise(F.col("near")["up"]),
-    }).drop("__rp_best", "__rp_dir", "__rp_file", "near")
+        "basis": F.when(F.col("__rp_file"), "file").when(has, "header").when(near.isNotNull(), "inherited").otherwise("none"),
+        "license_from": F.when(has, path).otherwise(near["up"]),
+    }).drop("__rp_best", "__rp_dir", "__rp_file", "__rp_near")

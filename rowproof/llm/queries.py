@@ -55,7 +55,8 @@ def op6_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang", (F.col("doc_id") % 50).cast("string"), F.col("doc_id").cast("string"))
+    deep = F.col("doc_id") % 3  # directories of three depths
+    path = F.concat_ws("/", "source", F.when(deep > 0, F.col("lang")), F.when(deep > 1, (F.col("doc_id") % 50).cast("string")), F.col("doc_id").cast("string"))
     found = license_tfidf.scanned(docs.select("doc_id", "text", path.alias("path")), "path")
     return found.select("doc_id", "path", "license", "similarity", "basis", "license_from")
 
@@ -123,42 +124,42 @@ FROM d
 
 
 def license_sql() -> str:
-    """The scan with every line compared, without triggers."""
-    texts = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_tfidf.TEMPLATES))
+    """The scan with every unit compared, without triggers."""
+    texts = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(license_tfidf.TEMPLATES))
     term = license_tfidf.TERM
     return f"""
 WITH tpl(t, name, said) AS (VALUES {texts}),
-tw AS (SELECT t, name, term, count(*) AS tf FROM (SELECT t, name, unnest(regexp_extract_all(lower(said), '{term}')) AS term FROM tpl) GROUP BY ALL),
 docs AS (
     SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
-           concat_ws('/', source, lang, CAST(doc_id % 50 AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path
+           concat_ws('/', source, CASE WHEN doc_id % 3 > 0 THEN lang END, CASE WHEN doc_id % 3 > 1 THEN CAST(doc_id % 50 AS VARCHAR) END, CAST(doc_id AS VARCHAR)) AS path
     FROM documents
 ),
 n AS (SELECT count(*) AS n FROM docs),
-df AS (
-    SELECT term, count(*) AS df FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '{term}')) AS term FROM docs)
-    WHERE term IN (SELECT term FROM tw) GROUP BY term
-),
-idf AS (SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM tw) LEFT JOIN df USING (term), n),
-tv AS (SELECT t, name, term, tf * idf AS w FROM tw JOIN idf USING (term)),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '{term}')) AS term FROM docs) GROUP BY term),
+tw AS (SELECT t, name, term, count(*) AS tf FROM (SELECT t, name, unnest(regexp_extract_all(lower(said), '{term}')) AS term FROM tpl) GROUP BY ALL),
+tv AS (SELECT t, name, term, (1 + ln(tf)) * (ln((n + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM tw LEFT JOIN df USING (term), n),
 tn AS (SELECT t, sqrt(sum(w * w)) AS norm FROM tv GROUP BY t),
-line AS (SELECT r, generate_subscripts(s, 1) AS k, unnest(s) AS line FROM (SELECT r, string_split(text, chr(10)) AS s FROM docs)),
-tok AS (SELECT r, k, term, count(*) AS tf FROM (SELECT r, k, unnest(regexp_extract_all(lower(line), '{term}')) AS term FROM line) GROUP BY ALL),
-lw AS (SELECT r, k, term, tf, idf, tf * idf AS w FROM tok LEFT JOIN idf USING (term)),
-ln_ AS (SELECT r, k, sqrt(sum(CASE WHEN idf IS NULL THEN tf * power(ln(n + 1) + 1, 2) ELSE w * w END)) AS norm FROM lw, n GROUP BY r, k),
-hit AS (
-    SELECT r, k, t, any_value(tv.name) AS name, sum(lw.w * tv.w) AS dot FROM lw JOIN tv USING (term) GROUP BY r, k, t
+line AS (
+    SELECT r, k, regexp_extract_all(lower(line), '{term}') AS terms
+    FROM (SELECT r, generate_subscripts(s, 1) AS k, unnest(s) AS line FROM (SELECT r, string_split(text, chr(10)) AS s FROM docs))
 ),
-best AS (
-    SELECT r, round(dot / (tn.norm * ln_.norm), 6) AS cos, name, length(line) AS chars
-    FROM hit JOIN tn USING (t) JOIN ln_ USING (r, k) JOIN line USING (r, k)
+known AS (SELECT list(DISTINCT term) AS known FROM tw),
+mark AS (SELECT r, k, terms, 2 * len(list_intersect(list_distinct(terms), known)) >= len(list_distinct(terms)) AS good FROM line, known),
+run AS (SELECT *, sum(CASE WHEN good THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY k) AS run FROM mark),
+unit AS (
+    SELECT r, 'file' AS kind, 0 AS k, unnest(terms) AS term FROM line
+    UNION ALL SELECT r, 'header', run, unnest(terms) FROM run WHERE good
+    UNION ALL SELECT r, 'line', k, unnest(terms) FROM line
 ),
+w AS (SELECT r, kind, k, term, (1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1) AS w FROM (SELECT r, kind, k, term, count(*) AS tf FROM unit GROUP BY ALL) JOIN df USING (term), n),
+un AS (SELECT r, kind, k, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+dot AS (SELECT r, kind, k, t, name, sum(w.w * tv.w) AS dot FROM w JOIN tv USING (term) GROUP BY ALL),
+best AS (SELECT r, kind, round(dot / (tn.norm * un.norm), 6) AS cos, name FROM dot JOIN tn USING (t) JOIN un USING (r, kind, k)),
 own AS (
-    SELECT * FROM best WHERE cos >= {license_tfidf.SIMILAR} QUALIFY row_number() OVER (PARTITION BY r ORDER BY cos DESC, name DESC, chars DESC) = 1
+    SELECT r, max(struct_pack(cos := cos, name := name)) AS b, bool_or(kind = 'file') AS is_file FROM best WHERE cos >= {license_tfidf.SIMILAR} GROUP BY r
 ),
 doc AS (
-    SELECT d.*, own.cos, own.name, regexp_replace(path, '/[^/]*$', '') AS dir,
-           coalesce(own.chars >= {license_tfidf.FILE_SHARE} * length(text), FALSE) AS is_file
+    SELECT d.*, b.cos, b.name, regexp_replace(path, '/[^/]*$', '') AS dir, coalesce(is_file, FALSE) AS is_file
     FROM docs d LEFT JOIN own USING (r)
 ),
 declared AS (
