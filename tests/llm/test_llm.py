@@ -4,7 +4,9 @@ empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 import base64
 import collections
 import hashlib
+import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -13,7 +15,7 @@ import public_tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
-from rowproof.llm import bpe_prefix, common, language_kernel, license_tfidf, pii_transducer, quality_lists, queries, retrieval_packing, simhash_similar, simhash_vptree, toxicity_crf, vector_graph, warc_zstd
+from rowproof.llm import bpe_prefix, common, language_kernel, license_templates, license_tfidf, pii_transducer, quality_lists, queries, retrieval_packing, simhash_similar, simhash_vptree, toxicity_crf, vector_graph, warc_zstd
 
 SMALL = "/root/testdata/sf0.001"
 JSON, RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -396,12 +398,49 @@ def test_bpe(spark, docs):
 
 
 def test_license(spark, docs):
-    df = spark.createDataFrame(
-        [(1, "s/a/LICENSE", "Released under the MIT License."), (2, "s/a/b/x", "no words"), (3, "s/c/x", "text\nLicensed under the Apache License, Version 2.0.\nmore " + "text " * 50), (4, "t", None), (5, None, ""), (2, "s/a/b/x", "no words")],
-        "doc_id long, path string, text string",
-    )
-    got = sorted((r.doc_id, r.license or "", r.basis, r.license_from or "") for r in license_tfidf.scanned(df, "path").collect())
-    assert got == [(1, "MIT", "file", "s/a/LICENSE"), (2, "MIT", "inherited", "s/a"), (2, "MIT", "inherited", "s/a"), (3, "Apache-2.0", "header", "s/c/x"), (4, "", "none", ""), (5, "", "none", "")]
+    long = {name: text for name, text in license_templates.TEMPLATES if len(text) > 600}
+    wrap = lambda text, mark: "\n".join(mark + line for p in text.strip().split("\n") for line in [*textwrap.wrap(p, 60), ""])
+    code = "\n".join(f"value{i} = compute{i}(row{i}, other{i % 7})" for i in range(300))
+    rows = [
+        (1, "s/a/LICENSE", "Released under the MIT License.\nand a few words of ours beside it, which are about other things", 1, "q"),
+        (2, "s/a/b/x", "no words", 1, "q"),
+        (2, "s/a/b/x", "no words", 1, "q"),
+        (3, "s/c/x", "text\nLicensed under the Apache License, Version 2.0.\nmore " + "text " * 50, 1, "q"),
+        (4, "t", None, 1, "q"),
+        (5, None, "", 1, "q"),
+        (6, "s/d/terms.txt", "Copyright (c) 2020 Some Body\n\n" + wrap(long["MIT"], ""), 1, "q"),
+        (7, "s/d/e/f/g.py", "# Copyright (c) 2021 Some Body\n#\n" + wrap(long["BSD-3-Clause"], "# ") + "\n" + code, 1, "q"),
+        (8, "s/d/e/f/h.py", code, 1, "q"),
+        (9, "s/h.c", "/*\n * This Source Code Form is subject to the terms of the\n * Mozilla Public License, v. 2.0.\n * If a copy of the MPL was not distributed with this file,\n * You can obtain one at http://mozilla.org/MPL/2.0/.\n */\n" + code, 1, "q"),
+        (10, "s/copying.txt", wrap(long["Zlib"], ""), 1, "q"),
+        (11, "u/x", "word " * 30_000 + "\0 SPDX-License-Identifier: MIT", 1, "q"),
+        (12, "u/y", code + "\n// SPDX-License-Identifier: ISC\n" + code, 1, "q"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string, dir int, term string").repartition(3)
+    out = license_tfidf.scanned(df, "path").collect()
+    got = sorted((r.doc_id, r.license or "", r.basis, r.license_from or "") for r in out)
+    assert got == [
+        (1, "MIT", "file", "s/a/LICENSE"), (2, "MIT", "inherited", "s/a"), (2, "MIT", "inherited", "s/a"), (3, "Apache-2.0", "header", "s/c/x"),
+        (4, "", "none", ""), (5, "", "none", ""), (6, "MIT", "file", "s/d/terms.txt"), (7, "BSD-3-Clause", "header", "s/d/e/f/g.py"), (8, "MIT", "inherited", "s/d"),
+        (9, "MPL-2.0", "header", "s/h.c"), (10, "Zlib", "file", "s/copying.txt"), (11, "", "none", ""), (12, "ISC", "header", "u/y"),
+    ]
+    assert set(out[0].asDict()) == {"doc_id", "path", "dir", "term", "license", "similarity", "basis", "license_from"}
+
+    # Cosines of the whole texts and lines by dictionaries, from all units and terms.
+    said = [license_tfidf.terms((r[2] or "").replace("\0", " ")) for r in rows]
+    df_ = collections.Counter(t for s in said for t in set(s))
+
+    def vector(t):
+        return {w: (1 + math.log(n)) * (math.log((len(rows) + 1) / (df_[w] + 1)) + 1) for w, n in collections.Counter(t).items()}
+
+    def cosine(a, b):
+        return sum(x * b.get(w, 0) for w, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+    spdx = [(name, vector(license_tfidf.terms(text))) for name, text in license_templates.TEMPLATES]
+    by_id = {r.doc_id: r for r in out}
+    for doc_id, unit in ((3, rows[3][2].split("\n")[1]), (10, rows[10][2]), (12, "// SPDX-License-Identifier: ISC")):
+        cos, name = max((round(cosine(vector(license_tfidf.terms(unit)), v), 6), name) for name, v in spdx)
+        assert (by_id[doc_id].license, by_id[doc_id].similarity) == (name, cos)
     assert license_tfidf.scanned(df.where("false"), "path").count() == 0
 
 
