@@ -59,11 +59,13 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
     base = bound(base, __rp_windows=windows)
     h = F.col("__rp_windows")
-    # Windows in order of their hash (then place): equal ones are neighbours.
-    ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    # Windows in order of their hash, then their words (words hold no blank), then
+    # place: equal ones are neighbours, and others of the same hash are told apart.
+    said = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), said(i).alias("said"), i.alias("i"))))
 
     def covered(s: Column) -> Column:
-        same = lambda k, j: F.coalesce(F.get(s, k)["h"] == F.get(s, j)["h"], F.lit(False))
+        same = lambda k, j: F.coalesce((F.get(s, k)["h"] == F.get(s, j)["h"]) & (F.get(s, k)["said"] == F.get(s, j)["said"]), F.lit(False))
         found = F.filter(F.transform(s, lambda x, k: F.when((k > 0) & same(k, F.greatest(k - 1, F.lit(0))) | same(k, k + 1), x["i"])), lambda x: x.isNotNull())
         start = F.struct(F.lit(-9).alias("last"), F.lit(0).cast("long").alias("n"))
         return F.aggregate(F.sort_array(found), start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])

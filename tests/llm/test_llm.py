@@ -541,7 +541,7 @@ def test_warc_frames_stand_alone(spark):
     assert len(refers) == 210 and all(ids[h["WARC-Refers-To"]]["WARC-Type"] == "response" and ids[h["WARC-Refers-To"]]["WARC-Target-URI"] == h["WARC-Refers-To-Target-URI"] for h in refers)
 
 
-def test_quality(spark, docs):
+def test_quality(spark, docs, monkeypatch):
     def brute(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -552,6 +552,19 @@ def test_quality(spark, docs):
     for r in quality_lists.statistics(docs).collect():
         s = r["__rp_stats"]
         assert (s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words) == brute(r.text)
+    # Different windows of one hash are told apart: here all windows share few hashes.
+    with monkeypatch.context() as weak:
+        weak.setattr(quality_lists.F, "xxhash64", lambda a, b, c: F.length(F.concat(a, b, c)).cast("long") % 5)
+        for r in quality_lists.statistics(docs).collect():
+            assert r["__rp_stats"].n_repeat_words == brute(r.text)[4]
+    # A list as one expression decides as the rules do one by one.
+    c = quality_lists.Condition
+    rules = [(c("symbols_per_word", True, 0.02), c("words", True, 60.0)), (c("chars_per_word", False, 4.5),), (c("repeat_share", True, 0.1), c("dup_line_share", False, 0.5))]
+    ratios = [F.expr(c(k, True, 0.0).sql("__rp_stats").rsplit(" > ", 1)[0]).alias(k) for k in quality_lists.RATIOS]
+    found = quality_lists.judged(docs, rules).select("__rp_rule", *ratios).collect()
+    x = np.array([[float(r[k]) for k in quality_lists.RATIOS] for r in found])
+    first = np.select([quality_lists.hits(rule, x) for rule in rules], [1, 2, 3], 0)
+    assert [r["__rp_rule"] or 0 for r in found] == first.tolist() and set(first) == {0, 1, 2, 3}
     real, labels = common.table(spark, SMALL, "documents"), common.table(spark, SMALL, "labels")
     out = quality_lists.filtered(real, labels)
     assert out.columns == real.columns and 0 < out.count() < real.count()
