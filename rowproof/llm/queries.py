@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, language_kernel, license_tfidf, pii_transducer, quality_lists, retrieval_packing, simhash_vptree, toxicity_crf, vector_graph, warc_zstd
+from . import bpe_prefix, interpolated_ngrams, language_kernel, license_tfidf, merkle_manifest, periodic_runs, pii_transducer, quality_lists, retrieval_packing, simhash_vptree, toxicity_crf, vector_graph, warc_zstd
 from .common import table
 
 
@@ -78,6 +78,49 @@ def op10_quality_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("__rp_failed").alias("base_failed"), F.col("__rp_kept").alias("kept"))
 
 
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """Documents, those whose number the contract names with words repeating from a place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words"))
+    rows = rows.withColumn("n", F.when(F.size("words") > 0, F.size("words")))
+    rows = rows.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times)), F.lit(1), F.col("n") - F.col("a"))
+    said = F.concat_ws(" ", F.slice("words", F.lit(1), F.col("a")), tail)
+    return rows.select("doc_id", F.when(F.col("n").isNull(), F.col("text")).otherwise(said).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(repeated_tails(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("small"))))
+    found = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    said = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    b = F.col("best")
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), (-b["back"]).alias("start"), b["length"].alias("length"), (-b["small"]).alias("period"),
+        F.expr("1000 * best.length div -best.small").alias("exponent_milli"), F.sha2(F.array_join(said, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_interpolated_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 7
+    found = interpolated_ngrams.scored(table(spark, sf_dir, "documents"), F.coalesce(remainder != 2, F.lit(True)))
+    return found.select(F.col("id").alias("doc_id"), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    leaf = lambda text: merkle_manifest.digest_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf(F.translate("text", upper, upper.lower())))
+    made = merkle_manifest.manifest(docs, leaf(F.col("text")), tampered=tampered)
+    found = merkle_manifest.proofs(made).withColumn("folded_root", merkle_manifest.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    root = F.lit(made.root)
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", root.alias("root"), merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +128,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_vector_graph, op2_retrieval_packing, op3_language_kernel, op4_simhash_vptree, op5_toxicity_crf, op6_bpe_prefix, op7_license_tfidf, op8_pii_transducer, op9_warc_zstd, op10_quality_lists]
+    found = [op1_vector_graph, op2_retrieval_packing, op3_language_kernel, op4_simhash_vptree, op5_toxicity_crf, op6_bpe_prefix, op7_license_tfidf, op8_pii_transducer, op9_warc_zstd, op10_quality_lists, op11_periodic_runs, op12_interpolated_ngrams, op13_merkle_manifest]
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
