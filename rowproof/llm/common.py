@@ -5,7 +5,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +54,29 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def consecutive(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of rows of equal ``keys`` (longs or ints) that follow each other, whatever batches cut them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        where = np.stack([b.column(b.schema.get_field_index(k)).to_numpy() for k in keys], 1)
+        cut = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cut, cut[1:], strict=False):
+            part = b.slice(i, j - i)
+            if held and any(held[-1].column(held[-1].schema.get_field_index(k))[0] != part.column(part.schema.get_field_index(k))[0] for k in keys):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, made longer than any column of ``df``, so that none is one."""
+    return [f"__rp_{n}" + "_" * max((len(c) for c in df.columns), default=0) for n in names]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) long edges -> (node, root): root is the smallest node reachable.
 

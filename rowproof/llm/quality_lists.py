@@ -9,7 +9,8 @@ expression, so applying it costs no pass and no shuffle of its own.
 
 Defined results: null texts have no words; every ratio over nothing is 0; a
 list learned from too little is empty and keeps everything; repeated rows
-repeat.
+repeat.  Columns of any name may be there: ``filtered`` returns them untouched,
+and ``judged``, whose results have names, refuses a table that has one of these.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Labelled rows of each class that are learned from.
 PER_CLASS = 1500
 #: Rules at most, conditions of a rule at most, thresholds tried of a statistic,
@@ -44,48 +47,56 @@ def bound(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with more columns that are computed here, once a row: no later
     filter or projection can pull their expressions into its own."""
     one = F.struct(*[c.alias(name) for name, c in columns.items()])
-    out = df.withColumn("__rp_bound", F.explode_outer(F.array(one)))
-    return out.withColumns({name: F.col("__rp_bound")[name] for name in columns}).drop("__rp_bound")
+    (held,) = unused(df, "bound")
+    out = df.withColumn(held, F.explode_outer(F.array(one)))
+    return out.withColumns({name: F.col(held)[name] for name in columns}).drop(held)
 
 
-def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with ``__rp_stats``: a struct of the counts of each text."""
+def statistics(df: DataFrame, into: str, text_col: str = "text") -> DataFrame:
+    """``df`` with a column ``into``: a struct of the counts of each text."""
+    words_, lines_, windows_ = unused(df.select("*", F.lit(0).alias(into)), "words", "lines", "windows")
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.array_remove(F.split(text, WHITE + "+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    base = bound(df, __rp_words=words, __rp_lines=lines)
-    w = F.col("__rp_words")
+    base = bound(df, **{words_: words, lines_: lines})
+    w, lines = F.col(words_), F.col(lines_)
     n = F.size(w)
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    base = bound(base, __rp_windows=windows)
-    h = F.col("__rp_windows")
-    # Windows in order of their hash, then their words (words hold no blank), then
-    # place: equal ones are neighbours, and others of the same hash are told apart.
+    base = bound(base, **{windows_: windows})
+    h = F.col(windows_)
+    # get(transform(array(x), f)) binds x, so it is computed once and not for each element.
+    bind = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
     said = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), said(i).alias("said"), i.alias("i"))))
+    at = lambda s, k: F.when(k >= 0, F.get(s, F.greatest(k, F.lit(0))))
+
+    def twice(s: Column, same) -> Column:
+        """Those that are the same as a neighbour."""
+        return F.filter(s, lambda x, k: F.coalesce(same(x, at(s, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, k + 1)), F.lit(False)))
 
     def covered(s: Column) -> Column:
-        same = lambda k, j: F.coalesce((F.get(s, k)["h"] == F.get(s, j)["h"]) & (F.get(s, k)["said"] == F.get(s, j)["said"]), F.lit(False))
-        found = F.filter(F.transform(s, lambda x, k: F.when((k > 0) & same(k, F.greatest(k - 1, F.lit(0))) | same(k, k + 1), x["i"])), lambda x: x.isNotNull())
         start = F.struct(F.lit(-9).alias("last"), F.lit(0).cast("long").alias("n"))
-        return F.aggregate(F.sort_array(found), start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
-
-    # array(x) and transform bind x, so it is computed once and not for each element.
-    repeats = F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(F.get(F.transform(F.array(ordered), covered), F.lit(0)))
-    lines_ = F.col("__rp_lines")
+        return F.aggregate(F.sort_array(s), start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
+
+    # Windows of a hash that occurs again, then of these the ones whose words (they
+    # hold no blank) do: few windows are ever spelt out.
+    hashed = lambda s: twice(s, lambda x, y: x["h"] == y["h"])
+    spelt = lambda s: twice(s, lambda x, y: (x["h"] == y["h"]) & (x["said"] == y["said"]))
+    again = bind(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), hashed)
+    again = bind(F.sort_array(F.transform(again, lambda x: F.struct(x["h"].alias("h"), said(x["i"]).alias("said"), x["i"].alias("i")))), spelt)
+    repeats = F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(F.transform(again, lambda x: x["i"])))
     stats = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit("[!?]")).cast("long").alias("n_marks"),
-        F.size(lines_).cast("long").alias("n_lines"),
-        (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long").alias("n_dup_lines"),
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeats.alias("n_repeat_words"),
     )
-    return bound(base, __rp_stats=stats).drop("__rp_words", "__rp_lines", "__rp_windows")
+    return bound(base, **{into: stats}).drop(words_, lines_, windows_)
 
 
-def base_failed(stats: str = "__rp_stats") -> Column:
+def base_failed(stats: str = "stats") -> Column:
     s = F.col(stats)
     return (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
 
@@ -176,24 +187,24 @@ def cover(x: np.ndarray, bad: np.ndarray, weight: float = 1.0) -> list[Rule]:
 
 def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[Rule]:
     """Learn from labelled rows that pass the base rules."""
-    some = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__rp_id"), F.col(label_col).cast("int").alias("__rp_y"))
-    total = {r["__rp_y"]: r.n for r in some.groupBy("__rp_y").agg(F.count("*").alias("n")).collect()}
+    some = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
+    total = {r.y: r.n for r in some.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if set(total) != {0, 1}:
         return []
-    chosen = [some.where(F.col("__rp_y") == y).orderBy(F.xxhash64("__rp_id"), "__rp_id").limit(PER_CLASS) for y in (0, 1)]
+    chosen = [some.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS) for y in (0, 1)]
     # Both sides are limited above, so what is broadcast has a bound.
-    texts = docs.select(F.col(id_col).cast("long").alias("__rp_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "__rp_id")
-    ratios = [F.expr(Condition(r, True, 0.0).sql("__rp_stats").rsplit(" > ", 1)[0]).alias(r) for r in RATIOS]
-    found = statistics(texts).where(~base_failed()).select("__rp_id", "__rp_y", *ratios).orderBy(F.xxhash64("__rp_id"), "__rp_id", *RATIOS).limit(4 * PER_CLASS).collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "id")
+    ratios = [F.expr(Condition(r, True, 0.0).sql("stats").rsplit(" > ", 1)[0]).alias(r) for r in RATIOS]
+    found = statistics(texts, "stats").where(~base_failed()).select("id", "y", *ratios).orderBy(F.xxhash64("id"), "id", *RATIOS).limit(4 * PER_CLASS).collect()
     x = np.array([[float(r[k]) for k in RATIOS] for r in found]).reshape(-1, len(RATIOS))
-    bad = np.array([r["__rp_y"] == 0 for r in found], bool)
+    bad = np.array([r.y == 0 for r in found], bool)
     if not bad.any() or bad.all():
         return []
     share = min(PER_CLASS, total[1]) / total[1] / (min(PER_CLASS, total[0]) / total[0])
     return cover(x, bad, 1 / share)
 
 
-def verdict(rules: list[Rule], stats: str = "__rp_stats") -> Column:
+def verdict(rules: list[Rule], stats: str = "stats") -> Column:
     """Number of the first rule that rejects a row, from 1; null if none does."""
     out = F.lit(None).cast("int")
     for k in range(len(rules), 0, -1):
@@ -201,14 +212,18 @@ def verdict(rules: list[Rule], stats: str = "__rp_stats") -> Column:
     return out
 
 
-def judged(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__rp_stats``, ``__rp_failed``, ``__rp_rule`` and ``__rp_kept``."""
-    out = statistics(docs, text_col).withColumn("__rp_failed", base_failed())
-    out = out.withColumn("__rp_rule", verdict(rules))
-    return out.withColumn("__rp_kept", ~F.col("__rp_failed") & F.col("__rp_rule").isNull())
+def judged(docs: DataFrame, rules: list[Rule], text_col: str = "text", into: tuple[str, str, str, str] = ("stats", "failed", "rule", "kept")) -> DataFrame:
+    """``docs`` with four columns, named by ``into``: the counts, whether a base rule
+    fails, the first rule of the list that rejects, and whether the row is kept."""
+    stats, failed, rule, kept = into
+    if {c.lower() for c in into} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the documents have a column among {into}")
+    out = statistics(docs, stats, text_col).withColumns({failed: base_failed(stats), rule: verdict(rules, stats)})
+    return out.withColumn(kept, ~F.col(failed) & F.col(rule).isNull())
 
 
 def filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the base rules and the learned list keep, columns unchanged."""
-    out = judged(docs, learned(docs, labels, id_col, text_col), text_col)
-    return out.where("__rp_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    into = tuple(unused(docs, "stats", "failed", "rule", "kept"))
+    out = judged(docs, learned(docs, labels, id_col, text_col), text_col, into)
+    return out.where(F.col(into[3])).select(*[F.col(f"`{c}`") for c in docs.columns])

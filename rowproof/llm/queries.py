@@ -74,8 +74,7 @@ def op9_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = quality_lists.judged(docs.select("doc_id", "text"), quality_lists.learned(docs, labels))
-    s = F.col("__rp_stats")
-    return out.select("doc_id", *[s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("__rp_failed").alias("base_failed"), F.col("__rp_kept").alias("kept"))
+    return out.select("doc_id", *[F.col("stats")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("failed").alias("base_failed"), "kept")
 
 
 def repeated_tails(docs: DataFrame) -> DataFrame:
