@@ -6,9 +6,9 @@ some ten bits, where no sphere separates random texts any more.  So here
 
 1. a text's fingerprint has ``BITS`` bits, each the majority over its distinct
    shingles: the share of differing bits tells the angle between the two sets,
-   and by it their similarity.  The radius is the number of bits expected at
-   the similarity and one standard deviation: pairs at 0.8 are linked five times
-   in six, from 0.82 on nearly always, at 0.76 one time in three, below 0.7 not;
+   and by it their similarity.  Texts within the radius are candidates: the
+   number of bits expected at the similarity and six standard deviations, which
+   also holds for texts of a few words;
 2. a text's keys are its ``KEYS`` smallest shingle hashes.  Two texts of the
    similarity share eight in nine of them on average; fewer than ``SHARED`` of
    them are not expected of one pair in 100,000.  So two texts meet under one of
@@ -20,7 +20,15 @@ some ten bits, where no sphere separates random texts any more.  So here
 4. a shard is cut by spheres around vantage points as long as they separate it
    (a text within the radius of a sphere goes to both sides, so no pair is
    lost), and what is left is compared bit by bit.  A shard returns a spanning
-   forest, never the pairs; forests are joined by distributed contraction.
+   forest, never the pairs; forests are joined by distributed contraction;
+5. candidates prove nothing, so the texts of each class that they make are
+   compared by their sets of shingles: each with those of its class within the
+   radius that no link joins with it yet.  A link is a similarity that was
+   counted, and the classes are those of these links.  Large classes are split
+   into blocks, and each pair of blocks is a task.
+
+Recall is that of the candidates (over 0.999 at 0.8, by the distribution of the
+bits; keys lose one pair in 100,000); no pair below the similarity is linked.
 
 Defined results: null text, empty text and text without a word are equal to each
 other; a text of fewer words than a shingle is one shingle; rows with null or
@@ -38,13 +46,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, connected_components, written
+from .common import bound_batches, connected_components, consecutive, written
 from .simhash_vptree import hook
 
 #: Bits of a fingerprint, keys of a text, and how many of them a linked text shares at least.
 BITS, KEYS, SHARED = 1024, 24, 14
 #: Texts of a block of a shard, and below which a part of it is compared bit by bit.
 BLOCK, SMALL = 4096, 256
+#: Deviations of the radius; texts and shingles of a block of a class whose sets are compared.
+WIDE, COMPARED, COMPARED_SHINGLES = 6, 1024, 2_000_000
 
 #: Odd multipliers, one for each 64 bits of a fingerprint.
 MIX = np.random.default_rng(9).integers(1 << 62, 1 << 63, BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,9 +86,9 @@ def majority(h: np.ndarray) -> bytes:
 
 
 def radius_of(similarity: float) -> int:
-    """Differing bits of two sets of one size that are so similar, and a deviation."""
+    """Differing bits of two sets of one size that are so similar, and ``WIDE`` deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(BITS * p + math.sqrt(BITS * p * (1 - p)))
+    return int(BITS * p + WIDE * math.sqrt(BITS * p * (1 - p)))
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,16 +133,55 @@ def forest(fps: np.ndarray, radius: int) -> np.ndarray:
 
 
 def sketches(df: DataFrame, row_col: str, text_col: str, size: int) -> DataFrame:
-    """(row, fp binary, keys array<long>) of every row."""
+    """(row, fp binary, mark long, m int, keys array<long>) of every row; texts of one set of
+    shingles have one fingerprint and one mark, m is the set's size."""
     bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             each = [shingles(t, size) for t in b.column(1).to_pylist()]
+            marks = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in each], np.uint64).view(np.int64)
             keys = [h[:KEYS].view(np.int64) for h in each]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([majority(h) for h in each], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["row", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([majority(h) for h in each], pa.binary()), pa.array(marks), pa.array([len(h) for h in each], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["row", "fp", "mark", "m", "keys"])
+
+    return df.select(F.col(row_col).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, "row long, fp binary, mark long, m int, keys array<long>")
+
+
+def joined_by(sets: list[np.ndarray], fps: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of the similarity that join all sets that such links join."""
+    size, label, out = np.array([len(s) for s in sets]), np.arange(len(sets)), []
+    for i in range(len(sets)):
+        others = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        low, high = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
+        others = others[low >= similarity * high - 1e-9]  # sets of other sizes are less similar
+        for j in others[apart(fps[others], fps[i]) <= radius].tolist():
+            if label[i] != label[j]:
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if shared >= similarity * (size[i] + size[j] - shared) - 1e-9:
+                    label[label == label[j]] = label[i]
+                    out.append((i, j))
+    return out
+
+
+def compared(df: DataFrame, row_col: str, text_col: str, classes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(u, v): links of the similarity among the texts of each of the ``classes`` (node, top, fp, m);
+    a node is the row that has the text."""
+    radius = radius_of(similarity)
+    sizes = classes.groupBy("top").agg(F.ceil(F.greatest(F.count("*") / COMPARED, F.sum("m") / COMPARED_SHINGLES)).cast("int").alias("nb"))
+    member = classes.join(sizes, "top").withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    member = member.select("node", "fp", "top", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    texts = member.join(df.select(F.col(row_col).alias("node"), F.col(text_col).alias("text")), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in consecutive(batches, ["top", "a", "b"]):
+            node = group.column("node").to_numpy()
+            fps = np.frombuffer(b"".join(group.column("fp").to_pylist()), np.uint64).reshape(len(node), -1)
+            links = np.array(joined_by([shingles(t, size) for t in group.column("text").to_pylist()], fps, radius, similarity), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(node[links[:, 0]]), pa.array(node[links[:, 1]])], ["u", "v"])
 
-    return df.select(F.col(row_col).alias("row"), F.col(text_col).alias("text")).mapInArrow(run, "row long, fp binary, keys array<long>")
+    dealt = texts.repartition("top", "a", "b").sortWithinPartitions("top", "a", "b", "node")
+    return dealt.select("top", "a", "b", "node", "fp", "text").mapInArrow(run, "u long, v long")
 
 
 def similar(df: DataFrame, row_col: str, text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -140,7 +189,7 @@ def similar(df: DataFrame, row_col: str, text_col: str = "text", size: int = 5,
     holds different longs."""
     radius = radius_of(similarity)
     rows = written(sketches(df, row_col, text_col, size), "sketches")
-    nodes = written(rows.groupBy("fp").agg(F.min("row").alias("node"), F.min("keys").alias("keys")), "nodes")
+    nodes = written(rows.groupBy("fp", "mark", "m").agg(F.min("row").alias("node"), F.min("keys").alias("keys")), "nodes")
     said = nodes.select("node", F.size("keys").alias("m"), F.explode("keys").alias("key"))
     count = said.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # A text's keys from rare to frequent; those that only it has come first and find nobody.
@@ -192,9 +241,11 @@ def similar(df: DataFrame, row_col: str, text_col: str = "text", size: int = 5,
             yield links(held)
 
     edges = shards.select("node", "key", "a", "b", "fp").mapInArrow(search, "u long, v long")
-    roots = connected_components(edges).withColumnsRenamed({"node": "n", "root": "top"})
-    classes = nodes.select("fp", "node").join(roots, F.col("node") == F.col("n"), "left").select("fp", F.coalesce("top", "node").alias("class"))
-    return rows.select("row", "fp").join(classes, "fp").select("row", "class")
+    candidates = connected_components(edges).withColumnRenamed("root", "top")
+    candidates = written(nodes.select("node", "fp", "m").join(candidates, "node"), "candidates")
+    roots = connected_components(compared(df, row_col, text_col, candidates, size, similarity)).withColumnsRenamed({"node": "n", "root": "top"})
+    classes = nodes.select("fp", "mark", "node").join(roots, F.col("node") == F.col("n"), "left").select("fp", "mark", F.coalesce("top", "node").alias("class"))
+    return rows.select("row", "fp", "mark").join(classes, ["fp", "mark"]).select("row", "class")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
