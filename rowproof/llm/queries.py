@@ -167,10 +167,12 @@ FROM d
 
 def license_sql() -> str:
     """The scan with every unit compared, without triggers."""
-    texts = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(license_tfidf.TEMPLATES))
+    q = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    some = lambda words: "[" + ", ".join(map(q, words)) + "]::VARCHAR[]"
+    texts = ", ".join(f"({i}, {q(t.name)}, {q(t.text)}, {some(t.needs)}, {some(t.bars)})" for i, t in enumerate(license_tfidf.TEMPLATES))
     term = license_tfidf.TERM
     return f"""
-WITH tpl(t, name, said) AS (VALUES {texts}),
+WITH tpl(t, name, text, needs, bars) AS (VALUES {texts}),
 docs AS (
     SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
            concat_ws('/', source, CASE WHEN doc_id % 3 > 0 THEN lang END, CASE WHEN doc_id % 3 > 1 THEN CAST(doc_id % 50 AS VARCHAR) END, CAST(doc_id AS VARCHAR)) AS path
@@ -178,27 +180,34 @@ docs AS (
 ),
 n AS (SELECT count(*) AS n FROM docs),
 df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '{term}')) AS term FROM docs) GROUP BY term),
-tw AS (SELECT t, name, term, count(*) AS tf FROM (SELECT t, name, unnest(regexp_extract_all(lower(said), '{term}')) AS term FROM tpl) GROUP BY ALL),
-tv AS (SELECT t, name, term, (1 + ln(tf)) * (ln((n + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM tw LEFT JOIN df USING (term), n),
+tw AS (SELECT t, term, count(*) AS tf FROM (SELECT t, unnest(regexp_extract_all(lower(text), '{term}')) AS term FROM tpl) GROUP BY ALL),
+tv AS (SELECT t, term, (1 + ln(tf)) * (ln((n + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM tw LEFT JOIN df USING (term), n),
 tn AS (SELECT t, sqrt(sum(w * w)) AS norm FROM tv GROUP BY t),
 line AS (
-    SELECT r, k, regexp_extract_all(lower(line), '{term}') AS terms
+    SELECT r, k, line, regexp_extract_all(lower(line), '{term}') AS terms
     FROM (SELECT r, generate_subscripts(s, 1) AS k, unnest(s) AS line FROM (SELECT r, string_split(text, chr(10)) AS s FROM docs))
 ),
 known AS (SELECT list(DISTINCT term) AS known FROM tw),
 mark AS (SELECT r, k, terms, 2 * len(list_intersect(list_distinct(terms), known)) >= len(list_distinct(terms)) AS good FROM line, known),
-run AS (SELECT *, sum(CASE WHEN good THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY k) AS run FROM mark),
+run AS (SELECT *, sum(CASE WHEN good THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY k) AS run, sum(CASE WHEN len(terms) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY k) AS block FROM mark),
+said AS (SELECT r, k, regexp_replace(regexp_extract(line, '{license_tfidf.SPDX}', 1), '[ \t]+', ' ', 'g') AS said FROM line),
 unit AS (
-    SELECT r, 'file' AS kind, 0 AS k, unnest(terms) AS term FROM line
-    UNION ALL SELECT r, 'header', run, unnest(terms) FROM run WHERE good
-    UNION ALL SELECT r, 'line', k, unnest(terms) FROM line
+    SELECT r, 'file' AS kind, 1 AS rank, NULL AS said, 0 AS k, unnest(terms) AS term FROM line
+    UNION ALL SELECT r, 'header', 1, NULL, run, unnest(terms) FROM run WHERE good
+    UNION ALL SELECT r, 'paragraph', 1, NULL, block, unnest(terms) FROM run
+    UNION ALL SELECT r, 'line', 0, NULL, k, unnest(terms) FROM line
+    UNION ALL SELECT r, 'spdx', 2, said, k, 'spdx-license-identifier' FROM said WHERE said <> ''
+),
+w AS (SELECT r, kind, rank, said, k, term, (1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1) AS w FROM (SELECT r, kind, rank, said, k, term, count(*) AS tf FROM unit GROUP BY ALL) JOIN df USING (term), n),
+un AS (SELECT r, kind, k, sqrt(sum(w * w)) AS norm, list(term) AS terms FROM w GROUP BY ALL),
+dot AS (SELECT r, kind, rank, said, k, t, sum(w.w * tv.w) AS dot FROM w JOIN tv USING (term) GROUP BY ALL),
+best AS (
+    SELECT r, kind, rank, round(dot / (tn.norm * un.norm), 6) AS cos, coalesce(said, name) AS name
+    FROM dot JOIN tn USING (t) JOIN un USING (r, kind, k) JOIN tpl USING (t)
+    WHERE list_has_all(terms, needs) AND NOT list_has_any(terms, bars)
 ),
-w AS (SELECT r, kind, k, term, (1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1) AS w FROM (SELECT r, kind, k, term, count(*) AS tf FROM unit GROUP BY ALL) JOIN df USING (term), n),
-un AS (SELECT r, kind, k, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
-dot AS (SELECT r, kind, k, t, name, sum(w.w * tv.w) AS dot FROM w JOIN tv USING (term) GROUP BY ALL),
-best AS (SELECT r, kind, round(dot / (tn.norm * un.norm), 6) AS cos, name FROM dot JOIN tn USING (t) JOIN un USING (r, kind, k)),
 own AS (
-    SELECT r, max(struct_pack(cos := cos, name := name)) AS b, bool_or(kind = 'file') AS is_file FROM best WHERE cos >= {license_tfidf.SIMILAR} GROUP BY r
+    SELECT r, max(struct_pack(rank := rank, cos := cos, name := name)) AS b, bool_or(kind = 'file') AS is_file FROM best WHERE cos >= {license_tfidf.SIMILAR} AND name IS NOT NULL GROUP BY r
 ),
 doc AS (
     SELECT d.*, b.cos, b.name, regexp_replace(path, '/[^/]*$', '') AS dir, coalesce(is_file, FALSE) AS is_file

@@ -5,6 +5,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import re
 import textwrap
 import zlib
@@ -421,7 +422,7 @@ def test_bpe(spark, docs):
 
 
 def test_license(spark, docs):
-    long = {name: text for name, text in license_templates.TEMPLATES if len(text) > 600}
+    long = {t.name: t.text for t in license_templates.TEMPLATES if len(t.text) > 600}
     wrap = lambda text, mark: "\n".join(mark + line for p in text.strip().split("\n") for line in [*textwrap.wrap(p, 60), ""])
     code = "\n".join(f"value{i} = compute{i}(row{i}, other{i % 7})" for i in range(300))
     rows = [
@@ -445,7 +446,7 @@ def test_license(spark, docs):
     assert got == [
         (1, "MIT", "file", "s/a/LICENSE"), (2, "MIT", "inherited", "s/a"), (2, "MIT", "inherited", "s/a"), (3, "Apache-2.0", "header", "s/c/x"),
         (4, "", "none", ""), (5, "", "none", ""), (6, "MIT", "file", "s/d/terms.txt"), (7, "BSD-3-Clause", "header", "s/d/e/f/g.py"), (8, "MIT", "inherited", "s/d"),
-        (9, "MPL-2.0", "header", "s/h.c"), (10, "Zlib", "file", "s/copying.txt"), (11, "", "none", ""), (12, "ISC", "header", "u/y"),
+        (9, "MPL-2.0", "header", "s/h.c"), (10, "Zlib", "file", "s/copying.txt"), (11, "MIT", "header", "u/x"), (12, "ISC", "header", "u/y"),
     ]
     assert set(out[0].asDict()) == {"doc_id", "path", "dir", "term", "license", "similarity", "basis", "license_from"}
 
@@ -459,14 +460,89 @@ def test_license(spark, docs):
     def cosine(a, b):
         return sum(x * b.get(w, 0) for w, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
 
-    spdx = [(name, vector(license_tfidf.terms(text))) for name, text in license_templates.TEMPLATES]
+    templates = [(t.name, vector(license_tfidf.terms(t.text))) for t in license_templates.TEMPLATES if t.name]
     by_id = {r.doc_id: r for r in out}
-    for doc_id, unit in ((3, rows[3][2].split("\n")[1]), (10, rows[10][2]), (12, "// SPDX-License-Identifier: ISC")):
-        cos, name = max((round(cosine(vector(license_tfidf.terms(unit)), v), 6), name) for name, v in spdx)
+    for doc_id, unit in ((3, rows[3][2].split("\n")[1]), (10, rows[10][2])):
+        cos, name = max((round(cosine(vector(license_tfidf.terms(unit)), v), 6), name) for name, v in templates)
         assert (by_id[doc_id].license, by_id[doc_id].similarity) == (name, cos)
+    assert by_id[12].similarity == 1
     assert license_tfidf.scanned(df.where("false"), "path").count() == 0
 
 
+
+GNU = """This {thing} is free software{mark} you can redistribute it and/or modify
+it under the terms of the GNU {name} as published by
+the Free Software Foundation{words}.
+
+This {thing} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {name} for more details.
+
+You should have received a copy of the GNU {name}
+along with this {thing}.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+def test_license_notices_of_one_family(spark):
+    """Notices as projects print them, over code, among all documents of a table."""
+    later = ", either version {} of the License, or\n(at your option) any later version"
+    gnu = lambda name, words, thing="program", mark=":": GNU.format(name=name, words=words, thing=thing, mark=mark)
+    code = "\n".join(f"static int f{i}(int a{i}) {{ return a{i} + {i}; }}" for i in range(60))
+    said = {
+        "GPL-3.0-or-later": gnu("General Public License", later.format(3)),
+        "GPL-2.0-or-later": gnu("General Public License", "; either version 2 of the License, or\n(at your option) any later version", mark=";"),
+        "GPL-2.0-only": gnu("General Public License", ", version 2 of the License", mark=";"),
+        "GPL-3.0-only": gnu("General Public License", ", version 3 of the License"),
+        "LGPL-2.1-or-later": gnu("Lesser General Public License", "; either\nversion 2.1 of the License, or (at your option) any later version", "library", ";"),
+        "LGPL-2.1-only": gnu("Lesser General Public License", "; version 2.1 of the License", "library", ";"),
+        "LGPL-3.0-or-later": gnu("Lesser General Public License", later.format(3), "library"),
+        "AGPL-3.0-or-later": gnu("Affero General Public License", later.format(3)),
+        "AGPL-3.0-only": gnu("Affero General Public License", ", version 3 of the License"),
+        "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.',
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "BSD-3-Clause": "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file.",
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "MIT OR Apache-2.0": "SPDX-License-Identifier: MIT OR  Apache-2.0",
+        "EPL-2.0": "SPDX-License-Identifier: EPL-2.0 */",
+        "GPL-2.0-only WITH Linux-syscall-note": "SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note",
+        "(MIT AND BSD-2-Clause) OR ISC": "spdx-license-identifier: (MIT AND BSD-2-Clause) OR ISC",
+    }
+    docs = common.table(spark, SMALL.replace("0.001", "0.01"), "documents").select((F.col("doc_id") + 1000).alias("doc_id"), "text", F.concat(F.lit("other/"), "doc_id").alias("path"))
+    rows = []
+    for i, (name, text) in enumerate(said.items()):
+        for mark in ("# ", " * ", "// "):
+            rows.append((i, "\n".join(mark + x for x in ["Copyright (C) 2019 Some Body", "", *text.strip().split("\n"), ""]) + "\n" + code, f"made/{i}/{len(rows)}"))
+    names = list(said)
+    rows += [(500 + i, "no words here", f"made/{i}/x") for i in range(len(names))]  # nothing here is a licence file
+    rows += [(900, "MIT License\n\n" + license_templates._MIT, "made/LICENSE"), (901, code, "made/up/x.c"), (902, "/* SPDX-License-Identifier: EPL-2.0 */\n" + code, "made/up/y.c")]
+    rows += [(903, "// SPDX-License-Identifier: EPL-2.0", "made/short/y.c"), (904, code, "made/short/z.c")]
+    found = license_tfidf.scanned(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, path string")), "path").where("path like 'made%'").collect()
+    for r in found:
+        if r.doc_id < 100:
+            assert (r.license, r.basis) == (names[r.doc_id], "header"), (names[r.doc_id], r.license, r.similarity)
+        elif r.doc_id < 900:
+            assert (r.license, r.basis, r.license_from) == ("MIT", "inherited", "made")
+    got = {r.doc_id: (r.license, r.basis) for r in found}
+    assert [got[i] for i in range(900, 905)] == [("MIT", "file"), ("MIT", "inherited"), ("EPL-2.0", "header"), ("EPL-2.0", "header"), ("MIT", "inherited")]
+
+
+FULL = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.skipif(not os.path.exists("/usr/share/common-licenses/GPL-3"), reason="this machine has no licence texts")
+@pytest.mark.parametrize("titles", [True, False])
+def test_license_full_texts(spark, titles):
+    """Whole licence files, also without the lines of their titles."""
+    docs = common.table(spark, SMALL.replace("0.001", "0.01"), "documents").select((F.col("doc_id") + 1000).alias("doc_id"), "text", F.concat(F.lit("other/"), "doc_id").alias("path"))
+    text = {k: open(f"/usr/share/common-licenses/{k}").read() for k in FULL}
+    if not titles:
+        text = {k: "\n".join(t.split("\n")[8:]) for k, t in text.items()}
+    rows = [(i, text[k], f"p{i}/LICENSE") for i, k in enumerate(FULL)]
+    found = license_tfidf.scanned(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, path string")), "path").where("doc_id < 100").collect()
+    assert {r.doc_id: (r.license, r.basis) for r in found} == {i: (v, "file") for i, v in enumerate(FULL.values())}, [(r.doc_id, r.license, r.similarity) for r in found]
+
+
 def test_pii(spark, docs):
     def brute(t):
         out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
