@@ -47,6 +47,9 @@ DIGITS = {
     for d, words in enumerate(["zero oh null zéro cero", "one eins un uno", "two zwei deux dos", "three drei trois tres", "four vier quatre cuatro", "five fünf cinq cinco", "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve"])
     for word in words.split()
 }
+#: English words for ten to nineteen, and for the tens from twenty on.
+TEENS = {w: str(10 + k) for k, w in enumerate("ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
+TENS = {w: str(2 + k) for k, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
 PLUS = ("plus", "más", "mas")
 # Words for the at sign and the dot; a bare English at goes with the first dots only, as others are words of English sentences.
 AT, OTHER_AT, DOT, OTHER_DOT = ("at",), ("ät", "arroba", "arobase"), ("dot", "punkt"), ("point", "punto", "ponto")
@@ -69,11 +72,13 @@ PLAIN_DOT = re.compile(rf"\s(?:{any_of(DOT)})\s", re.I)
 HIDDEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{BRACKET_DOT.pattern}|{WORD_DOT.pattern}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 HIDDEN_DOT = re.compile(rf"{BRACKET_DOT.pattern}|{WORD_DOT.pattern}", re.I)
 LABEL = re.compile(r"[A-Za-z0-9-]+")
-LONGER = sorted(DIGITS, key=len, reverse=True)
-SPELLED = re.compile(rf"(?<![^\W\d_])(?:{any_of(PLUS)}|\+)?[\s-]?(?:(?:{any_of(LONGER)}|[0-9]+)(?![^\W\d_])[\s-]{{0,2}})+", re.I)
+NUMBERS = DIGITS | TEENS | {w: d + "0" for w, d in TENS.items()}
+LONGER = sorted(NUMBERS, key=len, reverse=True)
+SPELLED = re.compile(rf"(?<![^\W\d_])(?:{any_of(PLUS)}|\+)?[\s-]?(?:(?:{any_of(LONGER)}|[0-9]+)(?![^\W\d_])[\s,-]{{0,2}})+", re.I)
 TOKEN = re.compile(rf"{any_of(PLUS)}|\+|[0-9]+|{any_of(LONGER)}", re.I)
-#: Digit words that a spelled number has at least.
-LEAST_SPELLED = 4
+WORD = re.compile(any_of(LONGER), re.I)
+#: Digits of the shortest number that is searched for besides those of IP addresses.
+LEAST_DIGITS = 10
 
 Span = tuple[str, int, int]
 
@@ -183,14 +188,31 @@ def ip_edits(text: str) -> list[tuple[int, int, str]]:
     return [(d.start(), d.end(), ".") for m in HIDDEN_IP.finditer(text) for d in HIDDEN_DOT.finditer(text, m.start(), m.end())]
 
 
+def digits_of(tokens: list[str]) -> str:
+    """The number that tokens say; tens and a unit behind them are one number."""
+    out, tens = [], False
+    for t in tokens:
+        if tens and t in DIGITS and DIGITS[t] != "0":
+            out[-1] = out[-1][0] + DIGITS[t]
+            tens = False
+        else:
+            out.append("+" if t in (*PLUS, "+") else NUMBERS.get(t, t))
+            tens = t in TENS
+    return "".join(out)
+
+
 def digit_edits(text: str) -> list[tuple[int, int, str]]:
+    """Edits of numbers that hold a word for digits and, whole, as many digits as a
+    phone number or a card has."""
     out = []
     for m in SPELLED.finditer(text):
-        tokens = [t.lower() for t in TOKEN.findall(m[0])]
-        if sum(t in DIGITS for t in tokens) >= LEAST_SPELLED:
-            said = m[0].rstrip(" \t\n-")
-            lead = len(said) - len(said.lstrip(" \t\n-"))
-            out.append((m.start() + lead, m.start() + len(said), "".join("+" if t in (*PLUS, "+") else DIGITS.get(t, t) for t in tokens)))
+        if len(m[0]) < LEAST_DIGITS or not WORD.search(m[0]):
+            continue
+        number = digits_of([t.lower() for t in TOKEN.findall(m[0])])
+        if len(number) >= LEAST_DIGITS:
+            said = m[0].rstrip(" \t\n,-")
+            lead = len(said) - len(said.lstrip(" \t\n,-"))
+            out.append((m.start() + lead, m.start() + len(said), number))
     return out
 
 
@@ -213,7 +235,7 @@ def added(text: str, base: list[Span]) -> list[Span]:
             steps.append(Rewritten(now, edits))
             now = steps[-1].text
             low = now.lower()
-    if sum(map(low.count, DIGITS)) >= LEAST_SPELLED and (edits := digit_edits(now)):
+    if WORD.search(low) and (edits := digit_edits(now)):
         steps.append(Rewritten(now, edits))
         now = steps[-1].text
     if not steps:
