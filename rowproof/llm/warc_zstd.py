@@ -18,7 +18,9 @@ Files go to the shared folder by its URI.
 Defined results: null html is an empty payload; payloads shorter than
 ``least_bytes`` are always responses; rows that tie for the largest id of their
 payload are all responses, null ids are revisits where the payload has another
-id; repeated rows get a record each; an empty table gives no archive.
+id; repeated rows get a record each; an empty table gives no archive.  Every
+archive has a dictionary: records of too few bytes to train on are themselves
+its content.
 """
 
 from __future__ import annotations
@@ -113,21 +115,20 @@ class Archive:
             self.out.write(self.packer.compress(data))
 
     def start(self) -> None:
-        # Pieces spread evenly over the held records, up to the training bound.
+        # Pieces spread evenly over the held records, up to the training bound; of few records all, cut into small ones.
         share = max(256, min(SAMPLE, TRAIN // max(1, len(self.held))))
         samples = [r[:share] for r in self.held[:: max(1, len(self.held) * share // TRAIN)]]
-        dictionary = None
-        if len(samples) >= 16:
-            try:
-                dictionary = zstandard.train_dictionary(DICTIONARY, samples, k=256, d=8, level=LEVEL)
-            except zstandard.ZstdError:
-                dictionary = None  # too little to learn from: an archive without dictionary is valid
+        if len(samples) < 64:
+            samples = [r[i : i + 256] for r in self.held for i in range(0, min(len(r), TRAIN), 256)][: TRAIN // 256]
+        try:
+            dictionary = zstandard.train_dictionary(DICTIONARY, samples, k=256, d=8, level=LEVEL)
+        except zstandard.ZstdError:  # too little to learn from: the content itself is the dictionary
+            dictionary = zstandard.ZstdCompressionDict(b"".join(samples)[:DICTIONARY], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=True)
         self.files.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.out = self.files.open_output_stream(self.path + ".open", compression=None)
-        if dictionary:
-            data = dictionary.as_bytes()
-            self.out.write(struct.pack("<II", SKIPPABLE, len(data)) + data)
+        data = dictionary.as_bytes()
+        self.out.write(struct.pack("<II", SKIPPABLE, len(data)) + data)
         for r in [info(self.path.rpartition("/")[2]), *self.held]:
             self.out.write(self.packer.compress(r))
         self.held = []
