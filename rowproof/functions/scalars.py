@@ -30,9 +30,14 @@ def once(value: Column, use) -> Column:
 def restore_hundreds(low: Column, lo: Column | float, hi: Column | float) -> Column:
     """The only value with the printed last two digits in [lo, hi), else null."""
     lo, hi = (x if isinstance(x, Column) else F.lit(float(x)) for x in (lo, hi))
-    cents = F.pmod(F.round(low * 100).cast("long"), F.lit(10_000))
-    fits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(900), F.lit(100)), lambda h: h + cents / 100), lambda c: (c >= lo) & (c < hi))
-    return F.when(F.size(fits) == 1, F.get(fits, F.lit(0)))
+
+    def fitting(f: Column) -> Column:
+        below = F.greatest(F.floor((lo - f) / 100), F.lit(0)) * 100
+        first = F.when(below + f >= lo, below).otherwise(below + 100)
+        alone = (first <= 900) & (first + f < hi) & ~((first < 900) & (first + 100 + f < hi))
+        return F.when(alone, first + f)
+
+    return fitting(F.pmod(F.round(low * 100).cast("long"), F.lit(10_000)) / 100)
 
 
 def pressure_at(altitude: Column) -> Column:
