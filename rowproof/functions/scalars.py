@@ -29,15 +29,16 @@ def once(value: Column, use) -> Column:
 
 def restore_hundreds(low: Column, lo: Column | float, hi: Column | float) -> Column:
     """The only value with the printed last two digits in [lo, hi), else null."""
-    lo, hi = (x if isinstance(x, Column) else F.lit(float(x)) for x in (lo, hi))
-
-    def fitting(f: Column) -> Column:
+    def fitting(f: Column, lo: Column, hi: Column) -> Column:
         below = F.greatest(F.floor((lo - f) / 100), F.lit(0)) * 100
         first = F.when(below + f >= lo, below).otherwise(below + 100)
         alone = (first <= 900) & (first + f < hi) & ~((first < 900) & (first + 100 + f < hi))
         return F.when(alone, first + f)
 
-    return fitting(F.pmod(F.round(low * 100).cast("long"), F.lit(10_000)) / 100)
+    printed = F.pmod(F.round(low * 100).cast("long"), F.lit(10_000)) / 100
+    if isinstance(lo, Column):  # bounds of their own for each row are computed once
+        return once(F.struct(printed.alias("f"), lo.alias("lo"), hi.alias("hi")), lambda x: fitting(x["f"], x["lo"], x["hi"]))
+    return fitting(printed, F.lit(float(lo)), F.lit(float(hi)))
 
 
 def pressure_at(altitude: Column) -> Column:

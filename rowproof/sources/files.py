@@ -24,6 +24,33 @@ def read_pages(spark: SparkSession, path: str, page: str) -> DataFrame:
     return spark.read.schema(f"pages array<struct<{page}>>").option("multiLine", True).json(path).select(F.explode("pages").alias("p")).select("p.*")
 
 
+def read_worklist(spark: SparkSession, path: str, page: str) -> DataFrame:
+    """Pages of JSON documents of any of the three forms: a list under ``pages``, a bare
+    list, or lists by key, which are put together."""
+    text = spark.read.text(path, wholetext=True)
+    v = F.col("value")
+    listed = F.from_json(v, f"pages array<struct<{page}>>")["pages"]
+    bare = F.when(F.ltrim(v).startswith("["), F.from_json(v, f"array<struct<{page}>>"))
+    by_key = F.flatten(F.map_values(F.from_json(v, f"map<string,array<struct<{page}>>>")))
+    return text.select(F.explode(F.coalesce(bare, listed, by_key)).alias("p")).select("p.*")
+
+
+def read_daily(spark: SparkSession, path: str, fields: int = 5, date: int = 2, value: int = 3, missing: int = -9999) -> DataFrame:
+    """(date, value) of comma files of daily values in tenths: lines of fewer fields or
+    without a date are banners, and a sentinel is no value."""
+    cells = F.transform(F.split("value", ","), lambda x: F.trim(x))
+    lines = spark.read.text(path).select(cells.alias("c")).where((F.size("c") >= fields) & F.get("c", F.lit(date)).rlike("^[0-9]{8}$"))
+    v = F.get("c", F.lit(value)).try_cast("int")
+    return lines.select(F.try_to_date(F.get("c", F.lit(date)), "yyyyMMdd").alias("date"), F.when(v != missing, v / 10).alias("value"))
+
+
+def write_with_summary(df: DataFrame, path: str, summary: DataFrame) -> None:
+    """JSON lines, and beside them (``.summary``) a summary of few rows: the committer
+    puts either in place whole, the rows first."""
+    df.write.mode("overwrite").json(path)
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}.summary")
+
+
 def read_yearly(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
     """(year, month, value) of comma files with a year and twelve months a line.
     Lines that start with no year in the range are banners; cells that are not

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowproof.operators.govern import fingerprint
+
 #: Files named in an error.
 NAMED = 5
 
@@ -34,3 +36,16 @@ def read_frozen(spark: SparkSession, path: str, manifest: str, schema: str, patt
     if bad:
         raise ValueError("; ".join(f"{r.name}: {r.problem}" for r in bad))
     return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", pattern).json(path)
+
+
+def write_version(df: DataFrame, columns: list[str], version: str, path: str) -> None:
+    """Declare the table's present state published: its rows and digest under a version."""
+    fingerprint(df, columns).select(F.lit(version).alias("version"), F.current_timestamp().alias("frozen_at"), "n", "sha256").write.mode("overwrite").json(path)
+
+
+def version_problems(df: DataFrame, columns: list[str], path: str) -> DataFrame:
+    """(problem): no row while the table is what was published."""
+    was = df.sparkSession.read.schema("version string, n long, sha256 string").json(path)
+    now = fingerprint(df, columns).select(F.col("n").alias("rows"), F.col("sha256").alias("digest"))  # one row
+    said = F.format_string("changed since %s was frozen (%d rows then, %d now; sha256 %s -> %s)", "version", "n", "rows", F.substr("sha256", F.lit(1), F.lit(12)), F.substr("digest", F.lit(1), F.lit(12)))
+    return was.crossJoin(F.broadcast(now)).where("sha256 <> digest").select(said.alias("problem"))
