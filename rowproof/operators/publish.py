@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowproof.functions import scalars
+from rowproof.functions import parse, scalars
 from rowproof.layout import Layout
 
 # Verdicts that make a row usable, and where labelled rows stand on a page.
@@ -101,12 +101,15 @@ def altitude_restored(low: Column, altitude: Column, width: float = 30.0) -> Col
     return F.struct(F.when(asked, F.coalesce(full, low)).otherwise(low).alias("value"), (asked & full.isNull()).alias("failed"))
 
 
+# The letters of cloud forms; a compound joins them by hyphens or commas.
+CLOUDS = ("c", "k", "n", "s", "p", "ç", "ć")
+
+
 def cloud_forms(raw: Column, least: int = 3) -> Column:
     """Whether a row's cells are cloud forms: ``least`` codes or more, one compound."""
-    code = "^[cknspçć]([-,][cknspçć])*$"
-    cells = F.split(F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(raw, F.lit("")), r"^[\s|]+|[\s|]+$", ""), " ", "")), "[|]")
-    hits = F.filter(cells, lambda c: c.rlike(code))
-    return (F.size(hits) >= least) & F.exists(hits, lambda c: F.length(c) > 1)
+    cells = F.split(F.lower(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\s+", "")), "[|]")
+    codes = F.filter(F.transform(cells, lambda c: F.split(c, "[-,]")), lambda parts: F.forall(parts, lambda x: x.isin(*CLOUDS)))
+    return (F.size(codes) >= least) & F.exists(codes, lambda parts: F.size(parts) > 1)
 
 
 def sheet_flags(cells: DataFrame, sheet: list[str], row: str, column: str, value: str, ranges: dict[str, tuple[float, float]], pair: tuple[str, str], totals: DataFrame, out_of_order: str, tolerance: float = 0.15) -> DataFrame:
@@ -115,20 +118,14 @@ def sheet_flags(cells: DataFrame, sheet: list[str], row: str, column: str, value
     sheet, column, how, printed) isn't that of its values, or a row out of order."""
     v, c = F.col(value), F.col(column)
     outside = reduce(lambda x, kv: x | ((c == kv[0]) & ~v.between(*kv[1])), ranges.items(), F.lit(False))
-    whole = Window.partitionBy(*sheet)
-    of_row = Window.partitionBy(*sheet, row)
+    of_row, of_column = Window.partitionBy(*sheet, row), Window.partitionBy(*sheet, column)
     low, high = (F.max(F.when(c == k, v)).over(of_row) for k in pair)
     crossed = c.isin(*pair) & (high < low)
-    df = cells.withColumns({"__outside": F.coalesce(outside, F.lit(False)), "__crossed": F.coalesce(crossed, F.lit(False))})
-    off = F.lit(False)
-    for k in sorted(r.column for r in totals.select(F.col(column).alias("column")).distinct().collect()):  # one row for each column of a layout
-        mine = F.when(c == k, v)
-        total = totals.where(c == k).select(*sheet, "how", F.col("printed").alias(f"__p_{k}"))
-        df = df.join(total.withColumnRenamed("how", f"__h_{k}"), sheet, "left")
-        made = F.when(F.col(f"__h_{k}") == "mean", F.avg(mine).over(whole)).otherwise(F.sum(mine).over(whole))
-        off = off | ((c == k) & v.isNotNull() & F.coalesce(F.abs(made - F.col(f"__p_{k}")) > tolerance, F.lit(False)))
-    df = df.withColumn("uncertain", F.col("__outside") | F.col("__crossed") | off | F.coalesce(F.col(out_of_order), F.lit(False)))
-    return df.select(*cells.columns, "uncertain")
+    df = cells.join(totals.select(*sheet, column, F.col("how").alias("__how"), F.col("printed").alias("__printed")), [*sheet, column], "left")
+    made = F.when(F.col("__how") == "mean", F.avg(v).over(of_column)).otherwise(F.sum(v).over(of_column))
+    off = v.isNotNull() & (F.abs(made - F.col("__printed")) > tolerance)
+    no = lambda x: F.coalesce(x, F.lit(False))
+    return df.select(*cells.columns, (no(outside) | no(crossed) | no(off) | no(F.col(out_of_order))).alias("uncertain"))
 
 
 def flagged_recall(gold: DataFrame, read: DataFrame, sheet: list[str], row: list[str], columns: list[str], flag: str, tolerance: float = 0.05) -> DataFrame:
@@ -208,27 +205,33 @@ def variant_name(name: Column) -> Column:
 POINTS = r"\b(N|S|E|W|NE|NW|SE|SW|NNE|NNW|ENE|ESE|SSE|SSW|WNW|WSW)\b"
 
 
-def assigned_layout(cells: Column, rows: Column, by_cells: dict[int, str], wind: dict[int, str], clouds_not: int, decimals: dict[int, tuple[str, str]]) -> Column:
-    """The layout of a page by the number of its cells, which the content of its
-    ``rows`` (array of texts) confirms or contradicts: three compass points make
-    it a wind table (``wind``, null for any other count), cloud forms rule out
-    ``clouds_not``, and where two layouts share a count (``decimals``) the first
-    number of the second or third cell tells them apart by its decimal point."""
-    name = F
-    for n, layout in by_cells.items():
-        name = name.when(cells == n, layout)
+#: What a page's rows can hold, by which rules of layouts tell pages apart.
+CONTENTS = ("clouds", "wind", "decimal", "whole", "any")
+
+
+def contents(rows: Column) -> Column:
+    """The ``CONTENTS`` of a page's rows (array of texts): cloud forms in the first,
+    three compass points in all of them, and the first number of the first row's
+    second or third cell, which has a decimal point or is of one or two digits."""
     first = F.get(rows, F.lit(0))
-    windy = F.size(F.regexp_extract_all(F.array_join(rows, " "), F.lit(POINTS), F.lit(1))) >= 3
-    as_wind = F
-    for n, layout in wind.items():
-        as_wind = as_wind.when(cells == n, layout)
-    parts = F.slice(F.split(first, r"\s*[|]\s*"), 2, 2)
-    number = F.coalesce(F.get(F.filter(parts, lambda p: F.trim(p).rlike(r"^-?[0-9]+[.]?[0-9]*$")), F.lit(0)), F.lit(""))
-    told = F
-    for n, (with_point, whole) in decimals.items():
-        told = told.when(cells == n, F.when(number.contains("."), with_point).when(F.trim(number).rlike("^[0-9]{1,2}$"), whole))
-    known = name.otherwise(None)
-    return F.when(cells.isin(*decimals), told.otherwise(None)).when((cells == clouds_not) & cloud_forms(first), None).when(known.isNotNull() & windy, as_wind.otherwise(None)).otherwise(known)
+    bare = lambda t: (F.translate(t, "0123456789.-", "") == "") & ~F.ltrim(F.translate(t, "-", " ")).startswith(".")
+    numbers = F.filter(F.slice(parse.tokens(first), 2, 2), lambda t: F.coalesce(parse.plain_number(t).isNotNull() & bare(t), F.lit(False)))
+    number = F.get(numbers, F.lit(0))
+    point = number.contains(".")
+    held = {
+        "clouds": cloud_forms(first), "wind": F.size(F.regexp_extract_all(F.array_join(rows, " "), F.lit(POINTS), F.lit(1))) >= 3,
+        "decimal": point, "whole": ~point & ~number.startswith("-") & (F.length(number) <= 2), "any": F.lit(True),
+    }
+    return F.array_compact(F.array(*[F.when(held[k], F.lit(k)) for k in CONTENTS]))
+
+
+def assigned_layout(cells: Column, rows: Column, rules: list[tuple[int | None, str, str | None]]) -> Column:
+    """The layout of a page by the first of the ``rules`` (count of cells, content,
+    layout) that fits: a rule without a count fits any, one without a layout says
+    that the page has none."""
+    table = F.array(*[F.struct(F.lit(n).cast("int").alias("cells"), F.lit(content).alias("content"), F.lit(layout).cast("string").alias("layout")) for n, content, layout in rules])
+    fits = lambda held: F.filter(table, lambda r: (r["cells"].isNull() | (r["cells"] == cells)) & F.array_contains(held, r["content"]))
+    return scalars.once(contents(rows), lambda held: F.get(fits(held), F.lit(0))["layout"])
 
 
 def disagreements_explained(cells: DataFrame, corrections: DataFrame, key: list[str], column: str) -> DataFrame:

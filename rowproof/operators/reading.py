@@ -141,6 +141,19 @@ def matched_once(pairs: DataFrame, left: list[str], right: list[str], distance:
     return out
 
 
+def matched_in_page(pairs: DataFrame, page: list[str], left: str, right: str, distance: str) -> DataFrame:
+    """``matched_once`` where both sides are rows of one page: a fold over the page's
+    pairs from near to far, so it takes one shuffle and no rounds."""
+    near = F.struct(F.col(distance).alias("d"), F.col(left).alias("l"), F.col(right).alias("r"))
+    there = pairs.where(F.col(distance).isNotNull() & ~F.isnan(F.col(distance).cast("double")))
+    held = there.groupBy(*page).agg(F.sort_array(F.collect_set(near)).alias("__pairs"))
+    kind = dict(held.dtypes)["__pairs"]
+    free = lambda out, p: ~F.exists(out, lambda x: (x["l"] == p["l"]) | (x["r"] == p["r"]))
+    picked = F.aggregate("__pairs", F.array().cast(kind), lambda out, p: F.when(free(out, p), F.concat(out, F.array(p))).otherwise(out))
+    out = held.select(*page, F.explode(picked).alias("p"))
+    return out.select(*page, F.col("p.l").alias(left), F.col("p.r").alias(right), F.col("p.d").alias(distance))
+
+
 def line_through(df: DataFrame, page: list[str], x: str, y: str, low: int, high: int, residual: float = 0.35, least: int = 8, share: float = 0.65, slope: float = 4.0) -> DataFrame:
     """Per page a line through its rows' places that no misread row can drag: the
     worst row is dropped and the line fitted again while it is off by more than

@@ -55,6 +55,19 @@ def values_at(df: DataFrame, keys: list[str], value: str, places: dict[str, Call
     return out.select(*[F.col("__key")[k].alias(k) for k in keys], *places, "n")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row among those of its key, from 1.  Rows are dealt by
+    ranges of key and order and numbered behind the counts of the ranges before,
+    so a key of any size is no task's alone."""
+    parts = cut(df.withColumn("__key", F.struct(*keys)).repartitionByRange("__key", *order).withColumn("__part", F.spark_partition_id()))
+    counts = parts.groupBy("__key", "__part").agg(F.count("*").alias("__n"))
+    ahead = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("__key", "__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__key", "__part").orderBy(*order))
+    out = parts.withColumn("__within", within).join(counts, ["__key", "__part"])
+    return out.withColumn(name, F.col("__before") + F.col("__within")).drop("__key", "__part", "__before", "__within")
+
+
 def value_at_share(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
     """Per group the value at index min(n - 1, int(share * n)) of its values in order, from 0."""
     return values_at(df, keys, value, {"value": lambda n: F.least(n - 1, F.floor(F.lit(share) * n))})

@@ -195,17 +195,38 @@ def station_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", captions.canonical_station(name).alias("station"), captions.header_kind(head).alias("heading"))
 
 
-@query()
+@query(f"""
+WITH l AS ({LINES}), p AS (
+    SELECT a.l_orderkey, list_distinct(list(struct_pack(d := abs(a.l_quantity - (b.l_quantity + b.pos % 3)), l := a.pos, r := b.pos))) AS pairs FROM l a JOIN l b USING (l_orderkey) GROUP BY 1
+), m AS (
+    SELECT l_orderkey, list_reduce(list_transform(list_sort(pairs), lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.l = x[1].l OR y.r = x[1].r)) = 0 THEN a || x ELSE a END) AS m FROM p
+)
+SELECT l_orderkey, u.l AS pos, u.r AS other, u.d AS distance FROM (SELECT l_orderkey, unnest(m) AS u FROM m)
+""")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order's two readings matched one to one, nearest first; the
     second reading's lines come in another order."""
-    a = lines(spark, sf_dir).select("l_orderkey", "pos", "l_quantity", "l_extendedprice")
+    a = lines(spark, sf_dir).select("l_orderkey", "pos", "l_quantity")
     b = a.select("l_orderkey", F.col("pos").alias("other"), (F.col("l_quantity") + F.col("pos") % 3).alias("q"))
     pairs = a.join(b, "l_orderkey").select("l_orderkey", "pos", "other", F.abs(F.col("l_quantity") - F.col("q")).alias("distance"))
-    return reading.matched_once(pairs, ["l_orderkey", "pos"], ["l_orderkey", "other"], "distance")
+    return reading.matched_in_page(pairs, ["l_orderkey"], "pos", "other", "distance")
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS (
+    SELECT user_id, CAST(day(ts) AS DOUBLE) AS x, min(day(ts) * 20 + value / 20) AS y FROM events WHERE value IS NOT NULL GROUP BY ALL
+), n AS (SELECT user_id, count(*) AS n FROM p GROUP BY 1), f AS (
+    SELECT p.user_id, x, y, 0 AS round, greatest(8, CAST(floor(0.65 * n) AS INTEGER)) AS least FROM p JOIN n USING (user_id) WHERE n >= 8
+    UNION ALL
+    SELECT user_id, x, y, round + 1, least FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY off DESC, x) AS place, max(off) OVER (PARTITION BY user_id) AS worst FROM (
+            SELECT *, regr_slope(y, x) OVER w AS b, abs(y - regr_intercept(y, x) OVER w - x * regr_slope(y, x) OVER w) AS off, count(*) OVER w AS n FROM f WINDOW w AS (PARTITION BY user_id))
+    ) WHERE worst > 0.35 * b AND n > least AND place > 1
+), d AS (
+    SELECT user_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, list(struct_pack(x := x, y := y)) AS held FROM f WHERE round = (SELECT max(round) FROM f g WHERE g.user_id = f.user_id) GROUP BY 1
+), m AS (SELECT *, list_max(list_transform(held, lambda q: abs(q.y - a - b * q.x))) AS off FROM d)
+SELECT n.user_id, round(b, 6) AS slope, round(a, 6) AS intercept, round(off, 6) AS max_resid, CAST(n AS INTEGER) AS n_days, CASE WHEN held IS NULL THEN -1 ELSE CAST(len(held) AS INTEGER) END AS n_supporting, coalesce(b >= 4 AND off <= 0.35 * b, FALSE) AS accept FROM n LEFT JOIN m USING (user_id)
+""")
 def robust_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line through each user's days, 20 units apart, that values disturb."""
     e = table(spark, sf_dir, "events").withColumn("day", F.dayofmonth("ts"))

@@ -62,6 +62,7 @@ def read_yearly(spark: SparkSession, path: str, first: int, last: int) -> DataFr
 
 
 def write_series(df: DataFrame, path: str, keys: list[str], order: list[str], line: Column) -> None:
-    """One folder for each key's lines, in order; a series is sorted within its task, never collected."""
+    """One folder for each key's lines, in order of its files' names: lines are dealt by
+    ranges of key and order, so a long series is several files and no task's alone."""
     lines = df.select(*keys, *order, line.alias("__line"))
-    lines.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, "__line").write.mode("overwrite").partitionBy(*keys).text(path)
+    lines.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).select(*keys, "__line").write.mode("overwrite").partitionBy(*keys).text(path)

@@ -3,9 +3,11 @@ line an observation, one file a series."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowproof.operators.series import numbered
+
 from .files import write_series
 
 # The format's version, its header fields and its columns.
@@ -31,8 +33,7 @@ def lines(df: DataFrame, series: list[str], order: list[str], header: dict[str,
     heads = heads.select(*series, F.posexplode(F.array(*first, F.lit("\t".join(COLUMNS)))).alias("line_no", "line"))
     kinds = dict(df.dtypes)
     cells = [cell(F.col(c.lower()), kinds[c.lower()]) for c in COLUMNS[:-1]]
-    place = F.row_number().over(Window.partitionBy(*series).orderBy(*order)) + len(HEADER)
-    body = df.select(*series, place.cast("long").alias("line_no"), F.concat_ws("\t", *cells, F.coalesce("meta", F.lit(""))).alias("line"))
+    body = numbered(df, series, order, "__place").select(*series, (F.col("__place") + len(HEADER)).alias("line_no"), F.concat_ws("\t", *cells, F.coalesce("meta", F.lit(""))).alias("line"))
     return heads.withColumn("line_no", F.col("line_no").cast("long")).unionByName(body)
 
 
