@@ -164,3 +164,9 @@ def target(layout: Layout, columns: dict[str, Column]) -> Column:
         return F.coalesce(F.when(x.isNotNull(), F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), "[.]$", "")), F.lit("null"))
 
     return F.concat_ws(" | ", *[said(c) for c in layout.columns])
+
+
+def cell_count(raw: Column) -> Column:
+    """Cells of a row between pipes, those around the row aside."""
+    bare = F.regexp_replace(F.coalesce(raw, F.lit("")), r"^[\s|]+|[\s|]+$", "")
+    return F.size(F.split(bare, "[|]"))

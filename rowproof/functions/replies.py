@@ -58,3 +58,29 @@ def numeric_cells(cells: Column, flags: Column) -> tuple[Column, Column]:
     old = F.map_entries(F.coalesce(flags, F.create_map().cast("map<string,string>")))
     both = once(F.map_entries(word), lambda w: F.concat(F.filter(old, lambda e: ~F.exists(w, lambda x: x["key"] == e["key"])), w))
     return F.transform_values(cells, lambda _k, v: v.try_cast("double")), F.map_from_entries(both)
+
+
+def counted(reply: Column, schema: str, rows: str, expected: Column) -> Column:
+    """struct(value, error): the first value of a reply that has as many ``rows`` as
+    expected.  One of another number is no table with a row too many or few, but
+    a reply gone wrong, and says so."""
+    return guarded(reply, schema, lambda v: F.size(v[rows]) == expected, lambda v: F.concat(F.size(v[rows]).cast("string"), F.lit(" rows, expected "), expected.cast("string")))
+
+
+def of_day(reply: Column, schema: str, day: str, expected: Column) -> Column:
+    """struct(value, error): the first value of a reply that reports the day asked for;
+    a neighbour's is never put down to it."""
+    return guarded(reply, schema, lambda v: v[day] == expected, lambda v: F.concat(F.lit("day "), F.coalesce(v[day].cast("string"), F.lit("none")), F.lit(", expected "), expected.cast("string")))
+
+
+def guarded(reply: Column, schema: str, valid: Callable[[Column], Column], why: Callable[[Column], Column]) -> Column:
+    """struct(value, error) of a reply: its first value that is ``valid``, or why its
+    last value isn't one."""
+    read = F.transform(candidates(reply), lambda x: F.from_json(x, schema))
+
+    def told(values: Column) -> Column:
+        good = F.get(F.filter(values, lambda v: F.coalesce(valid(v), F.lit(False))), F.lit(0))
+        bad = F.when(F.size(values) > 0, why(F.element_at(values, -1))).otherwise("no valid JSON value found")
+        return once(good, lambda g: F.struct(g.alias("value"), F.when(g.isNull(), F.coalesce(bad, F.lit("no valid JSON value found"))).alias("error")))
+
+    return once(read, told)

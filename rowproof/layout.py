@@ -108,5 +108,6 @@ class Layout:
 
     def table(self, spark: SparkSession) -> DataFrame:
         """One row per column, for joins in long form."""
-        rows = [(self.id, i, c.key, c.kind, c.unit, c.low, c.high) for i, c in enumerate(self.columns)]
+        number = lambda x: None if x is None else float(x)
+        rows = [(self.id, i, c.key, c.kind, c.unit, number(c.low), number(c.high)) for i, c in enumerate(self.columns)]
         return spark.createDataFrame(rows, "layout string, pos int, key string, kind string, unit string, low double, high double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowproof.layout import Check, Layout
@@ -50,3 +50,11 @@ def verdict(is_day: Column, scores: Column, failures: Column, violations: Column
     """checks_pass, qc_clean or flagged."""
     clean = (F.size(violations) == 0) & (F.size(failures) == 0) & ~hard
     return F.when(~is_day | ~clean, "flagged").when(scores, "checks_pass").otherwise("qc_clean")
+
+
+def outside_layout(cells: DataFrame, layouts: DataFrame, key: list[str], value: str) -> DataFrame:
+    """Cells in long form whose value lies outside the range that their layout declares
+    for their column: a range join with the layouts' columns, a table of a few
+    rows for each layout (``Layout.table``)."""
+    known = F.broadcast(layouts.where("low is not null").select(*key, "low", "high"))
+    return cells.join(known, key).where(~F.col(value).between(F.col("low"), F.col("high")))

@@ -63,3 +63,16 @@ def aggregate_checks(days: DataFrame, printed: DataFrame, page: list[str], colum
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d_{c}").alias("computed"), F.col(f"p_{c}").alias("printed"), limit(c).alias("limit")) for c in columns])
     out = both.select(*page, F.explode(cells).alias("c")).select(*page, "c.*")
     return out.withColumn("passes", F.abs(F.col("computed") - F.col("printed")) <= F.col("limit")).drop("limit")
+
+
+def agreement(a: DataFrame, b: DataFrame, key: list[str], columns: list[str], by: list[str], tolerance: float = 0.005) -> DataFrame:
+    """Per ``by`` (of the key; none: over all): cells of rows in both reads, and the share that agrees."""
+    both = a.select(*key, *[F.col(c).alias(f"a_{c}") for c in columns]).join(b.select(*key, *[F.col(c).alias(f"b_{c}") for c in columns]), key)
+    same = sum((same_cell(F.col(f"a_{c}"), F.col(f"b_{c}"), tolerance).cast("int") for c in columns), F.lit(0))
+    return both.groupBy(*by).agg(F.count("*").alias("n_rows"), (F.count("*") * len(columns)).alias("n_cells"), (F.sum(same) / (F.count("*") * len(columns))).alias("agrees"))
+
+
+def external_pairs(df: DataFrame, published: DataFrame, key: list[str], value: str, other: str) -> DataFrame:
+    """(key, value, other) where both series have a number."""
+    numbers = lambda d, c: d.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))).select(*key, F.col(c).cast("double").alias(c))
+    return numbers(df, value).join(numbers(published, other), key)

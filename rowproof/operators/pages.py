@@ -153,3 +153,12 @@ def spread(df: DataFrame, page: list[str], pos: str, shares: list[float]) -> Dat
     n = df.groupBy(*page).agg(F.count("*").alias("__n"))
     at = F.array(*[F.floor(F.col("__n") * F.lit(s)) for s in shares])
     return df.join(n, page).where(F.array_contains(at, (F.col(pos) - 1).cast("long"))).drop("__n")
+
+
+def plausible(index: Column, lo: float, hi: float, hard: Column, violations: Column, collapsed: Column, numbers: list[Column]) -> Column:
+    """Whether a row can be one of the page's: its index is legal, or, where that can't
+    be read, it has no hard problem, nothing outside its range, no repeated
+    constant and some number."""
+    legal = F.coalesce(index.between(lo, hi), F.lit(False))
+    some = F.coalesce(*[F.when(n.isNotNull(), True) for n in numbers], F.lit(False))
+    return legal | (~hard & (F.size(violations) == 0) & ~collapsed & some)

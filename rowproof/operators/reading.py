@@ -196,3 +196,8 @@ def line_through(df: DataFrame, page: list[str], x: str, y: str, low: int, high:
     f = F.col("__f")
     accept = F.coalesce((f["slope"] >= slope) & (f["worst"]["off"] <= residual * f["slope"]), F.lit(False))
     return out.select(*page, f["slope"].alias("slope"), f["intercept"].alias("intercept"), f["worst"]["off"].alias("max_resid"), n.alias("n_days"), F.size("__k").alias("n_supporting"), accept.alias("accept"))
+
+
+def top_groups(df: DataFrame, key: list[str], n: int) -> DataFrame:
+    """The ``n`` most frequent keys (a top-n report; ties by name)."""
+    return df.groupBy(*key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *key).limit(n)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .series import numbered
+
 
 def worklist(assigned: DataFrame, produced: DataFrame, page: list[str], order: list[str], period: str) -> DataFrame:
     """Pages to produce: of several assignments the last in ``order`` holds; those
@@ -56,3 +58,14 @@ def filled(df: DataFrame, page: list[str], row: list[str], cells: list[str]) ->
 def repeated(df: DataFrame, times: Column) -> DataFrame:
     """Each row ``times`` times, numbered in copy; none for zero or null."""
     return df.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times.cast("int")))))
+
+
+def training_rows(df: DataFrame, key: list[str], times: Column, excluded: DataFrame, page: list[str], seed: str, most: int | None = None) -> DataFrame:
+    """Rows to train on: none of the excluded pages, each ``times`` times, numbered by
+    place in an order that the seed shuffles; the first ``most`` of them, if asked.
+    Places come by ranges of the order, so no task holds all rows."""
+    kept = df.join(excluded.select(*page).distinct(), page, "left_anti")
+    copies = repeated(kept, times)
+    shuffled = copies.withColumn("__h", F.xxhash64(F.lit(seed), *key, "copy"))
+    out = numbered(shuffled.withColumn("__all", F.lit(0)), ["__all"], ["__h", *key, "copy"], "place").drop("__h", "__all")
+    return out if most is None else out.where(F.col("place") <= most)

@@ -15,6 +15,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).json(path)
 
 
+def read_listed(spark: SparkSession, glob: str, schema: StructType | str) -> DataFrame:
+    """Rows of all JSON-lines files of a pattern, with file (its path) and place, by
+    which they stand in it; ``publish.first_file_wins`` decides between them."""
+    rows = spark.read.schema(schema).json(glob)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))  # rows of a block come in order
+    return rows.withColumns({"file": F.col("_metadata.file_path"), "place": place})
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
