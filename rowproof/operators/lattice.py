@@ -298,12 +298,13 @@ def resolved_days(claims: DataFrame, page: list[str], day: str, y: str, pitch: s
         a, b = last(F.filter(known, lambda x: x["day"] <= t)), F.get(F.filter(known, lambda x: x["day"] >= t), F.lit(0))
         return once(F.struct(a.alias("a"), b.alias("b")), lambda e: F.when(e["a"]["day"] == t, row(t, e["a"]["y"], F.lit("read"))).otherwise(row(t, F.bround(e["a"]["y"] + (e["b"]["y"] - e["a"]["y"]) * (t - e["a"]["day"]) / (e["b"]["day"] - e["a"]["day"])), F.lit("interpolated"))))
 
+    computed = lambda df, name, x: df.withColumn(name, F.explode_outer(F.array(x)))  # noqa: E731  here, once a page
     enough = (F.size(known) > 0) & (F.size(known) >= direct * n)
-    sheets = sheets.withColumn("made", F.when(enough, F.transform(F.sequence(first, final), between)))
-    overlap = F.exists(gaps(F.transform("made", lambda x: x["y"])), lambda g: g < 0.5 * F.col("pitch"))
-    sheets = sheets.withColumn("fit", F.when(F.col("made").isNull() | overlap, robust_days(known)))
+    sheets = computed(sheets, "made", F.when(enough, F.transform(F.sequence(first, final), between)))
+    sheets = computed(sheets, "overlap", F.coalesce(F.exists(gaps(F.transform("made", lambda x: x["y"])), lambda g: g < 0.5 * F.col("pitch")), F.lit(True)))
+    overlap = F.col("overlap")  # also where nothing was made
+    sheets = computed(sheets, "fit", F.when(overlap, robust_days(known)))
     f = F.col("fit")
     on_line = F.when(f["accepted"], F.transform(F.sequence(F.lit(1), n), lambda t: row(t, F.bround(f["intercept"] + f["slope"] * t), F.lit("line"))))
     on_line = F.when(F.get(on_line, F.lit(0))["y"] >= 0, on_line)
-    sheets = sheets.withColumn("made", F.when(F.col("made").isNotNull() & ~overlap, F.col("made")).otherwise(on_line))
-    return sheets.select(*page, F.explode("made").alias("r")).select(*page, "r.day", "r.y", "r.how")
+    return sheets.select(*page, F.explode(F.when(~overlap, F.col("made")).otherwise(on_line)).alias("r")).select(*page, "r.day", "r.y", "r.how")

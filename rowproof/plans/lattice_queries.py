@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowproof.operators import lattice
-from rowproof.plans.queries import EVENTS, events, query, table
+from rowproof.operators import lattice, pages
+from rowproof.plans.queries import EVENTS, by_page, query, table
 
 #: Parts of three hours in the 30 days of the events.
 SLOTS = 240
@@ -16,10 +16,15 @@ v AS (SELECT u.user_id, r.slot, coalesce(n, 0) AS v FROM (SELECT DISTINCT user_i
 """
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their place within the user, dealt by user for the folds that follow."""
+    return pages.positioned(by_page(table(spark, sf_dir, "events"), "user_id"), ["user_id"], ["ts", "event_id"])
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, v): a user's counts of events, part by part."""
     slot = F.floor((F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) * 24 + F.hour("ts")) / 3)
-    counts = table(spark, sf_dir, "events").groupBy("user_id", slot.alias("slot")).agg(F.count("*").alias("n"))
+    counts = by_page(table(spark, sf_dir, "events"), "user_id").groupBy("user_id", slot.alias("slot")).agg(F.count("*").alias("n"))
     held = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"))
     return held.select("user_id", F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("bigint")), F.lit(0))).alias("v"))
 
@@ -185,4 +190,4 @@ def claimed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, pos, df = F.col("event_id"), F.col("pos"), events(spark, sf_dir).where("pos <= 28")
     claims = df.where(k % (3 + F.col("user_id") % 4) != 1).select("user_id", F.when(k % 31 == 0, 1 + k % 28).otherwise(pos).alias("day"), (100 + pos * 24 + k % 3 - 1).alias("y"))
     claims = claims.unionByName(df.where(k % 7 == 0).select("user_id", pos.alias("day"), (100 + pos * 24 + F.when(k % 2 == 0, 9).otherwise(201)).alias("y")))
-    return lattice.resolved_days(claims.withColumns({"pitch": F.lit(24.0), "n": F.lit(28)}), ["user_id"], "day", "y", "pitch", "n")
+    return lattice.resolved_days(by_page(claims, "user_id").withColumns({"pitch": F.lit(24.0), "n": F.lit(28)}), ["user_id"], "day", "y", "pitch", "n")
