@@ -192,13 +192,9 @@ VARIANT_PREFIXES, VARIANT_SUFFIXES = ("qwen35-lora-", "qwen35-"), ("-epoch2", "-
 
 
 def variant_name(name: Column) -> Column:
-    """One name for a variant however its run was saved."""
-    out = name
-    for p in VARIANT_PREFIXES:
-        out = F.when(out.startswith(p), F.substr(out, F.lit(len(p) + 1))).otherwise(out)
-    for s in VARIANT_SUFFIXES:
-        out = F.when(out.endswith(s), F.substr(out, F.lit(1), F.length(out) - len(s))).otherwise(out)
-    return out
+    """One name for a variant however its run was saved: each beginning and each end goes once, in turn."""
+    maybe = lambda parts: "".join(f"(?:{p})?" for p in parts)
+    return F.regexp_replace(F.regexp_replace(name, "^" + maybe(VARIANT_PREFIXES), ""), maybe(reversed(VARIANT_SUFFIXES)) + "$", "")
 
 
 # Points of the compass in capitals, as words of a row.
