@@ -169,3 +169,19 @@ def station_group(caption: Column) -> Column:
         c = F.regexp_replace(c, head.replace("(?i)", "(?iuU)", 1), "")
     c = F.substr(F.trim(F.regexp_replace(c, "[^A-Za-zÀ-ÿ .'-]", " ")), F.lit(1), F.lit(48))
     return F.coalesce(F.nullif(c, F.lit("")), F.lit("(no station named)"))
+
+
+def manifest_entries(labels: DataFrame, located: DataFrame, page: list[str], period: str, row: str, cells: list[str], target: Column) -> tuple[DataFrame, DataFrame]:
+    """(entries, skipped) of pages that a person labelled row by row.
+
+    An entry is a row with any cell that is not empty, of a page that has a period
+    and at least as many ``located`` rows (page, n) as the row's place (from 0)
+    asks for; its target is the text to learn.  Pages without a period or without
+    located rows are skipped, with the reason."""
+    known = F.coalesce(F.col(period), F.lit("")) != ""
+    df = labels.join(located.select(*page, F.col("n").alias("__n")), page, "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    reason = F.when(~known, "no period recorded").when(F.col("__n") == 0, "no rows located")
+    skipped = df.select(*page, reason.alias("reason")).where("reason is not null").distinct()
+    some = F.exists(F.array(*[F.coalesce(F.col(c).cast("string") != "", F.lit(False)) for c in cells]), lambda x: x)
+    entries = df.where(known & some & (F.col(row) < F.col("__n"))).drop("__n").withColumn("target", target)
+    return entries, skipped

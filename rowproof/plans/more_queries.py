@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowproof.functions import captions, parse, replies
-from rowproof.operators import checks, evaluate, govern, pages, publish, reading, reports
+from rowproof.operators import checks, evaluate, govern, pages, publish, reading, records, reports
 
 from .judgement_queries import station_sheet
 from .queries import LINES, lines, query, second_read, table
@@ -197,3 +197,19 @@ def layout_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.when(n == 0, a).when(n == 1, b).when(n == 3, d)
     rules = [(16, "decimal", "actinometry"), (16, "whole", "cloudiness"), (16, "any", None), (15, "clouds", None), (15, "any", "wind"), (13, "wind", "hourly wind"), (None, "wind", None), (13, "any", "thermometer")]
     return table(spark, sf_dir, "part").select("p_partkey", publish.assigned_layout(cells, F.array_compact(F.array(row)), rules).alias("layout"))
+
+
+@query(f"""
+WITH l AS ({LINES}), d AS (SELECT l_orderkey, pos - 1 AS row, CASE WHEN l_orderkey % 5 <> 0 THEN '1885-01' END AS period, CASE WHEN l_partkey % 3 <> 0 THEN CAST(l_quantity AS BIGINT) END AS a, CASE WHEN l_suppkey % 3 <> 0 THEN l_linestatus END AS b, l_orderkey % 6 AS n FROM l)
+SELECT l_orderkey, row, coalesce(CAST(a AS VARCHAR), 'null') || ' | ' || coalesce(b, 'null') AS target, NULL AS reason FROM d WHERE period IS NOT NULL AND row < n AND (a IS NOT NULL OR b IS NOT NULL)
+UNION ALL SELECT DISTINCT l_orderkey, NULL, NULL, CASE WHEN period IS NULL THEN 'no period recorded' ELSE 'no rows located' END FROM d WHERE period IS NULL OR n = 0
+""")
+def manifest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled rows as training examples, and the pages that give none."""
+    k = F.col("l_orderkey")
+    labels = lines(spark, sf_dir).select("l_orderkey", (F.col("pos") - 1).alias("row"), F.when(k % 5 != 0, "1885-01").alias("period"), F.when(F.col("l_partkey") % 3 != 0, F.col("l_quantity").cast("long")).alias("a"), F.when(F.col("l_suppkey") % 3 != 0, F.col("l_linestatus")).alias("b"))
+    located = labels.select("l_orderkey").distinct().where(k % 6 > 0).withColumn("n", k % 6)
+    target = F.concat_ws(" | ", F.coalesce(F.col("a").cast("string"), F.lit("null")), F.coalesce("b", F.lit("null")))
+    entries, skipped = records.manifest_entries(labels, located, ["l_orderkey"], "period", "row", ["a", "b"], target)
+    none = F.lit(None)
+    return entries.select("l_orderkey", "row", "target", none.cast("string").alias("reason")).unionByName(skipped.select("l_orderkey", none.cast("long").alias("row"), none.cast("string").alias("target"), "reason"))

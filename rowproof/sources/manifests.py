@@ -49,3 +49,18 @@ def version_problems(df: DataFrame, columns: list[str], path: str) -> DataFrame:
     now = fingerprint(df, columns).select(F.col("n").alias("rows"), F.col("sha256").alias("digest"))  # one row
     said = F.format_string("changed since %s was frozen (%d rows then, %d now; sha256 %s -> %s)", "version", "n", "rows", F.substr("sha256", F.lit(1), F.lit(12)), F.substr("digest", F.lit(1), F.lit(12)))
     return was.crossJoin(F.broadcast(now)).where("sha256 <> digest").select(said.alias("problem"))
+
+
+def write_training(entries: DataFrame, path: str, page: list[str], row: str, cells: list[str]) -> None:
+    """A training manifest as JSON lines, one document a page (so it may be of any size):
+    the page, n_examples, n_cells, and its examples in order of their rows."""
+    rest = [c for c in entries.columns if c not in (*page, row)]
+    n = sum((F.col(c).isNotNull().cast("long") for c in cells), F.lit(0).cast("long"))
+    nested = F.sort_array(F.collect_list(F.struct(row, *rest))).alias("examples")
+    entries.groupBy(*page).agg(F.count("*").alias("n_examples"), F.sum(n).alias("n_cells"), nested).write.mode("overwrite").json(path)
+
+
+def read_training(spark: SparkSession, path: str, page: str, example: str) -> DataFrame:
+    """The examples of a training manifest, each with its page; schema strings of both."""
+    keys = [c.split()[0] for c in page.split(",")]
+    return spark.read.schema(f"{page}, examples array<struct<{example}>>").json(path).select(*keys, F.explode("examples").alias("e")).select(*keys, "e.*")

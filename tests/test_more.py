@@ -5,9 +5,9 @@ import hashlib
 from pyspark.sql import functions as F
 
 from rowproof.functions import captions, parse, replies
-from rowproof.operators import checks, evaluate, govern, pages, publish, reading, reports, series
+from rowproof.operators import checks, evaluate, govern, pages, publish, reading, records, reports, series
 from rowproof.plans.judgement_queries import station_sheet
-from rowproof.sources import files
+from rowproof.sources import files, manifests
 
 
 def test_cell_counts(spark):
@@ -91,3 +91,17 @@ def test_files_of_a_pattern(spark, tmp_path):
 def test_top_groups(spark):
     df = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), ("c",)], "k string")
     assert [tuple(r) for r in reading.top_groups(df, ["k"], 2).collect()] == [("b", 2), ("c", 2)]
+
+
+def test_training_manifests(spark, tmp_path):
+    labels = spark.createDataFrame([("a", 1, 0, "1885-01", "x", None), ("a", 1, 1, "1885-01", "", None), ("a", 1, 2, "1885-01", "y", "z"), ("a", 2, 0, None, "x", "x"), ("b", 1, 0, "1885-01", "x", "x"), ("b", 2, 0, "", "x", "x")], "doc string, page int, row int, period string, u string, v string")
+    located = spark.createDataFrame([("a", 1, 2), ("a", 2, 5)], "doc string, page int, n int")
+    entries, skipped = records.manifest_entries(labels, located, ["doc", "page"], "period", "row", ["u", "v"], F.concat_ws("|", "u", "v"))
+    assert [(r.doc, r.page, r.row, r.target) for r in entries.collect()] == [("a", 1, 0, "x")]
+    assert sorted(map(tuple, skipped.collect())) == [("a", 2, "no period recorded"), ("b", 1, "no rows located"), ("b", 2, "no period recorded")]
+    every, _ = records.manifest_entries(labels.drop("period").withColumn("period", F.lit("1885-01")), located.withColumn("n", F.lit(9)), ["doc", "page"], "period", "row", ["u", "v"], F.lit("t"))
+    manifests.write_training(every, str(tmp_path / "m"), ["doc", "page"], "row", ["u", "v"])
+    docs = {(r.doc, r.page): (r.n_examples, r.n_cells) for r in spark.read.json(str(tmp_path / "m")).collect()}
+    assert docs == {("a", 1): (2, 3), ("a", 2): (1, 2)}
+    back = manifests.read_training(spark, str(tmp_path / "m"), "doc string, page int", "row int, u string, v string, target string")
+    assert sorted(map(str, back.collect())) == sorted(map(str, every.select(*back.columns).collect()))
