@@ -1,11 +1,23 @@
-"""Positions of rows and columns against plain loops."""
-
-import random
-import statistics
+"""Positions of rows and columns: small pages by hand, and every query against its SQL."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from rowproof.operators import lattice
+from rowproof.plans import lattice_queries
+from rowproof.plans.queries import ORACLES
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["series_periods", "series_peaks", "busy_runs", "mark_grid", "mark_chains", "rule_bounds", "gap_bounds", "claimed_days"])
+def test_queries_match_their_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{SMALL}/events.parquet'")
+    want = con.sql(ORACLES[name])
+    got = getattr(lattice_queries, name)(spark, SMALL).select(*want.columns).collect()
+    assert len(got) > 0 and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
 
 
 def one(spark, rows, schema, column):
@@ -14,277 +26,75 @@ def one(spark, rows, schema, column):
 
 
 def test_boundaries(spark):
-    rng = random.Random(1)
-
-    def brute(xs, width):
-        out = []
-        for x in xs:
-            if out and x - out[-1] < 0.008 * width:
-                out[-1] = (out[-1] + x) // 2
-            else:
-                out.append(x)
-        if len(out) > 3:
-            w = sorted(b - a for a, b in zip(out, out[1:], strict=False))
-            m = w[len(w) // 2]
-            if m > 0:
-                keep = out[:1]
-                for x in out[1:]:
-                    if x - keep[-1] >= 0.4 * m:
-                        keep.append(x)
-                out = keep
-        return out
-
-    rows = [(sorted(rng.randrange(1000) for _ in range(rng.randrange(12))), 1000) for _ in range(200)]
-    assert one(spark, rows, "xs array<int>, w int", lattice.merged_boundaries(F.col("xs"), F.col("w"))) == [brute(*r) for r in rows]
-
-    def split(gaps, cells):
-        if len(gaps) < 3:
-            return None
-        inner = gaps[1:-1]
-        w = sorted(b - a for a, b in inner)
-        m = w[len(w) // 2]
-        out = [gaps[0][1]]
-        for a, b in inner:
-            out += [a + (b - a) // 3, b - (b - a) // 3] if m and b - a > 2.6 * m else [(a + b) // 2]
-        out.append(gaps[-1][0])
-        return out if len(out) == cells + 1 else None
-
-    rows = []
-    for _ in range(200):
-        x, found = 0, []
-        for _ in range(rng.randrange(9)):
-            a = x + rng.randrange(5, 40)
-            x = a + rng.choice([4, 5, 6, 9, 30])
-            found.append((a, x))
-        rows.append((found, rng.randrange(1, 10)))
-    got = one(spark, rows, "g array<struct<start: bigint, end: bigint>>, n int", lattice.boundaries_of_gaps(F.col("g"), F.col("n")))
-    assert got == [split(*r) for r in rows] and sum(g is not None for g in got) > 10
+    pages = {
+        (0, 100, 200, 300, 303, 400): [0, 100, 200, 301, 400],  # a double rule
+        (0, 100, 200, 220, 300, 400): [0, 100, 200, 300, 400],  # a sliver
+        (10, 12, 14): [12],  # merged one after another, no page of four
+        (): [],
+    }
+    assert one(spark, [(list(k),) for k in pages], "xs array<int>", lattice.merged_boundaries(F.col("xs"), F.lit(1000))) == list(pages.values())
+    gaps = [([(0, 10), (50, 54), (90, 94), (130, 160), (200, 210)], 5), ([(0, 10), (50, 54), (200, 210)], 5), ([(0, 10), (50, 54)], 1), ([], 0)]
+    assert one(spark, gaps, "g array<struct<start: bigint, end: bigint>>, n int", lattice.boundaries_of_gaps(F.col("g"), F.col("n"))) == [[10, 52, 92, 140, 150, 200], None, None, None]
 
 
 def test_runs_above(spark):
-    rng = random.Random(2)
-
-    def brute(v):
-        out, since = [], None
-        for i, x in enumerate([*v, -1]):
-            if x > 0.5 and since is None:
-                since = i
-            elif x <= 0.5 and since is not None:
-                if i - since >= 3:
-                    out.append((since, i))
-                since = None
-        return out
-
-    rows = [([rng.choice([0.1, 0.9, 0.9]) for _ in range(rng.randrange(30))],) for _ in range(200)]
-    assert [[tuple(x) for x in r] for r in one(spark, rows, "v array<double>", lattice.runs_above(F.col("v"), 0.5, 3))] == [brute(*r) for r in rows]
-
-
-def brute_smooth(xs, radius):
-    return [sum(xs[max(0, i - radius) : i + radius + 1]) / len(xs[max(0, i - radius) : i + radius + 1]) for i in range(len(xs))]
-
-
-def brute_peaks(v, pitch):
-    sm = brute_smooth(v, max(2, round(pitch / 5)))
-    tops = sorted([y for y in range(1, len(sm) - 1) if sm[y] >= sm[y - 1] and sm[y] > sm[y + 1] and sm[y] > 0], key=lambda y: -sm[y])
-    held = []
-    for y in tops:
-        if all(abs(y - c) >= 0.6 * pitch for c in held):
-            held.append(y)
-    return sorted(held)
+    rows = [([0.9, 0.9, 0.9, 0.1, 0.9, 0.9, 0.1, 0.9, 0.9, 0.9, 0.9],), ([0.5] * 9,), ([],), ([None, 0.9, 0.9, 0.9],)]
+    got = one(spark, rows, "v array<double>", lattice.runs_above(F.col("v"), 0.5, 3))
+    assert [[tuple(x) for x in r] for r in got] == [[(0, 3), (7, 11)], [], [], [(1, 4)]]
 
 
 def test_periods_and_peaks(spark):
-    rng = random.Random(3)
-    rows = []
-    for _ in range(60):
-        step = rng.randrange(5, 11)
-        rows.append(([rng.randrange(3) + 20 * (i % step < 2) for i in range(rng.randrange(50, 120))], step))
-
-    def brute(v):
-        n, x = len(v), [len(v) * a - sum(v) for a in v]
-        ac = {k: sum(x[i] * x[i + k] for i in range(n - k)) for k in range(3, 15)}
-        out = sorted([k for k in range(4, 14) if ac[k] >= ac[k - 1] and ac[k] > ac[k + 1]], key=lambda k: -ac[k])[:6]
-        return out or [max(ac, key=ac.get)]
-
-    got = one(spark, rows, "v array<int>, p int", lattice.periods(F.col("v"), 3, 14))
-    assert got == [brute(v) for v, _ in rows] and sum(g[0] == p for g, (_, p) in zip(got, rows, strict=True)) > 50
-    got = one(spark, rows, "v array<int>, p int", F.transform(lattice.peaks(F.col("v"), F.col("p")), lambda x: x["y"]))
-    assert got == [brute_peaks(v, p) for v, p in rows]
-    assert one(spark, [([], 5), ([1], 5), (None, 5)], "v array<int>, p int", lattice.peaks(F.col("v"), F.col("p")))[:2] == [[], []]
-
-
-def brute_grid(ys, want, pitch):
-    ys = sorted(set(ys))
-    if len(ys) < max(4, want // 4):
-        return None
-    wide = [b - a for a, b in zip(ys, ys[1:], strict=False) if b - a > 2]
-    if not wide:
-        return None
-    step = float(pitch) if pitch else statistics.median(wide)
-    if step <= 2:
-        return None
-    best = []
-    for i, y in enumerate(ys):
-        run = [y]
-        for x in ys[i + 1 :]:
-            k = round((x - run[-1]) / step)
-            if k >= 1 and abs(x - run[-1] - k * step) <= 0.3 * step:
-                run.append(x)
-        best = max(best, run, key=len)
-    if len(best) < 3:
-        return None
-    start = best[0] - max(0, round((best[0] - ys[0]) / step)) * step
-    grid = [round(start + i * step) for i in range(want)]
-    return grid if sum(any(abs(g - y) <= 0.3 * step for y in ys) for g in grid) >= 0.8 * want else None
+    rows = [([20 if i % 7 < 2 else 0 for i in range(100)],), ([1] * 40,), ([0] * 30 + [5] + [0] * 30,)]
+    got = one(spark, rows, "v array<int>", lattice.periods(F.col("v"), 3, 14))
+    assert got[0] == [7] and got[1] == [3] and len(got[2]) >= 1
+    hill = [0] * 10 + [4, 9, 4] + [0] * 3 + [3, 5, 3] + [0] * 20 + [1, 2, 1] + [0] * 5
+    assert one(spark, [(hill, 12), (hill, 5), ([], 5), ([1], 5)], "v array<int>, p int", F.transform(lattice.peaks(F.col("v"), F.col("p")), lambda x: x["y"])) == [[12, 41], [12, 18, 41], [], []]  # the last of a plateau; 18 is too near in the first
 
 
 def test_grid(spark):
-    rng = random.Random(4)
-    rows = []
-    for _ in range(120):
-        step, n = rng.choice([9.0, 10.5, 17.0, 25.0]), rng.randrange(3, 14)
-        ys = [round(40 + i * step + rng.choice([0, 0, 0, 1, -1])) for i in range(n) if rng.random() < 0.93] + [rng.randrange(400) for _ in range(rng.randrange(3))]
-        rows.append((ys, n, rng.choice([None, None, step])))
-    got = one(spark, rows, "ys array<int>, n int, p double", lattice.grid(F.col("ys"), F.col("n"), F.col("p")))
-    assert got == [brute_grid(*r) for r in rows] and 20 < sum(g is not None for g in got) < 118
-
-
-def brute_chain(ys, pitch, rules):
-    lo, hi = 0.8 * pitch, 1.2 * pitch
-    ruled = lambda a, b: any(a < r < b for r in rules)
-    if len(ys) < 2:
-        return []
-    chains = [[ys[0]]]
-    for a, b in zip(ys, ys[1:], strict=False):
-        if lo <= b - a <= hi and not ruled(a, b):
-            chains[-1].append(b)
-        else:
-            chains.append([b])
-    out = []
-    for c in chains:
-        if len(out) >= 2 and len(out[-1]) == 1:
-            i, before = out[-1][0], out[-2]
-            if hi < i - before[-1] < 3.4 * pitch and hi < c[0] - i < 3.4 * pitch and not ruled(before[-1], c[0]):
-                out.pop()
-                out[-1] = before + c
-                continue
-        out.append(c)
-    return max(out, key=len)
-
-
-def brute_trim(c, most, pitch, rules):
-    near = lambda y: any(abs(y - r) < 0.55 * pitch for r in rules)
-    while len(c) > most and near(c[-1]):
-        c = c[:-1]
-    while len(c) > most and near(c[0]):
-        c = c[1:]
-    while len(c) > most and len(c) > 1:
-        g = [b - a for a, b in zip(c, c[1:], strict=False)]
-        m = statistics.median(g)
-        if g[-1] > 1.25 * m and g[-1] >= g[0]:
-            c = c[:-1]
-        elif g[0] > 1.25 * m:
-            c = c[1:]
-        else:
-            break
-    return c
+    rows = [
+        ([40, 57, 74, 108, 125], 6, None),  # a row that was not seen
+        ([40, 57, 74, 83, 108, 125], 6, 17.0),  # and a mark between two rows
+        ([40, 57, 74], 6, None),  # too few
+        ([40, 57, 74, 91], 9, 17.0),  # too little of the grid explained
+        ([1, 2, 3, 4, 5], 5, None),  # no step
+    ]
+    whole = [40, 57, 74, 91, 108, 125]
+    assert one(spark, rows, "ys array<int>, n int, p double", lattice.grid(F.col("ys"), F.col("n"), F.col("p"))) == [whole, whole, None, None, None]
 
 
 def test_chains(spark):
-    rng = random.Random(5)
-    rows = []
-    for _ in range(200):
-        y, ys = 0, []
-        for _ in range(rng.randrange(16)):
-            y += rng.choice([19, 20, 20, 21, 22, 30, 45])
-            ys.append(y)
-        rows.append((ys, 20, sorted(rng.randrange(400) for _ in range(rng.randrange(3))), rng.randrange(1, 8)))
-    found = lattice.chain(F.col("ys"), F.col("p"), F.col("r"))
-    schema = "ys array<int>, p int, r array<int>, m int"
-    assert one(spark, rows, schema, found) == [brute_chain(*r[:3]) for r in rows]
-    assert one(spark, rows, schema, lattice.trimmed(found, F.col("m"), F.col("p"), F.col("r"))) == [brute_trim(brute_chain(*r[:3]), r[3], *r[1:3]) for r in rows]
-
-
-def brute_days(claims, pitch, n):
-    by = {}
-    for d, y in claims:
-        if d is not None and 1 <= d <= n:
-            by.setdefault(d, []).append(y)
-    for d, ys in by.items():
-        groups = [[sorted(ys)[0]]]
-        for y in sorted(ys)[1:]:
-            if y - groups[-1][-1] <= 0.9 * pitch:
-                groups[-1].append(y)
-            else:
-                groups.append([y])
-        by[d] = [round(sum(g) / len(g)) for g in groups]
-    got = {d: ys[0] for d, ys in by.items() if len(ys) == 1}
-
-    def fit(points):
-        md, my = statistics.fmean(points), statistics.fmean(points.values())
-        var = sum((d - md) ** 2 for d in points)
-        slope = sum((d - md) * (y - my) for d, y in points.items()) / var if var else None
-        return slope, slope is not None and my - slope * md
-
-    slope, cut = fit(got) if len(got) >= 3 else (None, None)
-    if slope is not None:
-        for d, ys in by.items():
-            if len(ys) > 1:
-                best = min(ys, key=lambda y: abs(y - cut - slope * d))
-                if abs(best - cut - slope * d) <= 1.5 * pitch:
-                    got[d] = best
-    days = sorted(got)
-    keep = {d: got[d] for i, d in enumerate(days) if (not i or got[d] > got[days[i - 1]]) and (i == len(days) - 1 or got[d] < got[days[i + 1]])}
-
-    def line():
-        if len(keep) < 8:
-            return []
-        held, floor = dict(keep), max(8, int(0.65 * len(keep)))
-        while True:
-            slope, cut = fit(held)
-            off = {d: abs(y - cut - slope * d) for d, y in held.items()}
-            worst = max(sorted(off), key=off.get)
-            if off[worst] <= 0.35 * slope or len(held) <= floor:
-                break
-            del held[worst]
-        if slope < 4 or max(off.values()) > 0.35 * slope or cut + slope < 0:
-            return []
-        return [(d, round(cut + slope * d), "line") for d in range(1, n + 1)]
-
-    if not keep or len(keep) < 0.7 * n:
-        return line()
-    a, b = (1, n) if 1 in keep and n in keep else (min(keep), max(keep))
-    out = []
-    for d in range(a, b + 1):
-        if d in keep:
-            out.append((d, keep[d], "read"))
-        else:
-            lo, hi = max(k for k in keep if k < d), min(k for k in keep if k > d)
-            out.append((d, round(keep[lo] + (keep[hi] - keep[lo]) * (d - lo) / (hi - lo)), "interpolated"))
-    return line() if any(q[1] - p[1] < 0.5 * pitch for p, q in zip(out, out[1:], strict=False)) else out
-
-
-def test_resolved_days(spark):
-    rng = random.Random(6)
-    rows, want = [], {}
-    for page in range(150):
-        n, pitch = rng.choice([10, 12, 28]), rng.choice([18.0, 24.0, 31.5])
-        claims = []
-        for d in range(1, n + 1):
-            y = 100 + int(d * pitch) + rng.choice([0, 0, 1, -2])
-            if rng.random() < (0.9, 0.75, 0.5)[page % 3]:
-                claims.append((d, y))
-                if rng.random() < 0.2:
-                    claims.append((d, y + rng.choice([3, 9, 200])))
-            elif rng.random() < 0.3:
-                claims.append((rng.choice([1, 7, n + 3, None]), y))
-        claims = [(d, y) for d, y in claims if y is not None]
-        rows += [(page, d, y, pitch, n) for d, y in claims]
-        want[page] = brute_days(claims, pitch, n)
-    df = spark.createDataFrame(rows, "page int, day int, y int, pitch double, n int")
+    rows = [
+        ([0, 20, 40, 60, 130, 150], [], 9),  # two chains
+        ([0, 20, 40, 75, 110, 130], [], 9),  # a summary line between them
+        ([0, 20, 40, 75, 110, 130], [90], 9),  # and a rule, which keeps them apart
+        ([0, 20, 40, 60, 80, 102], [110], 4),  # the last row is the rule's shadow
+        ([0, 24, 43, 62, 81], [], 3),  # the first row stands apart
+        ([5], [], 3), ([], [], 3),
+    ]
+    found = lattice.chain(F.col("ys"), F.lit(20), F.col("r"))
+    chains = [[0, 20, 40, 60], [0, 20, 40, 110, 130], [0, 20, 40], [0, 20, 40, 60, 80, 102], [0, 24, 43, 62, 81], [], []]
+    assert one(spark, rows, "ys array<int>, r array<int>, m int", found) == chains
+    trimmed = one(spark, rows, "ys array<int>, r array<int>, m int", lattice.trimmed(found, F.col("m"), F.lit(20), F.col("r")))
+    assert trimmed == [*chains[:3], [0, 20, 40, 60, 80], [24, 43, 62, 81], [], []]
+
+
+def test_claimed_days(spark):
+    at = lambda d: 100 + 20 * d
+    page = {
+        1: [(d, at(d)) for d in range(1, 11) if d not in (4, 7)] + [(3, at(3) + 9), (9, at(9) + 200)],  # one row proposed twice, a claim far off
+        2: [(d, at(d)) for d in range(1, 11) if d != 5] + [(5, at(8) + 3)],  # out of order
+        3: [(d, at(d)) for d in range(3, 11)],  # the ends are not claimed
+        4: [(d, at(d)) for d in range(1, 5)],  # too few for anything
+        5: [(d, at(d)) for d in range(1, 11) if d != 6] + [(6, at(5) + 3)],  # on top of another: the line holds
+        6: [(None, 5), (99, 7)],
+    }
+    df = spark.createDataFrame([(p, d, y, 20.0, 10) for p, claims in page.items() for d, y in claims], "page int, day int, y int, pitch double, n int")
     got = {}
-    for r in lattice.resolved_days(df, ["page"], "day", "y", "pitch", "n").collect():
-        got.setdefault(r.page, []).append((r.day, r.y, r.how))
-    assert {p: sorted(x) for p, x in got.items()} == {p: x for p, x in want.items() if x}
-    hows = {h for x in want.values() for *_, h in x}
-    assert hows == {"read", "interpolated", "line"} and sum(not x for x in want.values()) > 3
+    for r in lattice.resolved_days(df.repartition(4), ["page"], "day", "y", "pitch", "n").collect():
+        got.setdefault(r.page, {})[r.day] = (r.y, r.how)
+    assert set(got) == {1, 2, 3, 5}
+    assert got[1] == {d: (at(d), "read") for d in range(1, 11)} | {3: (164, "read"), 4: (182, "interpolated"), 7: (at(7), "interpolated")}
+    assert got[2][5][1] == "interpolated" and sorted(got[3]) == list(range(3, 11))
+    assert {h for _, h in got[5].values()} == {"line"} and sorted(got[5]) == list(range(1, 11))
+    assert lattice.resolved_days(df.where("false"), ["page"], "day", "y", "pitch", "n").count() == 0
