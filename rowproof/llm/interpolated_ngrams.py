@@ -12,9 +12,9 @@ with the counts of all training texts.
 
 How it runs:
 
-1. Texts are gathered in blocks of ``BLOCK`` bytes and written in a short form:
-   the block's words as 64-bit hashes, and the texts as numbers of those words.
-   Held-out texts go to blocks of their own.
+1. Texts are gathered in blocks of ``BLOCK`` bytes (``LEAST`` a token at least)
+   and written in a short form: the block's words as 64-bit hashes, and the
+   texts as numbers of those words.  Held-out texts go to blocks of their own.
 2. Every block asks for its distinct n-grams: their keys, sorted, are cut into
    pieces by ranges of keys, with the counts in the block's training texts.  A
    frequent n-gram is one key in each block, whatever its count, so ranges stay
@@ -29,7 +29,9 @@ All n-grams of all training texts count; nothing is pruned.  Words and n-grams
 are told apart by 64-bit keys: among 10^9 n-grams any two share one with a
 probability of three in a hundred.  A range of keys, a block and its answers are
 what a task holds; one text is never cut, so a text longer than a block is a
-block of its own.
+block of its own.  Of a block's tokens a task holds numbers of four bytes, and
+the keys of one order; whatever else is computed for every token is computed
+for ``SLICE`` of them at a time.
 
 Defined results: null and empty texts, and texts of blanks, are one end.  A
 null in ``training`` counts as false.  Without training texts every token is
@@ -57,6 +59,8 @@ from .common import bound_batches, written
 ORDER = 2
 #: Bytes of text in a block; n-grams in a range of keys.
 BLOCK, RANGE = 16 << 20, 1 << 20
+#: Bytes that a token counts in a block at least; tokens of a block that are worked on at a time.
+LEAST, SLICE = 4, 1 << 18
 #: One training text in so many is held out to learn the weights.
 DELETED = 10
 #: Buckets of an order: contexts seen never, once, 2-3, 4-7 and so on.
@@ -69,15 +73,15 @@ MOST = 1 - 1e-6
 END, START = np.uint64(xxhash.xxh64_intdigest(b"end", 1)), np.uint64(xxhash.xxh64_intdigest(b"start", 1))
 
 
-def crushed(a: np.ndarray) -> bytes:
-    """Numbers as compressed planes of bytes."""
-    planes = np.ascontiguousarray(np.asarray(a, "<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+def crushed(a: np.ndarray, width: int = 8) -> bytes:
+    """Numbers of ``width`` bytes as compressed planes of bytes."""
+    planes = np.ascontiguousarray(np.asarray(a, f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.ravel())
 
 
-def restored(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+def restored(data: bytes, width: int = 8) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
 def joined_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -110,7 +114,7 @@ class Block:
         self.training.append(training)
         self.lengths.append(len(tokens))
         self.tokens.append(tokens)
-        self.bytes += len(text) + 64
+        self.bytes += max(len(text), LEAST * len(tokens)) + 64
 
     def row(self, block: int, held: bool) -> dict:
         keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
@@ -121,7 +125,7 @@ class Block:
         number[order + 1] = np.arange(1, len(keys) + 1)
         return {
             "block": block, "held": held, "ids": self.ids, "training": self.training, "lengths": self.lengths,
-            "words": crushed(np.r_[END, keys[order]]), "tokens": crushed(number[tokens]), "n": len(tokens),
+            "words": crushed(np.r_[END, keys[order]]), "tokens": crushed(number[tokens], 4), "n": len(tokens),
         }
 
 
@@ -156,6 +160,23 @@ def blocks(df: DataFrame, training: Column, id_col: str, text_col: str) -> DataF
     return written(rows.mapInArrow(run, BLOCKS_DDL), "blocks")
 
 
+def slices(n: int) -> Iterator[tuple[int, int]]:
+    return ((a, min(a + SLICE, n)) for a in range(0, n, SLICE))
+
+
+def numbered(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys, and every token's place among them; a sixteenth of the keys at a time."""
+    top = np.asarray(gram, "<u8").view(np.uint8)[7::8] >> 4
+    keys, at, n = [], np.empty(len(gram), np.uint32), 0
+    for i in range(16):
+        where = np.flatnonzero(top == i)
+        part, place = np.unique(gram[where], return_inverse=True)
+        at[where] = place + n
+        keys.append(part)
+        n += len(part)
+    return np.concatenate(keys), at
+
+
 @dataclass
 class Grams:
     """The n-grams of a block: per order the sorted distinct keys, and for every token the place of its n-gram among them."""
@@ -168,19 +189,18 @@ class Grams:
     @classmethod
     def of(cls, words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, order: int) -> Grams:
         by_key = np.argsort(words)
-        place = np.empty(len(words), np.int64)
+        place = np.empty(len(words), np.uint32)
         place[by_key] = np.arange(len(words))
         first = np.cumsum(lengths) - lengths
         keys, at = [words[by_key]], [place[tokens]]
-        w = words[tokens]
-        gram = w
+        gram = words[tokens] if order > 1 else None
         for _ in range(1, order):
-            # an n-gram is the one before, a word shorter, and this word
-            shorter = np.empty_like(gram)
-            shorter[1:] = gram[:-1]
-            shorter[first] = START
-            gram = joined_keys(shorter, w)
-            distinct, inverse = np.unique(gram, return_inverse=True)
+            # an n-gram is the one before, a word shorter, and this word; from the end, so that the shorter ones are still there
+            for a, b in reversed(list(slices(len(tokens)))):
+                shorter = gram[a - 1 : b - 1].copy() if a else np.r_[START, gram[: b - 1]]
+                shorter[first[slice(*np.searchsorted(first, (a, b)))] - a] = START
+                gram[a:b] = joined_keys(shorter, words[tokens[a:b]])
+            distinct, inverse = numbered(gram)
             keys.append(distinct)
             at.append(inverse)
         return cls(keys, at, first, lengths)
@@ -190,7 +210,7 @@ def grams_of(table: pa.Table, row: int, order: int) -> tuple[Grams, np.ndarray]:
     """A block's n-grams, and for each text whether it trains."""
     get = lambda c: table.column(c)[row].as_py()
     lengths = np.array(get("lengths"), np.int64)
-    return Grams.of(restored(get("words")), restored(get("tokens")).astype(np.int64), lengths, order), np.array(get("training"), bool)
+    return Grams.of(restored(get("words")), restored(get("tokens"), 4), lengths, order), np.array(get("training"), bool)
 
 
 PIECES_DDL = "shard int, block long, n int, held boolean, keys binary, counts binary"
@@ -250,25 +270,38 @@ def answers(short: DataFrame, order: int) -> DataFrame:
     return written(pieces.groupBy("shard").applyInArrow(answer, ANSWERS_DDL), "answers")
 
 
-def counts_of(grams: Grams, told: pa.Table, column: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per order and for every token: the count of its n-gram, and that of its context
-    (order 1: none is given)."""
+@dataclass
+class Slice:
+    """Some tokens of a block: their texts, and per order the count of each token's n-gram and that of its context (order 1: none is given)."""
+
+    text: np.ndarray
+    counts: list[tuple[np.ndarray, np.ndarray | None]]
+
+
+def counts_of(grams: Grams, told: pa.Table, column: str) -> Iterator[Slice]:
+    """The tokens of a block with the counts that it was told."""
     of, shard, data = (told.column(c).to_pylist() for c in ("n", "shard", column))
-    out, end, before = [], None, None
+    count = []
     for k in range(1, len(grams.keys) + 1):
         parts = sorted((s, d) for s, o, d in zip(shard, of, data, strict=True) if o == k)
-        count = np.concatenate([restored(d) for _, d in parts]).astype(np.int64)
-        if k == 1:
-            end = count[np.searchsorted(grams.keys[0], END)]  # texts: what begins follows their start
-        here = count[grams.at[k - 1]]
-        context = None
-        if before is not None:
-            context = np.empty_like(here)
-            context[1:] = before[:-1]
-            context[grams.first] = end
-        out.append((here, context))
-        before = here
-    return out
+        count.append(np.concatenate([restored(d) for _, d in parts]).view(np.int64))
+    end = count[0][np.searchsorted(grams.keys[0], END)]  # texts: what begins follows their start
+    for a, b in slices(len(grams.at[0])):
+        i, j = np.searchsorted(grams.first, (a, b))
+        begins = grams.first[i:j] - a
+        text = np.zeros(b - a, np.int64)
+        text[begins] = 1
+        counts, before = [], None
+        for k, at in enumerate(grams.at):
+            here, context = count[k][at[a:b]], None
+            if k:
+                context = np.empty_like(here)
+                context[0] = count[k - 1][grams.at[k - 1][a - 1]]
+                context[1:] = before[:-1]
+                context[begins] = end
+            counts.append((here, context))
+            before = here
+        yield Slice(i - 1 + np.cumsum(text), counts)
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -352,13 +385,13 @@ def fitted(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: st
     names = [f"{c}{k}" for k in range(1, order + 1) for c in ("c", "h") if (c, k) != ("h", 1)]
 
     def events(short: pa.Table, told: pa.Table) -> pa.Table:
-        columns = []
+        out = [np.empty((0, len(names) + 1), np.int64)]
         if short.num_rows and told.num_rows:
             grams, _ = grams_of(short, 0, order)
-            columns = [c for pair in counts_of(grams, told, "kept") for c in pair if c is not None]
-            rows, m = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
-            columns = [*rows.T, m]
-        return pa.table([pa.array(c, pa.int64()) for c in columns] or [pa.array([], pa.int64())] * (len(names) + 1), [*names, "m"])
+            for some in counts_of(grams, told, "kept"):
+                rows, m = np.unique(np.stack([c for pair in some.counts for c in pair if c is not None], 1), axis=0, return_counts=True)
+                out.append(np.c_[rows, m])
+        return pa.table([pa.chunked_array([pa.array(x[:, i]) for x in out]) for i in range(len(names) + 1)], [*names, "m"])
 
     held = short.where("held").groupBy("block").cogroup(told.where("kept is not null").groupBy("block"))
     found = held.applyInArrow(events, ", ".join(f"{c} long" for c in [*names, "m"]))
@@ -376,13 +409,14 @@ def applied(model: Model, short: DataFrame, told: DataFrame) -> DataFrame:
         if not short.num_rows:
             return SCORES.empty_table()
         grams, training = grams_of(short, 0, model.order)
-        counts = counts_of(grams, told, "total")
-        p, c = mixed(counts, model.weights, model.tokens, model.types), counts[0][0]
-        text = np.repeat(np.arange(len(grams.lengths)), grams.lengths)
-        added = lambda x: np.bincount(text, x, len(grams.lengths))
-        base = np.log10((c + 1) / (model.tokens + model.types + 1))
+        known, base, own = np.zeros((3, len(training)))
+        for some in counts_of(grams, told, "total"):
+            p, c = mixed(some.counts, model.weights, model.tokens, model.types), some.counts[0][0]
+            i, j = some.text[0], some.text[-1] + 1
+            for total, x in ((known, c > 0), (base, np.log10((c + 1) / (model.tokens + model.types + 1))), (own, np.log10(p))):
+                total[i:j] += np.bincount(some.text - i, x)
         n = pa.array(np.full(len(training), model.tokens), pa.int64())
-        return pa.Table.from_arrays([pa.array(short.column("ids")[0].as_py(), pa.int64()), pa.array(training), pa.array(grams.lengths), pa.array(added(c > 0).astype(np.int64)), n, pa.array(added(base)), pa.array(added(np.log10(p)))], schema=SCORES)
+        return pa.Table.from_arrays([pa.array(short.column("ids")[0].as_py(), pa.int64()), pa.array(training), pa.array(grams.lengths), pa.array(known.astype(np.int64)), n, pa.array(base), pa.array(own)], schema=SCORES)
 
     both = short.groupBy("block").cogroup(told.where("block >= 0").groupBy("block"))
     return both.applyInArrow(score, "id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -6,9 +6,11 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -197,6 +199,62 @@ def test_ngrams_without_training_texts_or_rows(docs):
     assert sorted(r.n_tokens for r in interpolated_ngrams.scored(few, F.lit(True)).collect()) == [1, 3]
 
 
+class Caught:
+    """Stands for blocks and answers; hands over the function that would score them."""
+
+    where = groupBy = cogroup = lambda self, *_: self
+
+    def applyInArrow(self, f, _):
+        return f
+
+
+def block_told(texts, order, seed=0):
+    """A block of texts, invented answers to it, and a model."""
+    block, rng = interpolated_ngrams.Block(), np.random.default_rng(seed)
+    for i, t in enumerate(texts):
+        block.add(i, t.encode(), True)
+    short = pa.Table.from_pylist([block.row(0, False)], interpolated_ngrams.BLOCKS)
+    told = []
+    for k, keys in enumerate(interpolated_ngrams.grams_of(short, 0, order)[0].keys, 1):
+        for shard, part in enumerate(np.array_split(rng.zipf(1.7, len(keys)).clip(max=10**6).astype(np.int64) - 1, 16)):
+            told.append({"block": 0, "n": k, "shard": shard, "total": interpolated_ngrams.crushed(part)})
+    weights = rng.random((order, interpolated_ngrams.BUCKETS))
+    return short, pa.Table.from_pylist(told, interpolated_ngrams.ANSWERS), interpolated_ngrams.Model(order, 10**7, 10**5, weights, 1, 1)
+
+
+def test_a_block_of_ngrams_is_scored_in_little_memory():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map("w{}".format, rng.zipf(1.2, 2_000).clip(max=10**6))) for _ in range(500)]
+    short, told, model = block_told(texts, 2)
+    score, n = interpolated_ngrams.applied(model, Caught(), Caught()), short.column("n")[0].as_py()
+    assert n > 1_000_000
+    for f in (lambda: interpolated_ngrams.grams_of(short, 0, 2), lambda: score(short, told)):
+        tracemalloc.start()
+        f()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 56 * n  # bytes a token; 86 were needed when every step held all tokens
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_slices_of_a_block_do_not_change_scores(order, monkeypatch):
+    texts = ["a b c a b", "", " ", "one", "a b c d e f g " * 9, "", "b a " * 30, "x y z"]
+    short, told, model = block_told(texts, order)
+    score = interpolated_ngrams.applied(model, Caught(), Caught())
+    want = score(short, told).to_pydict()
+    for size in (1, 2, 5, 7, 64):
+        monkeypatch.setattr(interpolated_ngrams, "SLICE", size)
+        got = score(short, told).to_pydict()
+        for column, values in want.items():
+            assert got[column] == pytest.approx(values, rel=1e-12)
+
+
+def test_short_words_close_a_block():
+    block, words = interpolated_ngrams.Block(), 1_000
+    block.add(1, b"a " * words, True)
+    assert block.bytes >= 4 * words
+
+
 def sha(*parts):
     return hashlib.sha256("".join(parts).encode()).hexdigest()
 
