@@ -1,11 +1,18 @@
 """Micro-fixtures of the table operators."""
 
+import datetime
+import random
+
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from rowproof.functions import parse, scalars
 from rowproof.layout import Check, Layout, LayoutColumn
 from rowproof.operators import checks, evaluate, govern, merge, pages
+from rowproof.plans import queries
 
 
 def rows(df, *order):
@@ -145,3 +152,33 @@ def test_flagship_runs(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_check_rules_adds_up_in_the_order_of_events(spark, tmp_path):
+    """Days whose mean lies at the tolerance to the cent, one event in each of five
+    files; the later ones are larger, so they are read first."""
+    rng, files = random.Random(5), [[] for _ in range(5)]
+    for user in range(2000):
+        while True:
+            lo, hi = sorted(rng.sample(range(20_000), 2))
+            rest, odd = divmod(3 * (lo + hi) + rng.choice([-51, 51]), 2)
+            a, b = rng.randint(lo, hi), rng.randint(lo, hi)
+            if not odd and lo <= rest - a - b <= hi:
+                break
+        values = [lo, hi, a, b, rest - a - b]
+        rng.shuffle(values)
+        for k, cents in enumerate(values):
+            files[k].append((user, cents / 100))
+    for k, made in enumerate(files):
+        made += [(10_000 + i, None if i % 3 else 1.0) for i in range(k * 500)]
+        start = datetime.datetime(2024, 1, 1, k)
+        (tmp_path / "events.parquet").mkdir(exist_ok=True)
+        ids = [k * 10_000 + i for i in range(len(made))]
+        pq.write_table(pa.table({"event_id": ids, "ts": pa.array([start] * len(made), pa.timestamp("us")), "user_id": [u for u, _ in made], "value": pa.array([v for _, v in made], pa.float64())}), tmp_path / "events.parquet" / f"{k}.parquet")
+    con = duckdb.connect()
+    con.sql("SET threads = 1")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet({[str(tmp_path / 'events.parquet' / f'{k}.parquet') for k in range(5)]})")
+    want = con.sql(queries.ORACLES["check_rules"])
+    got = queries.check_rules(spark, str(tmp_path)).select(*want.columns).collect()
+    assert {r.mean_fails for r in got if r.user_id < 2000} == {True, False}
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
