@@ -217,28 +217,36 @@ FIT = "struct<slope: double, intercept: double>"
 
 
 def line_through(points: Column) -> Column:
-    """Least squares (slope, intercept) of struct(day, y); null where days don't vary."""
-    n = F.size(points)
-    total = lambda f: F.aggregate(points, F.lit(0).cast("double"), lambda s, p: s + f(p))
+    """Least squares (slope, intercept) of struct(day, y), by running means in the
+    order of the points; null where days don't vary."""
+    none, long = F.lit(0.0), lambda x: x.cast("long")
+    start = F.struct(F.lit(0).alias("n"), none.alias("d"), none.alias("y"), none.alias("dy"), none.alias("dd"), long(F.lit(0)).alias("days"), long(F.lit(0)).alias("ys"))
+
+    def add(s: Column, p: Column) -> Column:
+        n, away = s["n"] + 1, p["day"] - s["d"]
+        d, y = s["d"] + away / n, s["y"] + (p["y"] - s["y"]) / n
+        return F.struct(n.alias("n"), d.alias("d"), y.alias("y"), (s["dy"] + away * (p["y"] - y)).alias("dy"), (s["dd"] + away * (p["day"] - d)).alias("dd"), (s["days"] + p["day"]).alias("days"), (s["ys"] + p["y"]).alias("ys"))
 
     def fit(s: Column) -> Column:
-        var = s["dd"] - s["d"] * s["d"] / n
-        slope = (s["dy"] - s["d"] * s["y"] / n) / var
-        return F.when((n > 1) & (var > 1e-9), F.struct(slope.alias("slope"), ((s["y"] - slope * s["d"]) / n).alias("intercept")))
+        n = s["n"]
+        slope = (s["dy"] / n) / (s["dd"] / n)
+        return F.when((n > 1) & (s["dd"] > 1e-9), F.struct(slope.alias("slope"), (s["ys"] / n - slope * (s["days"] / n)).alias("intercept")))
 
-    return once(F.struct(total(lambda p: p["day"]).alias("d"), total(lambda p: p["y"]).alias("y"), total(lambda p: p["day"] * p["y"]).alias("dy"), total(lambda p: p["day"] * p["day"]).alias("dd")), fit)
+    return once(F.aggregate(points, start, add), fit)
 
 
 def robust_days(points: Column, off: float = 0.35, least: int = 8, share: float = 0.65) -> Column:
-    """struct(slope, intercept, accepted): the worst day is dropped and the line fitted
-    again while it lies more than ``off`` of a step beside it and enough days are left."""
+    """struct(slope, intercept, accepted): days are sorted by their distance from the
+    line, and the worst one is dropped and the line fitted again while it lies more
+    than ``off`` of a step beside it and enough days are left."""
     floor = F.greatest(F.lit(least), F.floor(share * F.size(points)).cast("int"))
-    away = lambda p, f: F.abs(p["y"] - (f["intercept"] + f["slope"] * p["day"]))
+    away = lambda p, f: F.abs(p["y"] - f["intercept"] - p["day"] * f["slope"])
 
     def drop(held: Column) -> Column:
         def without(f: Column) -> Column:
-            worst = F.array_max(F.transform(held, lambda p: F.struct(away(p, f).alias("off"), (-p["day"]).alias("back"))))
-            return once(worst, lambda w: F.when((w["off"] > off * f["slope"]) & (F.size(held) > floor), F.filter(held, lambda p: p["day"] != -w["back"])).otherwise(held))
+            worst_first = F.array_sort(F.transform(held, lambda p: F.struct((-away(p, f)).alias("near"), p["day"].alias("day"), p["y"].alias("y"))))
+            rest = lambda x: F.transform(F.slice(x, 2, F.size(x)), lambda p: F.struct(p["day"].alias("day"), p["y"].alias("y")))
+            return once(worst_first, lambda x: F.when((-F.get(x, F.lit(0))["near"] > off * f["slope"]) & (F.size(x) > floor), rest(x)).otherwise(held))
 
         return once(line_through(held), lambda f: F.when(f.isNotNull(), without(f)).otherwise(held))
 
