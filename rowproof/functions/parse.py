@@ -13,12 +13,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowproof.functions.scalars import named, once
 from rowproof.layout import Layout
 
 # Tokens that stand for a blank cell and for "as above" (in lower case), and those that end a row.
 BLANKS = ("null", "", "-", "—", "...", "…", "....")
 DITTOS = ("»", "«", '"', "”", "″", "''", ",,", "idem", "id.", "ditto", "〃")
 STOPS = ("<|im_end|>", "<|endoftext|>", "</s>")
+EDGES = tuple(" \t\n\x0b\f\r`")
 # Raised points, long dashes, and how a mended row is reported (these problems are soft).
 POINTS, DASHES = "·‧∙⋅", "—–"
 PADDED, JOINED, LEADING, HOLE = "padded 1 trailing cell (assumed the last column is blank)", "index cell read as two tokens", "dropped a spurious leading cell", "dropped an empty cell at position"
@@ -36,7 +38,8 @@ def number(token: Column) -> Column:
     a blank behind the sign."""
     t = F.translate(token, "," + POINTS + DASHES, "." + "." * len(POINTS) + "-" * len(DASHES))
     t = F.replace(F.replace(t, F.lit("+ "), F.lit("+")), F.lit("- "), F.lit("-"))
-    return F.when(t.rlike(NUMBER), t.try_cast("double"))
+    # A plain number is left as it is by all of this, so it is only done for the others.
+    return F.when(token.rlike(NUMBER), token.try_cast("double")).otherwise(once(t, lambda t: F.when(t.rlike(NUMBER), t.try_cast("double"))))
 
 
 def quoted(token: Column) -> Column:
@@ -47,7 +50,8 @@ def quoted(token: Column) -> Column:
 def tokens(raw: Column) -> Column:
     """Trimmed tokens between pipes, up to a stop; backticks around the row are dropped."""
     said = reduce(lambda x, stop: F.substring_index(x, stop, 1), STOPS, F.coalesce(raw, F.lit("")))
-    return F.split(F.regexp_replace(said, r"^\s*`*\s*|\s*`*\s*$", ""), r"\s*[|]\s*")
+    edge = F.substring(said, 1, 1).isin(*EDGES) | F.substring(said, -1, 1).isin(*EDGES)
+    return F.split(F.when(edge, F.regexp_replace(said, r"^\s*`*\s*|\s*`*\s*$", "")).otherwise(said), r"\s*[|]\s*")
 
 
 def is_blank(token: Column) -> Column:
@@ -63,9 +67,13 @@ def mended_index(df: DataFrame, layout: Layout) -> DataFrame:
     a, b = F.get(t, F.lit(0)), F.get(t, F.lit(1))
     legal = lambda x: F.coalesce(plain_number(x).between(index.low, index.high), F.lit(False))
     joined = F.concat(a, b)
-    over = (F.size(t) == n + 1) & ~legal(a)
-    empty = F.lower(a).isin(*DITTOS, *(x for x in BLANKS if x != "...."))
-    what = F.when(over, F.when(empty, F.when(legal(b), "lead")).when(joined.rlike("^[0-9]+$") & legal(joined), "join"))
+
+    def mend(x: Column) -> Column:
+        a, b, joined = x["a"], x["b"], F.concat(x["a"], x["b"])
+        empty = F.lower(a).isin(*DITTOS, *(x for x in BLANKS if x != "...."))
+        return F.when(~legal(a), F.when(empty, F.when(legal(b), "lead")).when(joined.rlike("^[0-9]+$") & legal(joined), "join"))
+
+    what = F.when(F.size(t) == n + 1, once(F.struct(a.alias("a"), b.alias("b")), mend))
     df = df.withColumn("__what", what)
     what = F.col("__what")
     mended = F.when(what == "lead", F.slice(t, 2, n)).when(what == "join", F.concat(F.array(joined), F.slice(t, 3, n - 1))).otherwise(t)
@@ -77,18 +85,14 @@ def without_hole(df: DataFrame, layout: Layout) -> DataFrame:
     """One token too many and a single blank inside: it is dropped if all numbers
     are in their ranges then (carried columns are not judged)."""
     n, t = len(layout.columns), F.col("__tokens")
-    blank = [is_blank(F.get(t, F.lit(i))).cast("int") for i in range(1, n)]
-    place = reduce(lambda out, i: F.when(blank[i - 1] == 1, i).otherwise(out), range(n - 1, 0, -1), F.lit(None).cast("int"))
-    only = (F.size(t) == n + 1) & (sum(blank[1:], blank[0]) == 1)
-    df = df.withColumn("__hole", F.when(only, place))
+    # Looked for in rows with one token too many alone, and by folds, whose code is small.
+    blank = F.when(F.size(t) == n + 1, F.filter(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: is_blank(F.get(t, i))))
+    df = df.withColumn("__hole", F.when(F.size(blank) == 1, F.get(blank, F.lit(0))))
     hole = F.col("__hole")
-    outside = []
-    for i, c in enumerate(layout.columns):
-        if c.kind != "text" and c.low is not None and not c.carried:
-            value = plain_number(F.get(t, F.when(hole <= i, i + 1).otherwise(i)))
-            outside.append(F.coalesce(~value.between(c.low, c.high), F.lit(False)))
-    fits = hole.isNotNull() & ~reduce(lambda x, y: x | y, outside, F.lit(False))
-    df = df.withColumn("__hole", F.when(fits, hole))
+    ranges = [F.struct(F.lit(i).alias("i"), F.lit(float(c.low)).alias("low"), F.lit(float(c.high)).alias("high")) for i, c in enumerate(layout.columns) if c.kind != "text" and c.low is not None and not c.carried]
+    away = lambda c: F.coalesce(~plain_number(F.get(t, F.when(hole <= c["i"], c["i"] + 1).otherwise(c["i"]))).between(c["low"], c["high"]), F.lit(False))
+    outside = F.exists(F.array(*ranges), away) if ranges else F.lit(False)
+    df = df.withColumn("__hole", F.when(hole.isNotNull() & ~outside, hole))
     note = F.concat(F.lit(HOLE + " "), hole.cast("string"), F.lit(" (the page rules a line there, it is not a column)"))
     return df.withColumns({"__tokens": F.when(hole.isNotNull(), F.concat(F.slice(t, 1, hole), F.slice(t, hole + 2, n + 1))).otherwise(t), "__p_hole": note}).drop("__hole")
 
@@ -137,7 +141,7 @@ def parse_rows(df: DataFrame, layout: Layout, raw: str = "raw", out: str = "pars
     cells = F.struct(*[cell(i, c.kind).alias(c.key) for i, c in enumerate(layout.columns)])
     made = F.struct(
         cells.alias("cells"),
-        F.array_compact(F.array("__p_index", "__p_hole", "__p_count", *problems)).alias("problems"),
+        named([F.col("__p_index"), F.col("__p_hole"), F.col("__p_count"), *problems]).alias("problems"),
         (F.map_from_entries(F.array_compact(F.array(*marked))) if marked else F.create_map().cast("map<string,string>")).alias("markers"),
     )
     return df.withColumn(out, made).select(*[F.col(f"`{x}`") for x in df.columns if not x.startswith("__")], out)

@@ -27,6 +27,13 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def named(texts: list[Column]) -> Column:
+    """Those of the texts that are there, which in most rows is none: the array is
+    only made where one is."""
+    none = F.array().cast("array<string>")
+    return F.when(reduce(lambda x, y: x | y, [t.isNotNull() for t in texts]), F.array_compact(F.array(*texts))).otherwise(none) if texts else none
+
+
 def restore_hundreds(low: Column, lo: Column | float, hi: Column | float) -> Column:
     """The only value with the printed last two digits in [lo, hi), else null."""
     def fitting(f: Column, lo: Column, hi: Column) -> Column:
@@ -36,9 +43,9 @@ def restore_hundreds(low: Column, lo: Column | float, hi: Column | float) -> Col
         return F.when(alone, first + f)
 
     printed = F.pmod(F.round(low * 100).cast("long"), F.lit(10_000)) / 100
-    if isinstance(lo, Column):  # bounds of their own for each row are computed once
+    if isinstance(lo, Column):  # what is computed for each row is computed once
         return once(F.struct(printed.alias("f"), lo.alias("lo"), hi.alias("hi")), lambda x: fitting(x["f"], x["lo"], x["hi"]))
-    return fitting(printed, F.lit(float(lo)), F.lit(float(hi)))
+    return once(printed, lambda f: fitting(f, F.lit(float(lo)), F.lit(float(hi))))
 
 
 def pressure_at(altitude: Column) -> Column:

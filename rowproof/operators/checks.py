@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowproof.functions.scalars import named
 from rowproof.layout import Check, Layout
 
 TOLERANCE = 0.051
@@ -13,7 +14,7 @@ TOLERANCE = 0.051
 def range_violations(layout: Layout, values: dict[str, Column]) -> Column:
     """Keys of the columns outside their inclusive range, in column order."""
     out = [F.when((values[c.key] < c.low) | (values[c.key] > c.high), F.lit(c.key)) for c in layout.columns if c.kind != "text" and c.low is not None]
-    return F.filter(F.array(*out).cast("array<string>"), lambda x: x.isNotNull())
+    return named(out)
 
 
 def failed(check: Check, values: dict[str, Column], tolerance: float = TOLERANCE) -> Column:
@@ -32,7 +33,7 @@ def failed(check: Check, values: dict[str, Column], tolerance: float = TOLERANCE
 
 def check_failures(layout: Layout, values: dict[str, Column], tolerance: float = TOLERANCE) -> Column:
     out = [F.when(failed(c, values, tolerance), F.lit(f"{c.kind}:{c.result}")) for c in layout.checks]
-    return F.filter(F.array(*out).cast("array<string>"), lambda x: x.isNotNull())
+    return named(out)
 
 
 def scoreable(layout: Layout, values: dict[str, Column]) -> Column:

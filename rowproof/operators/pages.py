@@ -12,19 +12,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowproof.functions.scalars import once
+
 
 def positioned(df: DataFrame, page: list[str], order: list, name: str = "pos") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*page).orderBy(*order)).cast("long"))
 
 
-def ditto_filled(df: DataFrame, page: list[str], pos: str, column: str, is_ditto: Column) -> DataFrame:
+def ditto_value(page: list[str], pos: str, column: str, is_ditto: Column) -> Column:
     """Repeat signs take the value above, also a null one; above the first there is none."""
     above = Window.partitionBy(*page).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     kept = F.when(~is_ditto, F.struct(F.col(column).alias("v")))
-    return df.withColumn(column, F.last(kept, ignorenulls=True).over(above)["v"])
+    return F.last(kept, ignorenulls=True).over(above)["v"]
 
 
-def carried(df: DataFrame, page: list[str], pos: str, column: str, lo: float, hi: float) -> DataFrame:
+def ditto_filled(df: DataFrame, page: list[str], pos: str, column: str, is_ditto: Column) -> DataFrame:
+    return df.withColumn(column, ditto_value(page, pos, column, is_ditto))
+
+
+def carried_value(page: list[str], pos: str, column: str, lo: float, hi: float) -> Column:
     """Values printed without their integer part take that of the last full one
     above; a dropped decimal point is undone where that gives a legal value."""
     v = F.col(column)
@@ -35,7 +41,11 @@ def carried(df: DataFrame, page: list[str], pos: str, column: str, lo: float, hi
     for power in range(1, 7):
         fraction = F.coalesce(fraction, F.when(v / 10**power < 1, v / 10**power))
     restored = F.round(carry + fraction, 4)
-    return df.withColumn(column, F.when(full | carry.isNull() | v.isNull(), v).when((v < 1) | restored.between(lo, hi), restored).otherwise(v))
+    return F.when(full | carry.isNull() | v.isNull(), v).otherwise(once(restored, lambda r: F.when((v < 1) | r.between(lo, hi), r).otherwise(v)))
+
+
+def carried(df: DataFrame, page: list[str], pos: str, column: str, lo: float, hi: float) -> DataFrame:
+    return df.withColumn(column, carried_value(page, pos, column, lo, hi))
 
 
 def index_filled(df: DataFrame, page: list[str], pos: str, index: str, lo: int, hi: int) -> DataFrame:
@@ -66,13 +76,18 @@ def duplicates(df: DataFrame, page: list[str], pos: str, index: str) -> DataFram
     return df.withColumn("first_pos", F.when(F.col(index).isNotNull() & (F.col(pos) > first), first))
 
 
-def spurious_duplicates(df: DataFrame, page: list[str], pos: str, index: str) -> DataFrame:
+def in_order(page: list[str], pos: str, index: str) -> Column:
+    """Whether a row's index lies between those of its neighbours."""
+    w, v = Window.partitionBy(*page).orderBy(pos), F.col(index)
+    return F.coalesce(F.lag(index).over(w) < v, F.lit(True)) & F.coalesce(v < F.lead(index).over(w), F.lit(True))
+
+
+def spurious_duplicates(df: DataFrame, page: list[str], pos: str, index: str, ok: Column | None = None) -> DataFrame:
     """Adds spurious: of two rows that claim an index, the one that breaks the
-    order of its neighbours; both where that cannot be told."""
-    w = Window.partitionBy(*page).orderBy(pos)
+    order of its neighbours (``ok``, where that is known); both where that cannot be told."""
     same = Window.partitionBy(*page, index).orderBy(pos)
     v = F.col(index)
-    out = df.withColumn("__ok", F.coalesce(F.lag(index).over(w) < v, F.lit(True)) & F.coalesce(v < F.lead(index).over(w), F.lit(True)))
+    out = df.withColumn("__ok", in_order(page, pos, index) if ok is None else ok)
     out = out.withColumns({
         "__first": F.first("__ok").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         "__k": F.row_number().over(same),

@@ -20,6 +20,21 @@ def test_one_exchange_by_page(spark, name):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("name", ["rejudge_days", "rejudge_years"])
+def test_few_passes_over_a_page_and_methods_that_are_compiled(spark, name):
+    """Rows of a page are sorted by place once, and not again by run; the JVM does not
+    compile methods of more than 8,000 bytes."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = judgement_queries.judged_lines(spark, SMALL, name == "rejudge_years")._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    said, days = plan.toString(), name == "rejudge_days"
+    assert len(re.findall(r"\bSort \[", said)) == 2 + days and len(re.findall(r"\bWindow \[", said)) <= 8
+    stages = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$").__getattr__("MODULE$").codegenStringSeq(plan)
+    assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) <= 8000
+
+
 def layout(**more):
     return Layout(
         "page", (LayoutColumn("day", "day", low=1, high=31), LayoutColumn("baro", unit="mm", low=650, high=790), LayoutColumn("a", low=0, high=50), LayoutColumn("b"), LayoutColumn("wind_dir", "text")),
